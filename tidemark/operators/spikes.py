@@ -24,18 +24,22 @@ class SpikeRule:
 
     reach: readings on each side that give the level before and after; back: how many of them must be there.
     tail: share of a source's residuals treated as exceedances; risk: chance per reading that the fitted tail reaches
-    the cutoff; least: the cutoff is at least this many robust deviations; factor: in the logarithm of a positive
-    series, a spike also leaves its level by at least this factor; longest: readings in a row that a spike may last.
+    the cutoff; least: the cutoff is at least this many robust deviations; gross: residuals beyond this many robust
+    deviations are no part of the tail that is fitted; factor: in the logarithm of a positive
+    series, a spike also leaves its level upwards by at least this factor, downwards by `fall`
+    (noise that is added, not multiplied, makes the logarithm's lower tail heavy); longest: readings in a row that a spike may last.
     stuck: successive equal readings that make a value stuck; busy: share of equal neighbours, outside of stuck runs,
     from which a series counts as one that does not otherwise change.
     """
 
     reach: int = 5
-    back: int = 2
+    back: int = 1
     tail: float = 0.15
-    risk: float = 1e-4
-    least: float = 6.0
-    factor: float = 2.0
+    risk: float = 5e-4
+    least: float = 4.5
+    gross: float = 3.5
+    factor: float = 2.2
+    fall: float = 3.5
     longest: int = 2
     stuck: int = 4
     busy: float = 0.12
@@ -74,7 +78,7 @@ def gpd_cutoff(e: np.ndarray, ok: np.ndarray, rule: SpikeRule) -> np.ndarray:
     """Per row of `e` (absolute residuals) the level that a generalised Pareto tail exceeds with chance rule.risk.
 
     The threshold is the (1 - tail) quantile. The tail is fitted to the excesses by their median and upper quartile,
-    which the spikes themselves, being few, do not move; the shape is shrunk to 0 .. 0.3 as sources are short.
+    which the spikes themselves, being few, do not move; the shape is shrunk to 0.01 .. 0.15 as sources are short.
     """
     a = np.where(ok, e, np.nan)
     n = ok.sum(1)
@@ -84,7 +88,7 @@ def gpd_cutoff(e: np.ndarray, ok: np.ndarray, rule: SpikeRule) -> np.ndarray:
     half, three = pick(np.full(len(n), 1 - rule.tail / 2)) - u, pick(np.full(len(n), 1 - rule.tail / 4)) - u
     with np.errstate(all="ignore"):
         xi = np.log2(np.maximum(three - half, 1e-300) / np.maximum(half, 1e-300))
-        xi = np.clip(np.where(np.isfinite(xi), xi, 0.1), 0.01, 0.3)
+        xi = np.clip(np.where(np.isfinite(xi), 0.3 * xi, 0.03), 0.01, 0.15)
         sigma = half * xi / (2**xi - 1)
         return u + sigma / xi * ((rule.tail / rule.risk) ** xi - 1)
 
@@ -147,14 +151,14 @@ def _scan(f: pd.DataFrame, keys: list[str], rule: SpikeRule) -> pd.DataFrame:
     level = _masked_median(np.abs(y0))
     step = np.where(positive, 0.01, 0.01 * level)
     scale = np.maximum(np.nan_to_num(scale), step + 1e-12)
-    cut = gpd_cutoff(np.abs(np.nan_to_num(e)), np.isfinite(e), rule)
+    cut = gpd_cutoff(np.abs(np.nan_to_num(e)), np.isfinite(e) & (np.abs(np.nan_to_num(e)) <= rule.gross * scale[:, None]), rule)
     cut = np.maximum(np.nan_to_num(cut), rule.least * scale)
     cut = np.where(positive, np.maximum(cut, np.log(rule.factor)), np.maximum(cut, 1.0 * level))
 
     # Every version is judged by its own value; runs longer than `longest` are a change, not a spike.
     i, j = src, pos_in[cell]
     own = leave(yv - part[i, j], mb[i, j], ma[i, j])
-    far = both[i, j] & (np.abs(own) > cut[i])
+    far = both[i, j] & (np.abs(own) > cut[i]) & ~(positive[i] & (own < 0) & (own > -np.log(rule.fall)))
     hit = np.zeros((n_src, width), dtype=bool)
     np.logical_or.at(hit, (i[far], j[far]), True)
     run = np.zeros((n_src, width), dtype=int)
