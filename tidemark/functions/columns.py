@@ -34,10 +34,6 @@ def micros(c: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), c.cast("timestamp_ntz"))
 
 
-def sqrt_or_null(c: Column) -> Column:
-    return F.when(c >= 0, F.sqrt(c))
-
-
 def ensure_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Adds typed NULL columns for those of `wanted` (name -> type) that the table lacks."""
     have = set(df.columns)

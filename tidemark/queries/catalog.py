@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.queries import quality
+from tidemark.queries import pipeline, quality
 
-QUERIES = {**quality.QUERIES}
+QUERIES = {**quality.QUERIES, **pipeline.QUERIES}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = quality.p3_found
+FLAGSHIP = pipeline.b02_panel

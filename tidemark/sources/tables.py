@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import nan_to_null
+from tidemark.functions.columns import finite, nan_to_null
 
 #: Missing columns a fundamentals table may lack; they are added as typed NULLs.
 FUNDAMENTAL_FIELDS = [
@@ -62,9 +62,9 @@ def by_day(prices: DataFrame) -> DataFrame:
 
 def by_quarter(fundamentals: DataFrame) -> DataFrame:
     """One row per ticker and period: the version with the latest available_date (rows without one come first), of
-    equals the smallest fund_id. Rows without ticker or period are left out; NaN becomes NULL."""
-    f = nan_to_null(fundamentals)
-    fields = [c for c in FUNDAMENTAL_FIELDS if c in f.columns]
+    equals the smallest fund_id. Rows without ticker or period are left out; NaN and infinite values become NULL."""
+    fields = [c for c in FUNDAMENTAL_FIELDS if c in fundamentals.columns]
+    f = fundamentals.withColumns({c: finite(c) for c in fields})
     best = F.max(F.struct("available_date", (-F.col("fund_id")).alias("k"), *fields)).alias("x")
     f = f.where("ticker is not null and period is not null").groupBy("ticker", "period").agg(best)
     return f.select("ticker", "period", "x.available_date", (-F.col("x.k")).alias("fund_id"), *[f"x.{c}" for c in fields])
