@@ -64,7 +64,7 @@ def _melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str], mask: bool
         if isinstance(kind, T.NumericType):
             d = c.cast("double")
             v = F.when(~F.isnan(d), d)
-            s, missing = F.when(~F.isnan(d), c.cast("string")), F.coalesce(F.isnan(d), F.lit(True))
+            s, missing = F.when(~F.isnan(d), c.cast("string")), d.isNull() | F.isnan(d)
         else:
             v, s, missing = F.lit(None).cast("double"), c.cast("string"), c.isNull()
         x = [F.lit(name).alias("column_name"), v.alias("v"), s.alias("s"), missing.alias("missing"), c.isNull().alias("is_null")]

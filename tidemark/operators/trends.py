@@ -87,7 +87,7 @@ def trends(quarters: DataFrame) -> DataFrame:
     sps_last = F.when(c("__sps_last") > 0, c("sales_per_share") / c("__sps_last"))
     q = q.withColumns({
         "revenue_cagr_3y": _cagr3(c("sps_ttm"), c("__sps_ttm_3y")), "eps_cagr_3y": _cagr3(c("eps_ttm"), c("__eps_ttm_3y")),
-        "earnings_cagr_3y": _cagr3(now, then), "earnings_turnaround_3y": ((now > 0) & (then <= 0)).cast("double"),
+        "earnings_cagr_3y": _cagr3(now, then), "earnings_turnaround_3y": F.when(now.isNotNull() & then.isNotNull(), ((now > 0) & (then <= 0)).cast("double")),
         "roe_spike": c("return_on_equity") - c("roe_avg_3y"), "eps_spike": F.when(c("eps_avg_3y") > 0, c("eps_ttm") / (4 * c("eps_avg_3y"))),
         "__grows": (c("revenue_growth_yoy") > 0).cast("double"),
         "eps_volatility_3y": F.when(c("__eps_mean") > 0, c("__eps_std") / c("__eps_mean")), "loss_share_3y": avg("__loss"),

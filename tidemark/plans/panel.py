@@ -98,7 +98,7 @@ def scores(panel: DataFrame) -> DataFrame:
 
 def missing_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, missing_share): share of NULL or NaN values per column; one pass."""
-    share = lambda c: F.avg(F.coalesce(F.isnan(c), F.lit(True)).cast("double"))
+    share = lambda c: F.avg((F.col(c).isNull() | F.isnan(c)).cast("double"))
     wide = df.agg(*[share(c).alias(c) for c in columns])
     return wide.unpivot([], columns, "column_name", "missing_share")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.queries import pipeline, quality
+from tidemark.queries import pipeline, quality, sql
 
 QUERIES = {**quality.QUERIES, **pipeline.QUERIES}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**sql.ORACLE}
 FLAGSHIP = pipeline.b02_panel

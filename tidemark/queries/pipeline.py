@@ -105,7 +105,7 @@ def l04_rescaled(spark: SparkSession, sf: str) -> DataFrame:
     """Multiples at the snapshot's price, sizes, normalized P/E."""
     p = _panel(spark, sf)
     cols = ["price", "period_price", *[f"{m}_reported" for m in (*reporting.RESCALED, "ev_to_ebitda")], *reporting.RESCALED, "ev_to_ebitda", "log_book_value", "log_revenue", "normalized_pe"]
-    return rounded(p.select("ticker", "as_of", *cols), 5)
+    return rounded(p.select("ticker", "as_of", *cols), 7)
 
 
 def v01_dividends(spark: SparkSession, sf: str) -> DataFrame:
