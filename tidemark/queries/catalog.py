@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.queries import pipeline, quality, sql
+from tidemark.queries import model, pipeline, quality, sql
 
-QUERIES = {**quality.QUERIES, **pipeline.QUERIES}
-ORACLE: dict[str, str] = {**sql.ORACLE}
+QUERIES = {**quality.QUERIES, **pipeline.QUERIES, **model.QUERIES}
+ORACLE: dict[str, str] = {**sql.ORACLE, **model.ORACLE}
 FLAGSHIP = pipeline.b02_panel

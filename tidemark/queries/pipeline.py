@@ -83,7 +83,7 @@ def j08_forward_returns(spark: SparkSession, sf: str) -> DataFrame:
 def f01_trends(spark: SparkSession, sf: str) -> DataFrame:
     """Growth, rolling levels, volatilities, earnings growth, trajectory."""
     t = trends.trends(_quarters(spark, sf))
-    return rounded(t.select("ticker", "period", *[c for c in trends.TREND_COLUMNS if "period" not in c and "ratio" not in c]))
+    return rounded(t.select("ticker", "period", *[c for c in trends.TREND_COLUMNS if "period" not in c and "ratio" not in c]), 9)
 
 
 def f22_breaks(spark: SparkSession, sf: str) -> DataFrame:

@@ -134,7 +134,7 @@ F01 = {
 T4 = "t4 AS (SELECT t3.*, g1.v AS g1, g2.v AS g2 FROM t3 LEFT JOIN g1 USING (ticker, period) LEFT JOIN g2 USING (ticker, period))"
 F01_SQL = with_(
     *TRENDS, T4, "t5 AS (SELECT ticker, period, eps_ttm AS et, " + ", ".join(f"{v} AS {k}" for k, v in F01.items()) + " FROM t4)",
-    body="SELECT ticker, period, " + ", ".join(r("CASE WHEN eps_avg_3y > 0 THEN et / (4 * eps_avg_3y) END", name="eps_spike") if c == "eps_spike" else r(c) for c in TREND_COLUMNS if "period" not in c and "ratio" not in c) + " FROM t5",
+    body="SELECT ticker, period, " + ", ".join(r("CASE WHEN eps_avg_3y > 0 THEN et / (4 * eps_avg_3y) END", 9, "eps_spike") if c == "eps_spike" else r(c, 9) for c in TREND_COLUMNS if "period" not in c and "ratio" not in c) + " FROM t5",
 )
 _off = lambda x, f: f"({x} > {f} OR {x} < 1 / {f})"
 F22_SQL = with_(
