@@ -35,10 +35,10 @@ SAME_LOOK = [(0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2E9F, 0x2E9F), (
 #: Characters without any look, by ranges: controls, soft hyphen, joiners, fillers, marks of direction, selectors, tags.
 #: C1 controls are left: in texts decoded by a false charset they stand for parts of letters.
 INVISIBLE = [(0, 8), (0x0E, 0x1F), (0x7F, 0x7F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200C), (0x200E, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
-_LINE = re.compile("\r\n|[\r\x0b\x0c  ]")
-_PICTURE = "←-⯿\U0001f000-\U0001faff"
+_LINE = re.compile("\r\n|[\r\x0b\x0c\u2028\u2029]")
+_PICTURE = "\u2190-\u2bff\U0001f000-\U0001faff"
 #: A zero-width joiner shows only between two pictures, which it makes one.
-_JOINER = re.compile(f"(?<![{_PICTURE}])‍|‍(?![{_PICTURE}])")
+_JOINER = re.compile(f"(?<![{_PICTURE}])\u200d|\u200d(?![{_PICTURE}])")
 
 
 @lru_cache(maxsize=1)
@@ -66,7 +66,7 @@ def skeleton(text: str) -> str:
         return text
     first, prototypes = _tables()
     t = _LINE.sub("\n", text).translate(first)
-    if "‍" in t:
+    if "\u200d" in t:
         t = _JOINER.sub("", t)
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", t).translate(prototypes))
 
