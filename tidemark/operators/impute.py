@@ -30,8 +30,9 @@ def with_known_names(df: DataFrame, name: str, names: DataFrame, flag: str) -> D
     fold = lambda c: F.lower(F.trim(c))
     good = names.select(fold(F.col(names.columns[0])).alias("__name")).where("__name is not null").distinct()
     good = good.where(~F.col("__name").isin(NO_NAME))
-    out = df.withColumn("__name", fold(F.col(name)))
-    # A row whose name is missing needs no partner: spread such rows instead of sending all to the task of NULL.
+    # Rows without a name match nothing; they get keys of their own, so a shuffle does not send all of them to one task.
+    alone = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
+    out = df.withColumn("__name", F.coalesce(fold(F.col(name)), alone))
     return out.join(good.withColumn(flag, F.lit(True)), "__name", "left").drop("__name").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
