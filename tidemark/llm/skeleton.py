@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -35,6 +35,7 @@ SAME_LOOK = [(0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2E9F, 0x2E9F), (
 #: Characters without any look, by ranges: controls, soft hyphen, joiners, fillers, marks of direction, selectors, tags.
 #: C1 controls are left: in texts decoded by a false charset they stand for parts of letters.
 INVISIBLE = [(0, 8), (0x0E, 0x1F), (0x7F, 0x7F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200C), (0x200E, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
+_ODD_ASCII = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 _LINE = re.compile("\r\n|[\r\x0b\x0c\u2028\u2029]")
 _PICTURE = "\u2190-\u2bff\U0001f000-\U0001faff"
 #: A zero-width joiner shows only between two pictures, which it makes one.
@@ -60,15 +61,35 @@ def _tables() -> tuple[dict[int, str | None], dict[int, str]]:
     return first, {ord(c): to for to, others in LOOK_ALIKES.items() for c in others}
 
 
+def _replacer(table: dict[int, str | None]) -> Callable[[str], str]:
+    """Replaces the characters of a table. One pass of a character class finds them: texts have few, and looking up every
+    character of a text in a dict costs ten times as much."""
+    ranges: list[list[int]] = []
+    for c in sorted(table):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    found = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    to = {chr(c): v or "" for c, v in table.items()}
+    return lambda t: found.sub(lambda m: to[m.group()], t)
+
+
+@lru_cache(maxsize=1)
+def _replacers() -> tuple[Callable[[str], str], Callable[[str], str]]:
+    first, prototypes = _tables()
+    return _replacer(first), _replacer(prototypes)
+
+
 def skeleton(text: str) -> str:
     """The form that all texts of the same look share; '' for a text without anything visible but spaces."""
-    if text.isascii() and text.isprintable():
+    if text.isascii() and not _ODD_ASCII.search(text):
         return text
-    first, prototypes = _tables()
-    t = _LINE.sub("\n", text).translate(first)
+    first, prototypes = _replacers()
+    t = first(_LINE.sub("\n", text) if _LINE.search(text) else text)
     if "\u200d" in t:
         t = _JOINER.sub("", t)
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", t).translate(prototypes))
+    return unicodedata.normalize("NFD", prototypes(unicodedata.normalize("NFD", t)))
 
 
 def with_skeleton(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
