@@ -7,8 +7,8 @@ from tidemark.session import session
 
 @pytest.fixture(scope="session")
 def spark():
-    # Tiny tables: compiling the plans would take longer than running them.
-    s = session("local[4]", 2, **{"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
+    # Tiny tables: fusing whole stages would take longer than running them.
+    s = session("local[4]", 2, **{"spark.sql.codegen.wholeStage": "false"})
     s.sparkContext.setLogLevel("ERROR")
     return s
 
