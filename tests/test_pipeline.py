@@ -72,10 +72,10 @@ def test_breaks(spark):
 def test_nearest_prior_ties_and_tolerance(spark):
     days = [0, 10, 320, 365, 410, 411]
     df = spark.createDataFrame([("x", d, float(d), v) for d, v in zip(days, [1.0, None, 3.0, 4.0, 5.0, 6.0], strict=True)], "k string, d int, dd double, v double")
-    got = {r["d"]: r["p"] for r in df.select("d", nearest_prior("k", "d", F.col("v"), 365).alias("p")).collect()}
+    got = {r["d"]: r["p"] for r in df.select("d", F.expr(nearest_prior("k", "d", "v", 365)).alias("p")).collect()}
     assert got == {0: None, 10: None, 320: 1.0, 365: 1.0, 410: 1.0, 411: None}
     df = spark.createDataFrame([("x", d, float(d)) for d in (0, 20, 375)], "k string, d int, v double")
-    assert {r["d"]: r["p"] for r in df.select("d", nearest_prior("k", "d", F.col("v"), 365).alias("p")).collect()}[375] == 0.0  # equally near: the earlier
+    assert {r["d"]: r["p"] for r in df.select("d", F.expr(nearest_prior("k", "d", "v", 365)).alias("p")).collect()}[375] == 0.0  # equally near: the earlier
 
 
 def test_ranks_and_buckets(spark):

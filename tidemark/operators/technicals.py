@@ -10,7 +10,7 @@ from tidemark.operators.lastknown import change_history, last_known
 from tidemark.operators.windows import last_rows
 
 TECHNICALS = ["ma50_vs_ma200", "pct_from_52w_high", "volatility_63d", "relative_volume", "price_spike_5d", "volume_zscore_63d"]
-LEAST_ROWS = 60
+LEAST_ROWS, YEAR_ROWS = 60, 252
 #: Months ahead -> days ahead.
 HORIZONS = {1: 30, 3: 91, 6: 182, 12: 365}
 
@@ -24,17 +24,31 @@ def technicals(daily: DataFrame) -> DataFrame:
     c = F.col
     w = lambda n: last_rows("ticker", "date", n)
     order = Window.partitionBy("ticker").orderBy("date")
-    d = daily.withColumns({"__rn": F.row_number().over(order), "__ret": c("close") / F.lag("close", 1).over(order) - 1})
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    d = daily.withColumn("__rn", F.row_number().over(order)).withColumns({
+        "__ret": c("close") / F.lag("close", 1).over(order) - 1, "__block": F.floor((c("__rn") - 1) / YEAR_ROWS),
+        "__close": F.sum("close").over(so_far), "__vol": F.sum("volume").over(so_far), "__nvol": F.count("volume").over(so_far),
+    })
+    # A long sliding frame is evaluated anew for every row. Means come from running sums instead, and the highest close of
+    # 252 rows from running maxima of fixed blocks of 252 rows, forwards and backwards: constant work per row.
+    block = Window.partitionBy("ticker", "__block")
+    d = d.withColumns({
+        "__ahead": F.max("close").over(block.orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)),
+        "__behind": F.max("close").over(block.orderBy(F.desc("__rn")).rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    last = lambda x, n: c(x) - F.coalesce(F.lag(x, n).over(order), F.lit(0))
+    mean = lambda x, n: last(x, n) / F.least(c("__rn"), F.lit(n))
+    volume = lambda n: F.try_divide(F.coalesce(last("__vol", n), F.lit(0.0)), last("__nvol", n))
     gate = c("__rn") >= LEAST_ROWS
-    high = F.max("close").over(w(252))
-    mean63, std63 = F.avg("volume").over(w(63)), F.stddev_samp("volume").over(w(63))
+    high = F.greatest("__ahead", F.lag("__behind", YEAR_ROWS - 1).over(order))
+    mean63, std63 = volume(63), F.stddev_samp("volume").over(w(63))
     # The 63 returns of the last 63 rows; a ticker's first row has none.
     vol = F.when(F.count("__ret").over(w(63)) > 5, F.stddev_samp("__ret").over(w(63)) * F.sqrt(F.lit(252.0)))
     new = {
-        "ma50_vs_ma200": F.when(c("__rn") >= 200, F.avg("close").over(w(50)) / F.avg("close").over(w(200)) - 1),
+        "ma50_vs_ma200": F.when(c("__rn") >= 200, mean("__close", 50) / mean("__close", 200) - 1),
         "pct_from_52w_high": (high - c("close")) / high,
         "volatility_63d": vol,
-        "relative_volume": F.try_divide(F.avg("volume").over(w(21)), mean63),
+        "relative_volume": F.try_divide(volume(21), mean63),
         "price_spike_5d": F.ln(c("close") / F.lag("close", 5).over(order)),
         "volume_zscore_63d": F.try_divide(c("volume") - mean63, std63),
     }

@@ -6,11 +6,11 @@ One row per ticker and period comes in (`sources.tables.by_quarter`) and goes ou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ensure_columns
-from tidemark.operators.windows import gated, last_rows, nearest_prior
+from tidemark.operators.windows import gated, nearest_prior, over_rows
 
 YEAR, THREE_YEARS = 365, 1095
 ONE_OFF_FACTOR, PER_SHARE_FACTOR, SPAN_DAYS = 3.0, 1.5, 300
@@ -53,14 +53,14 @@ def trends(quarters: DataFrame) -> DataFrame:
     """
     q = ensure_columns(quarters, dict.fromkeys(NEEDED, "double")).withColumn("__day", F.datediff("period", F.lit("1970-01-01").cast("date")))
     c = F.col
-    w4, w12 = last_rows("ticker", "__day", 4), last_rows("ticker", "__day", 12)
-    prior = lambda x, d: nearest_prior("ticker", "__day", c(x), d)
-    back = Window.partitionBy("ticker").orderBy("__day")
-    lag = lambda x, k: F.lag(x, k).over(back)
-    span = lambda k: c("__day") - lag("__day", k)
-    ttm = lambda x: F.when(span(3) <= SPAN_DAYS, gated(c(x), F.sum(x), w4, 4))
-    avg = lambda x: gated(c(x), F.avg(x), w12, 8)
-    std = lambda x: gated(c(x), F.stddev_samp(x), w12, 8)
+    w4, w12 = over_rows("ticker", "__day", 4), over_rows("ticker", "__day", 12)
+    rows = "(PARTITION BY ticker ORDER BY __day)"
+    prior = lambda x, d: F.expr(nearest_prior("ticker", "__day", x, d))
+    lag = lambda x, k: F.expr(f"lag({x}, {k}) OVER {rows}")
+    within = lambda k, days, then: F.expr(f"CASE WHEN __day - lag(__day, {k}) OVER {rows} <= {days} THEN {then} END")
+    ttm = lambda x: within(3, SPAN_DAYS, gated(x, f"sum({x})", w4, 4))
+    avg = lambda x: F.expr(gated(x, f"avg({x})", w12, 8))
+    std = lambda x: F.expr(gated(x, f"stddev_samp({x})", w12, 8))
 
     q = q.withColumns({
         "__sps_1y": prior("sales_per_share", YEAR), "__eps_1y": prior("eps", YEAR), "sps_ttm": ttm("sales_per_share"), "eps_ttm": ttm("eps"),
@@ -72,11 +72,11 @@ def trends(quarters: DataFrame) -> DataFrame:
         "__ni_3y": prior("__net_income", THREE_YEARS),
         "__om_1y": prior("operating_margin", YEAR), "__gm_1y": prior("gross_margin", YEAR),
         "op_margin_volatility": std("operating_margin"), "op_margin_avg_3y": avg("operating_margin"), "roe_avg_3y": avg("return_on_equity"),
-        "eps_avg_3y": F.when(span(11) <= THREE_YEARS, gated(c("eps"), F.avg("eps"), w12, 12)),
+        "eps_avg_3y": within(11, THREE_YEARS, gated("eps", "avg(eps)", w12, 12)),
         "roe_volatility_3y": std("return_on_equity"), "gross_margin_volatility_3y": std("gross_margin"),
         "__eps_mean": avg("eps"), "__eps_std": std("eps"), "__loss": (c("eps") <= 0).cast("double"),
         "__fcf_mean": avg("fcf_margin"), "__net_mean": avg("net_margin"),
-        "__eps_typical": gated(c("eps"), F.percentile("eps", F.lit(0.5)), last_rows("ticker", "__day", 8, 1), 6),
+        "__eps_typical": F.expr(gated("eps", "percentile(eps, 0.5)", over_rows("ticker", "__day", 8, 1), 6)),
         "__sps_last": lag("sales_per_share", 1),
     })
     has_eps = c("eps_ttm").isNotNull() & c("__eps_ttm_3y").isNotNull()
@@ -98,7 +98,7 @@ def trends(quarters: DataFrame) -> DataFrame:
         "__off": F.when(_yes(_outside(eps_usual, ONE_OFF_FACTOR) & _outside(eps_year, ONE_OFF_FACTOR)), F.struct(c("period").alias("p"), eps_year.alias("r"))),
         "__jump": F.when(_yes(_outside(sps_last, PER_SHARE_FACTOR) & _outside(sps_year, PER_SHARE_FACTOR)), F.struct(c("period").alias("p"), sps_year.alias("r"))),
     })
-    recent = lambda x: F.coalesce(c(x), *[F.when(span(k) <= SPAN_DAYS, lag(x, k)) for k in (1, 2, 3)])
+    recent = lambda x: F.coalesce(c(x), *[within(k, SPAN_DAYS, f"lag({x}, {k}) OVER {rows}") for k in (1, 2, 3)])
     q = q.withColumns({
         "growth_consistency_3y": avg("__grows"), "revenue_growth_accel": c("revenue_growth_yoy") - c("__growth_1y"),
         "__ttm_growth_1y": prior("revenue_growth_ttm", YEAR), "__one_off": recent("__off"), "__break": recent("__jump"),

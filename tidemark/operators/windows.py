@@ -16,23 +16,31 @@ def last_rows(key: str, order: str, rows: int, until: int = 0) -> WindowSpec:
     return Window.partitionBy(key).orderBy(order).rowsBetween(-(rows - 1) - until, -until)
 
 
-def gated(value: Column, stat: Column, w: WindowSpec, least: int) -> Column:
-    """An aggregate over the window, NULL unless at least `least` values in it are present."""
-    return F.when(F.count(value).over(w) >= least, stat.over(w))
+def over_rows(key: str, order: str, rows: int, until: int = 0) -> str:
+    """`last_rows` as SQL: what follows OVER."""
+    end = "CURRENT ROW" if until == 0 else f"{until} PRECEDING"
+    return f"(PARTITION BY {key} ORDER BY {order} ROWS BETWEEN {rows - 1 + until} PRECEDING AND {end})"
 
 
-def nearest_prior(key: str, day: str, value: Column, days: int, tolerance: int = 45) -> Column:
-    """The present value whose day is nearest to `days` before the row's own, at most `tolerance` days off (inclusive);
-    of two equally near ones the earlier; NULL if there is none.
+def gated(value: str, stat: str, over: str, least: int) -> str:
+    """SQL of an aggregate over a window, NULL unless at least `least` values in it are present.
+
+    These two are SQL text, since a plan with dozens of window columns is built several times faster from it than from
+    Column calls, each of which goes to the JVM.
+    """
+    return f"CASE WHEN count({value}) OVER {over} >= {least} THEN {stat} OVER {over} END"
+
+
+def nearest_prior(key: str, day: str, value: str, days: int, tolerance: int = 45) -> str:
+    """SQL of the present value whose day is nearest to `days` before the row's own, at most `tolerance` days off
+    (inclusive); of two equally near ones the earlier; NULL if there is none.
 
     `day` is an integer column of days. The candidates are the few rows of a range frame, so nothing is joined, and
     several of these share one sort. Rows of a key with the same day are candidates each; the smallest value wins.
     """
-    w = Window.partitionBy(key).orderBy(day).rangeBetween(-days - tolerance, -days + tolerance)
-    near = F.collect_list(F.when(value.isNotNull(), F.struct(F.col(day).alias("d"), value.alias("v")))).over(w)
-    target = F.col(day) - F.lit(days)
-    ranked = F.transform(near, lambda x: F.struct(F.abs(x["d"] - target).alias("gap"), x["d"].alias("d"), x["v"].alias("v")))
-    return F.array_min(ranked)["v"]
+    over = f"(PARTITION BY {key} ORDER BY {day} RANGE BETWEEN {days + tolerance} PRECEDING AND {days - tolerance} PRECEDING)"
+    near = f"collect_list(CASE WHEN {value} IS NOT NULL THEN struct({day} AS d, {value} AS v) END) OVER {over}"
+    return f"array_min(transform({near}, x -> struct(abs(x.d - ({day} - {days})) AS gap, x.d AS d, x.v AS v))).v"
 
 
 def percent_rank_max(value: Column, keys: Sequence[str | Column], least: int = 3) -> Column:

@@ -15,7 +15,7 @@ from tidemark.operators import dividends, reporting, technicals, trends
 from tidemark.operators.calendar import valid_snapshots
 from tidemark.operators.lastknown import ROW, attributes_as_of
 from tidemark.operators.windows import mean_of, percent_rank_max
-from tidemark.sources.tables import by_day, by_quarter
+from tidemark.sources.tables import by_day, by_quarter, cut
 
 #: Indicator -> whether a lower value is better. Fixed choices of the percentile table.
 INDICATORS = {
@@ -32,7 +32,11 @@ MOMENTUM = ["ma50_vs_ma200", "pct_from_52w_high"]
 def priced_snapshots(prices: DataFrame, start: date, today: date) -> DataFrame:
     """(ticker, as_of, date, close, price, technicals...): the last trade at most 10 days before each snapshot, and the
     last quoted price, which can be older. A ticker without such a trade has no row."""
-    daily = by_day(prices)
+    return snapshots_of(by_day(prices), start, today)
+
+
+def snapshots_of(daily: DataFrame, start: date, today: date) -> DataFrame:
+    """`priced_snapshots` from the rows of `sources.tables.by_day`."""
     quoted = F.last("close_raw", ignorenulls=True).over(Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     rows = technicals.technicals(daily).withColumn("price", quoted)
     return valid_snapshots(rows, "ticker", "date", start, today)
@@ -72,10 +76,14 @@ def with_universe(df: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def raw_panel(prices: DataFrame, fundamentals: DataFrame, year_ends: DataFrame, universe: DataFrame, start: date, today: date) -> DataFrame:
-    """The panel without percentiles."""
-    daily = by_day(prices)
-    snaps = priced_snapshots(prices, start, today)
-    p = with_fundamentals(snaps, known_quarters(fundamentals, year_ends, daily))
+    """The panel without percentiles.
+
+    The daily rows feed four branches and the quarters two, so both are written once to the checkpoint folder instead of
+    being computed from the raw tables for each.
+    """
+    daily = cut(by_day(prices))
+    quarters = cut(known_quarters(fundamentals, year_ends, daily))
+    p = with_fundamentals(snapshots_of(daily, start, today), quarters)
     p = with_universe(p, universe).withColumn("fiscal_year_end_assumed", F.coalesce("fiscal_year_end_assumed", F.lit(True)))
     p = reporting.sized(reporting.rescaled(p))
     return technicals.forward_returns(dividends.dividend_features(p, daily), daily)

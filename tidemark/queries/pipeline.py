@@ -50,7 +50,7 @@ def j01_calendar(spark: SparkSession, sf: str) -> DataFrame:
 def j02_prior_reading(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest earlier reading of eps and sales_per_share, one and three years back."""
     q = _quarters(spark, sf).withColumn("d", F.unix_date("period"))
-    near = lambda c, n: nearest_prior("ticker", "d", F.col(c), n).alias(f"{c}_{n}")
+    near = lambda c, n: F.expr(nearest_prior("ticker", "d", c, n)).alias(f"{c}_{n}")
     return q.select("ticker", "period", *[near(c, n) for c in ("eps", "sales_per_share") for n in (365, 1095)])
 
 
