@@ -115,12 +115,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_filled(spark: SparkSession, sf: str) -> DataFrame:
     """Every panel row with the four fields filled, and for each field whether and by which level it was filled.
 
-    as_of comes from its load, else its ticker; sector from its ticker, its industry, its load; the two numbers from
+    as_of comes from its load (a load is of one snapshot); sector from its ticker, its industry, its load; the two numbers from
     the ticker, the snapshot's sector and size, the snapshot's sector, the sector, and all rows.
     """
     panel, checks = _panel_checked(spark, sf)
     ok = panel.select("panel_id", "ticker", "load_id", "industry", "size_group", *["return_on_equity", "operating_margin", "sector", "as_of"], *[v.alias(f"ok_{k}") for k, v in checks.items()])
-    ok = impute.fill(ok, "as_of", [("load", ["load_id"]), ("ticker", ["ticker"])], categorical=True, usable="ok_as_of", support=1)
+    ok = impute.fill(ok, "as_of", [("load", ["load_id"])], categorical=True, usable="ok_as_of", support=1)
     ok = impute.fill(ok, "sector", [("ticker", ["ticker"]), ("industry", ["industry"]), ("load", ["load_id"])], categorical=True, usable="ok_sector", support=2)
     number = [("ticker", ["ticker"]), ("snapshot, sector and size", ["as_of", "sector", "size_group"]), ("snapshot and sector", ["as_of", "sector"]), ("sector", ["sector"]), ("snapshot", ["as_of"])]
     for k in ("return_on_equity", "operating_margin"):
