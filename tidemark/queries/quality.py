@@ -24,9 +24,9 @@ def _readings(spark: SparkSession, sf: str) -> DataFrame:
     f = f.select(F.lit("fundamentals").alias("table_name"), F.col("fund_id").alias("row_id"), "ticker", F.col("period").cast("timestamp_ntz").alias("at"), cells(
         ("eps", eps, inf(eps) | code(eps)), ("sales_per_share", sps, inf(sps) | code(sps) | (sps < 0)),
     ))
-    # A price to book of 0 or of -1 to the last digit is a code whatever the book value is.
+    # A price to book of 0 or of -1 to the last digit is a code where no negative book value explains it.
     p = p.select(F.lit("panel").alias("table_name"), F.col("panel_id").alias("row_id"), "ticker", F.col("as_of").cast("timestamp_ntz").alias("at"), cells(
-        ("price_to_book", pb, inf(pb) | code(pb) | ((pb <= 0) & (present("book_value") > 0)) | pb.isin(0.0, -1.0)),
+        ("price_to_book", pb, inf(pb) | code(pb) | ((pb <= 0) & (present("book_value") > 0)) | (pb.isin(0.0, -1.0) & present("book_value").isNull())),
     ))
     return f.unionByName(p).where("v is not null and not isnan(v)")
 

@@ -276,6 +276,44 @@ UNION ALL SELECT panel_id, 'operating_margin' FROM panel WHERE NOT coalesce(abs(
 UNION ALL SELECT panel_id, 'sector' FROM panel LEFT JOIN good ON lower(trim(sector)) = s WHERE s IS NULL
 UNION ALL SELECT panel_id, 'as_of' FROM panel WHERE as_of IS NULL"""
 
+def _mode(name: str, table: str, key: str, value: str, least: int) -> str:
+    """CTE (k, v): the most frequent present value of a key with `least` of them; of equals the smallest."""
+    return f"""{name} AS (SELECT k, v FROM (SELECT {key} AS k, {value} AS v, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {value}) AS r, sum(count(*)) OVER (PARTITION BY {key}) AS n
+  FROM {table} WHERE {key} IS NOT NULL AND {value} IS NOT NULL GROUP BY 1, 2) WHERE r = 1 AND n >= {least})"""
+
+
+def _typical(name: str, value: str, keys: list[str]) -> str:
+    """CTE: the lower median of a group of five present values or more."""
+    k = ", ".join(keys)
+    return f"{name} AS (SELECT {k}, quantile_disc({value}, 0.5) AS v FROM b WHERE {value} IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in keys)} GROUP BY {k} HAVING count(*) >= 5)"
+
+
+_LEVELS = [("ticker", ["ticker"]), ("snapshot, sector and size", ["fa", "fs", "size_group"]), ("snapshot and sector", ["fa", "fs"]), ("sector", ["fs"]), ("snapshot", ["fa"])]
+
+
+def p5_filled_sql() -> str:
+    fields = {"return_on_equity": "roe", "operating_margin": "om"}
+    ctes = [
+        "good AS (SELECT DISTINCT lower(trim(sector)) AS s FROM universe WHERE sector IS NOT NULL AND lower(trim(sector)) NOT IN (" + ", ".join(f"'{w}'" for w in _missing) + "))",
+        "p AS (SELECT panel.*, CASE WHEN s IS NOT NULL THEN sector END AS os, " + ", ".join(f"CASE WHEN NOT isnan({f}) AND abs({f}) < 90 THEN {f} END AS {x}" for f, x in fields.items()) + " FROM panel LEFT JOIN good ON lower(trim(sector)) = s)",
+        _mode("ml", "p", "load_id", "as_of", 1),
+        "a AS (SELECT p.*, coalesce(p.as_of, ml.v) AS fa FROM p LEFT JOIN ml ON ml.k = p.load_id)",
+        _mode("s1", "a", "ticker", "os", 2), _mode("s2", "a", "industry", "os", 2), _mode("s3", "a", "load_id", "os", 2),
+        "b AS (SELECT a.*, coalesce(os, s1.v, s2.v, s3.v) AS fs, CASE WHEN os IS NULL THEN CASE WHEN s1.v IS NOT NULL THEN 'ticker' WHEN s2.v IS NOT NULL THEN 'industry' WHEN s3.v IS NOT NULL THEN 'load' END END AS sl FROM a LEFT JOIN s1 ON s1.k = ticker LEFT JOIN s2 ON s2.k = industry LEFT JOIN s3 ON s3.k = load_id)",
+    ]
+    cols, joins = [], []
+    for f, x in fields.items():
+        names = [f"{x}{i}" for i in range(len(_LEVELS))]
+        ctes += [_typical(n, x, keys) for n, (_, keys) in zip(names, _LEVELS, strict=True)]
+        joins += [f"LEFT JOIN {n} ON " + " AND ".join(f"{n}.{k} = b.{k}" for k in keys) for n, (_, keys) in zip(names, _LEVELS, strict=True)]
+        value = f"coalesce(b.{x}, {', '.join(f'{n}.v' for n in names)})"
+        level = f"CASE WHEN b.{x} IS NULL THEN CASE " + " ".join(f"WHEN {n}.v IS NOT NULL THEN '{name}'" for n, (name, _) in zip(names, _LEVELS, strict=True)) + " END END"
+        cols.append(f"{value} AS {f}, {level} IS NOT NULL AS {f}_filled, {level} AS {f}_level")
+    cols.append("b.fs AS sector, b.sl IS NOT NULL AS sector_filled, b.sl AS sector_level")
+    cols.append("b.fa AS as_of, b.as_of IS NULL AND b.fa IS NOT NULL AS as_of_filled, CASE WHEN b.as_of IS NULL AND b.fa IS NOT NULL THEN 'load' END AS as_of_level")
+    return "WITH " + ", ".join(ctes) + "\nSELECT b.panel_id, " + ", ".join(cols) + " FROM b " + " ".join(joins)
+
+
 ORACLE = {
     "s02_quarters": with_(QUARTERS, body="SELECT ticker, period, available_date, fund_id, eps, sales_per_share, book_value FROM quarters"),
     "s08_daily_rows": with_(DAILY, body="SELECT * FROM daily"),
@@ -290,5 +328,5 @@ ORACLE = {
     "j08_forward_returns": J08_SQL, "f01_trends": F01_SQL, "f22_breaks": F22_SQL,
     "l01_reporting_lag": with_(QUARTERS, LAGGED, body="SELECT ticker, period, is_fiscal_q4, fiscal_year_end_assumed, known_date FROM known"),
     "l04_rescaled": L04_SQL, "v01_dividends": V01_SQL, "x01_technicals": X01_SQL, "b03_percentiles": B03_SQL, "b05_missing": B05_SQL, "b06_eps_basis": B06_SQL,
-    "p3_found": P3_SQL, "p3_attributes": p3_attributes_sql(), "p5_found": P5_SQL,
+    "p3_found": P3_SQL, "p3_attributes": p3_attributes_sql(), "p5_found": P5_SQL, "p5_filled": p5_filled_sql(),
 }
