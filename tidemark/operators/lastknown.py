@@ -27,17 +27,18 @@ def change_history(
     A missing value (NULL or NaN) makes no entry, so attributes that are updated at different times keep apart. Rows
     without key, known_at or one of `latest_by` make none. Copies are merged before the shuffle.
     """
-    pairs = [F.struct(F.lit(a).alias("attribute"), F.lit(1.0).alias("value") if a == ROW else F.col(f"`{a}`").cast("double").alias("value")) for a in attributes]
     order = [micros(c).alias(f"o{i}") for i, c in enumerate(latest_by)]
-    long = rows.select(
-        F.col(key).alias("key"), micros(known_at).alias("known_us"), *order, F.col(tie).alias("tie"), F.inline(F.array(*pairs))
-    )
     names = [f"o{i}" for i in range(len(order))]
+    value = [(F.lit(1.0) if a == ROW else F.col(f"`{a}`").cast("double")).alias(f"v{i}") for i, a in enumerate(attributes)]
+    r = rows.select(F.col(key).alias("key"), micros(known_at).alias("known_us"), *order, F.col(tie).alias("tie"), *value)
     for c in ("key", "known_us", "tie", *names):
-        long = long.where(F.col(c).isNotNull())
-    long = long.where("value is not null and not isnan(value)")
-    first = F.min(F.struct("tie", "value")).alias("x")
-    return long.groupBy("key", "attribute", "known_us", *names).agg(first).select(
+        r = r.where(F.col(c).isNotNull())
+    # Versions of the same instant are merged while the row is still one row; only then is it taken apart by attribute.
+    here = lambda i: F.when(F.col(f"v{i}").isNotNull() & ~F.isnan(f"v{i}"), F.struct("tie", F.col(f"v{i}").alias("value")))
+    r = r.groupBy("key", "known_us", *names).agg(*[F.min(here(i)).alias(f"x{i}") for i in range(len(value))])
+    parts = [F.struct(F.lit(a).alias("attribute"), F.col(f"x{i}").alias("x")) for i, a in enumerate(attributes)]
+    long = r.select("key", "known_us", *names, F.inline(F.array(*parts))).where("x is not null")
+    return long.select(
         "key", "attribute", "known_us",
         F.struct(*names, (-F.col("x.tie")).alias("k"), F.col("x.value").alias("value"), F.col("known_us")).alias("entry"),
     )
