@@ -58,7 +58,7 @@ def _level(df: DataFrame, keys: Sequence[str], value: str, support: int, categor
 
 def fill(
     df: DataFrame, value: str, levels: Sequence[tuple[str, Sequence[str]]], *, support: int = 5,
-    categorical: bool = False, usable: str | None = None,
+    categorical: bool = False, usable: str | None = None, stats_from: DataFrame | None = None,
 ) -> DataFrame:
     """`df` with <value> filled, <value>_filled (boolean) and <value>_level (the level that filled it, else NULL).
 
@@ -66,11 +66,14 @@ def fill(
     the first of `levels` (name, key columns; finest first) whose group has at least `support` usable values: their
     median (lower of the two middle ones) or, if `categorical`, their mode. A level with no keys stands for all rows.
     Rows with a NULL in a level's keys skip that level; without any group the cell stays NULL and unmarked.
+
+    The statistics are computed once per level from `stats_from` (default: `df`). Give a stored table there when fills
+    follow one another: else each fill computes all fills before it again, for every one of its levels.
     """
-    src = usable or value
+    src, given = usable or value, stats_from if stats_from is not None else df
     out, fills = df, []
     for i, (_, keys) in enumerate(levels):
-        stats = _level(df, keys, src, support, categorical, i)
+        stats = _level(given, keys, src, support, categorical, i)
         out = out.join(stats, list(keys), "left") if keys else out.join(F.broadcast(stats.limit(1)), F.lit(True), "left")
         fills.append(F.col(f"__fill_{i}"))
     was = F.col(src).isNull()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import micros, present
 from tidemark.operators import impute, lastknown, profile, spikes
-from tidemark.sources.tables import FUNDAMENTAL_FIELDS, read
+from tidemark.sources.tables import FUNDAMENTAL_FIELDS, cut, read
 
 FIELDS = ("eps", "sales_per_share", "price_to_book")
 
@@ -120,13 +120,16 @@ def p5_filled(spark: SparkSession, sf: str) -> DataFrame:
     """
     panel, checks = _panel_checked(spark, sf)
     ok = panel.select("panel_id", "ticker", "load_id", "industry", "size_group", *["return_on_equity", "operating_margin", "sector", "as_of"], *[v.alias(f"ok_{k}") for k, v in checks.items()])
-    ok = impute.fill(ok, "as_of", [("load", ["load_id"])], categorical=True, usable="ok_as_of", support=1)
-    ok = impute.fill(ok, "sector", [("ticker", ["ticker"]), ("industry", ["industry"]), ("load", ["load_id"])], categorical=True, usable="ok_sector", support=2)
+    # Stored between the steps, as each reads the one before once per level.
+    ok = cut(ok)
+    ok = cut(impute.fill(ok, "as_of", [("load", ["load_id"])], categorical=True, usable="ok_as_of", support=1))
+    ok = cut(impute.fill(ok, "sector", [("ticker", ["ticker"]), ("industry", ["industry"]), ("load", ["load_id"])], categorical=True, usable="ok_sector", support=2))
     number = [("ticker", ["ticker"]), ("snapshot, sector and size", ["as_of", "sector", "size_group"]), ("snapshot and sector", ["as_of", "sector"]), ("sector", ["sector"]), ("snapshot", ["as_of"])]
+    out = ok
     for k in ("return_on_equity", "operating_margin"):
-        ok = impute.fill(ok, k, number, usable=f"ok_{k}", support=5)
+        out = impute.fill(out, k, number, usable=f"ok_{k}", support=5, stats_from=ok)
     marks = [c for k in ("return_on_equity", "operating_margin", "sector", "as_of") for c in (k, f"{k}_filled", f"{k}_level")]
-    return ok.select("panel_id", *marks)
+    return out.select("panel_id", *marks)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_attributes, p4_found, p4_profile, p4_masks, p4_drift, p5_found, p5_filled)}
