@@ -224,3 +224,19 @@ def test_bad_prices_are_skipped(spark):
     a = panel.priced_snapshots(prices, D(2022, 1, 1), D(2022, 10, 1)).orderBy("ticker", "as_of").toPandas()
     b = panel.priced_snapshots(prices.unionByName(bad), D(2022, 1, 1), D(2022, 10, 1)).orderBy("ticker", "as_of").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_registered_panel_spans_the_prices(spark):
+    from tidemark.queries.pipeline import b02_panel
+    from tidemark.sources.tables import by_day, read
+
+    sf = "/root/testdata/sf0.001"
+    low, high = panel.span_of(by_day(read(spark, sf, "prices")))
+    want = {r["as_of"] for r in calendar.valid_snapshots(by_day(read(spark, sf, "prices")), "ticker", "date", low, high).collect()}
+    got = {r["as_of"] for r in b02_panel(spark, sf).select("as_of").distinct().collect()}
+    assert got == want and max(got) == high and D(2015, 4, 1) in got
+
+
+def test_span_without_prices(spark):
+    prices, funds, ends, uni = world(spark)
+    assert panel.raw_panel(prices.limit(0), funds, ends, uni).count() == 0

@@ -75,13 +75,23 @@ def with_universe(df: DataFrame, universe: DataFrame) -> DataFrame:
     return df.withColumns({"sector": sector, "size_group": F.coalesce("size_group", F.lit("large")), "industry": F.coalesce("industry", F.concat(sector, F.lit(" other")))})
 
 
-def raw_panel(prices: DataFrame, fundamentals: DataFrame, year_ends: DataFrame, universe: DataFrame, start: date, today: date) -> DataFrame:
-    """The panel without percentiles.
+def span_of(daily: DataFrame) -> tuple[date | None, date | None]:
+    """First and last day of the rows of `sources.tables.by_day`; (None, None) without rows."""
+    return tuple(daily.agg(F.min("date"), F.max("date")).first())
+
+
+def raw_panel(
+    prices: DataFrame, fundamentals: DataFrame, year_ends: DataFrame, universe: DataFrame, start: date | None = None, today: date | None = None,
+) -> DataFrame:
+    """The panel without percentiles; start and today are the first and last day of usable prices unless given.
 
     The daily rows feed four branches and the quarters two, so both are written once to the checkpoint folder instead of
     being computed from the raw tables for each.
     """
     daily = cut(by_day(prices))
+    if start is None or today is None:
+        low, high = span_of(daily)
+        start, today = start or low or date.min, today or high or date.min
     quarters = cut(known_quarters(fundamentals, year_ends, daily))
     p = with_fundamentals(snapshots_of(daily, start, today), quarters)
     p = with_universe(p, universe).withColumn("fiscal_year_end_assumed", F.coalesce("fiscal_year_end_assumed", F.lit(True)))

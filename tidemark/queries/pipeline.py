@@ -13,6 +13,7 @@ from tidemark.operators.windows import nearest_prior
 from tidemark.plans import panel as plan
 from tidemark.sources.tables import by_day, by_quarter, read
 
+#: Snapshots of the queries that have SQL, which names the same days; queries without SQL span the prices.
 START, TODAY = date(2016, 1, 1), date(2024, 4, 1)
 #: Readings of this size are codes, not per-share values; the queries take them as missing on both sides.
 LARGEST = 9000.0
@@ -43,7 +44,7 @@ def s02_quarters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j01_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    """Snapshot dates from the first to the last day of the prices table."""
+    """Snapshot dates of the fixed days of its SQL; it reads no table."""
     return calendar.snapshot_calendar(spark, date(2015, 2, 1), date(2024, 6, 28))
 
 
@@ -97,13 +98,13 @@ def l01_reporting_lag(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("ticker", "period", "is_fiscal_q4", "fiscal_year_end_assumed", "known_date")
 
 
-def _panel(spark: SparkSession, sf: str) -> DataFrame:
-    return plan.raw_panel(read(spark, sf, "prices"), _fundamentals(spark, sf), read(spark, sf, "fiscal_year_ends"), read(spark, sf, "universe"), START, TODAY)
+def _panel(spark: SparkSession, sf: str, start: date | None = None, today: date | None = None) -> DataFrame:
+    return plan.raw_panel(read(spark, sf, "prices"), _fundamentals(spark, sf), read(spark, sf, "fiscal_year_ends"), read(spark, sf, "universe"), start, today)
 
 
 def l04_rescaled(spark: SparkSession, sf: str) -> DataFrame:
     """Multiples at the snapshot's price, sizes, normalized P/E."""
-    p = _panel(spark, sf)
+    p = _panel(spark, sf, START, TODAY)
     cols = ["price", "period_price", *[f"{m}_reported" for m in (*reporting.RESCALED, "ev_to_ebitda")], *reporting.RESCALED, "ev_to_ebitda", "log_book_value", "log_revenue", "normalized_pe"]
     return rounded(p.select("ticker", "as_of", *cols), 7)
 
@@ -120,7 +121,7 @@ def x01_technicals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b02_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole panel with percentiles and scores."""
+    """The whole panel with percentiles and scores (B1 to B4), from the first to the last day of the prices."""
     return plan.scores(plan.add_percentiles(_panel(spark, sf)))
 
 
