@@ -12,25 +12,34 @@ from pyspark.sql import functions as F
 from tidemark import config as cfg
 from tidemark.operators import calendar, technicals, universe
 from tidemark.plans import diagnostics, fairvalue, hypothesis, labels, report
-from tidemark.queries.pipeline import START, TODAY, _fundamentals, _given, rounded
+from tidemark.queries.pipeline import START, TODAY, _fundamentals, _given, b02_panel, rounded
 from tidemark.queries.sql import CALENDAR, DAILY, GIVEN, QUARTERS, SNAPS, pct_max, with_
 from tidemark.sources import ingest
-from tidemark.sources.tables import by_day, by_quarter, read
+from tidemark.sources.tables import by_day, by_quarter, cut, read
 
 #: Least rows of a cross-section here: the smallest tables have 51 companies, and 50 is the model's own bound.
 MIN_ROWS = 15
 FEATURES = ["return_on_equity", "operating_margin", "debt_to_equity"]
 
 
+def _built(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel of the pipeline with all features of the model and columns of the flags, stored once."""
+    return cut(b02_panel(spark, sf))
+
+
 def _long(spark: SparkSession, sf: str) -> DataFrame:
     return fairvalue.eligible(_given(spark, sf), min_rows=MIN_ROWS)
 
 
-def _fits(spark: SparkSession, sf: str) -> DataFrame:
-    f = fairvalue.sector_baseline(_long(spark, sf))
+def _baseline(panel: DataFrame) -> DataFrame:
+    f = fairvalue.sector_baseline(fairvalue.eligible(panel, min_rows=MIN_ROWS))
     return f.withColumn("gap", F.col("y") - F.col("pred"))
 
 
+def _fits(spark: SparkSession, sf: str) -> DataFrame:
+    return _baseline(_given(spark, sf))
+
+
 def _seen(spark: SparkSession, sf: str) -> DataFrame:
     return fairvalue.verdict(_given(spark, sf), _fits(spark, sf))
 
@@ -55,7 +64,7 @@ def m03_winsor_transform(spark: SparkSession, sf: str) -> DataFrame:
 
 def m10_fair_value(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold ridge with its parts."""
-    return fairvalue.fit(_given(spark, sf), min_rows=MIN_ROWS)
+    return fairvalue.fit(_built(spark, sf), min_rows=MIN_ROWS)
 
 
 def m12_sector_baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +74,7 @@ def m12_sector_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 def m13_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     """Coefficients over dates."""
-    return diagnostics.coefficient_summary(fairvalue.coefficients(_given(spark, sf), min_rows=MIN_ROWS))
+    return diagnostics.coefficient_summary(fairvalue.coefficients(_built(spark, sf), min_rows=MIN_ROWS))
 
 
 def m14_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,10 +88,10 @@ def m16_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 def m17_compare_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Mean r2 of the ranked, the clipped and the featureless model and the baseline."""
-    g = _given(spark, sf)
+    g = _built(spark, sf)
     one = lambda **k: fairvalue.fit(g, min_rows=MIN_ROWS, contributions=False, **k)
     none = {t.key: ["volatility_63d"] for t in cfg.TARGETS}
-    return diagnostics.compare_sets({"rank": one(), "winsor": one(transform="winsor"), "volatility only": one(features=none), "sector median": _fits(spark, sf)}, "sector median")
+    return diagnostics.compare_sets({"rank": one(), "winsor": one(transform="winsor"), "volatility only": one(features=none), "sector median": _baseline(g)}, "sector median")
 
 
 def m19_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +152,7 @@ def a10_transitions(spark: SparkSession, sf: str) -> DataFrame:
 
 def a14_screened(spark: SparkSession, sf: str) -> DataFrame:
     """All labels and flags on the ridge's verdict."""
-    g = _given(spark, sf)
+    g = _built(spark, sf)
     return labels.screened(fairvalue.verdict(g, fairvalue.fit(g, min_rows=MIN_ROWS, contributions=False)))
 
 
@@ -155,11 +164,10 @@ def a15_size_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 def a11_explanations(spark: SparkSession, sf: str) -> DataFrame:
     """A text per row of the last snapshot with the strongest drivers."""
-    g = _given(spark, sf)
-    fits = fairvalue.fit(g, min_rows=MIN_ROWS)
-    seen = labels.add_labels(fairvalue.verdict(g, fits))
-    last = seen.join(seen.agg(F.max("as_of").alias("as_of")), "as_of", "left_semi")
-    return report.explained(last, fits)
+    g = _built(spark, sf)
+    last = g.join(g.agg(F.max("as_of").alias("as_of")), "as_of", "left_semi")  # fits and labels are per snapshot
+    fits = fairvalue.fit(last, min_rows=MIN_ROWS)
+    return report.explained(labels.add_labels(fairvalue.verdict(last, fits)), fits)
 
 
 def u02_industry_groups(spark: SparkSession, sf: str) -> DataFrame:
