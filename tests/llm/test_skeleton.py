@@ -55,3 +55,12 @@ def test_p8_against_brute_force_on_the_small_table(spark):
     want = {(min(i, j), max(i, j)) for i, a, x in forms for j, b, y in forms if i != j and x == y and a != b}
     got = [tuple(r) for r in p8_found(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize(("a", "b"), [("\u03bdalue", "value"), ("\u0475alue", "value"), ("\u2163 \u217b", "IV xii"), ("t\u0570e", "the"), ("o\u0578e", "one")])
+def test_more_letters_of_the_same_shape(a, b):
+    assert S(a) == S(b) and S(S(a)) == S(a)
+
+
+def test_other_forms_stay_apart():
+    assert len({S(x) for x in ("-", "\u2013", "\u2212", "\ufe8f", "\u0628", "\u0475\u030f", "v")}) == 7

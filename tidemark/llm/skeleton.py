@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 # Letters of other scripts with the shape of the letter before them.
 LOOK_ALIKES = {
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і",
+    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і",
     "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "р", "q": "ԛ", "s": "ѕ",
-    "u": "ս", "w": "ԝ", "x": "х", "y": "у",
+    "n": "ո", "v": "νѵ", "u": "ս", "w": "ԝ", "x": "х", "y": "у",
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ",
     "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ",
     "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ",
@@ -29,9 +29,9 @@ LOOK_ALIKES = {
     "Γ": "Г", "Π": "П", "Φ": "Ф", "μ": "µ",
     "-": "‐‑",
 }
-#: Ranges whose compatibility decomposition has the same look: Latin digraphs, ligatures, radicals. Wide and narrow
+#: Ranges whose compatibility decomposition has the same look: Latin digraphs, Roman numerals, ligatures, radicals. Wide and narrow
 #: forms are found by the tag of their decomposition instead.
-SAME_LOOK = [(0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2E9F, 0x2E9F), (0x2EF3, 0x2EF3), (0x2F00, 0x2FD5), (0xFB00, 0xFB06), (0xFB13, 0xFB17)]
+SAME_LOOK = [(0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (0x2E9F, 0x2E9F), (0x2EF3, 0x2EF3), (0x2F00, 0x2FD5), (0xFB00, 0xFB06), (0xFB13, 0xFB17)]
 #: Characters without any look, by ranges: controls, soft hyphen, joiners, fillers, marks of direction, selectors, tags.
 #: C1 controls are left: in texts decoded by a false charset they stand for parts of letters.
 INVISIBLE = [(0, 8), (0x0E, 0x1F), (0x7F, 0x7F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200C), (0x200E, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
