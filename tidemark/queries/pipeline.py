@@ -15,7 +15,8 @@ from tidemark.sources.tables import by_day, by_quarter, read
 
 #: Snapshots of the queries that have SQL, which names the same days; queries without SQL span the prices.
 START, TODAY = date(2016, 1, 1), date(2024, 4, 1)
-#: Readings of this size are codes, not per-share values; the queries take them as missing on both sides.
+#: Readings of this size are codes, not per-share values; the queries take them as missing on both sides. The SQL of the
+#: given panel has the limit for all its numbers, so `_given` loses larger totals (book_value) as well.
 LARGEST = 9000.0
 
 
