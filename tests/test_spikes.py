@@ -2,7 +2,9 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 
+from tidemark.operators import spikes
 from tidemark.operators.spikes import SpikeRule, filler_code, gpd_cutoff, unusual_readings
 
 S = "source string, t bigint, season int, v double"
@@ -80,11 +82,46 @@ def test_filler_codes(spark):
 def test_tail_cutoff_keeps_its_risk():
     rng = np.random.default_rng(0)
     e = np.abs(rng.normal(size=(200, 400)))
-    cut = gpd_cutoff(e, np.ones_like(e, dtype=bool), SpikeRule(risk=1e-3))
+    cut = gpd_cutoff(e, np.ones_like(e, dtype=bool), np.ones(200), SpikeRule(risk=1e-3))
     share = (np.abs(rng.normal(size=(200, 5000))) > cut[:, None]).mean()
     assert 1e-4 < share < 4e-3
 
 
+def test_the_fitted_tail_alone_decides():
+    """The same deviation is a spike at a source of thin tail and none at a source whose own readings reach as far."""
+    rng = np.random.default_rng(4)
+    thin, heavy = rng.normal(10, 0.2, 48), rng.normal(10, 0.2, 48)
+    heavy[::8] += rng.choice([-1.5, 1.5], 6)
+    thin[21] = heavy[21] = 11.9
+    f = pd.concat([pd.DataFrame({"source": s, "t": range(48), "season": np.arange(48) % 4, "v": v}) for s, v in (("thin", thin), ("heavy", heavy))])
+    assert set(map(tuple, spikes._scan(f, ["source"], SpikeRule())[["source", "t"]].to_numpy().tolist())) == {("thin", 21)}
+    e = np.abs(np.stack([thin, heavy]) - 10)
+    cut = gpd_cutoff(e, np.ones_like(e, dtype=bool), np.full(2, 0.2), SpikeRule())
+    assert cut[0] < 1.9 < cut[1]
+
+
+def test_coarse_steps_are_not_stuck_even_if_the_level_hardly_moves():
+    rng = np.random.default_rng(8)
+    quiet = np.round(rng.normal(0.85, 0.03, 60), 1)  # long runs of 0.9 and 0.8
+    fine = np.round(rng.normal(5, 0.5, 60), 3)
+    fine[30:36] = fine[30]
+    v = np.r_[quiet, fine]
+    f = pd.DataFrame({"source": ["q"] * 60 + ["f"] * 60, "t": [*range(60)] * 2, "season": 0, "v": v})
+    assert set(map(tuple, spikes._scan(f, ["source"], SpikeRule())[["source", "t"]].to_numpy().tolist())) == {("f", t) for t in range(31, 36)}
+    assert spikes.reporting_step(np.array([[0.25, 0.5, 1.0, np.nan], [0.1, 0.3, 0.2, 0.7], [3.0, 3.0, 3.0, 3.0]])).tolist() == [0.25, 0.1, 1.0]
+
+
+def test_long_sources_and_short_ones_in_one_frame():
+    """A source of 20,000 readings with one spike among many short ones; repeated runs give the same."""
+    rng = np.random.default_rng(2)
+    long = rng.normal(50, 1, 20_000)
+    long[7777] = 500
+    parts = [pd.DataFrame({"source": "long", "t": range(20_000), "season": 0, "v": long})]
+    parts += [pd.DataFrame({"source": f"s{i}", "t": range(12), "season": 0, "v": rng.normal(5, 0.1, 12)}) for i in range(300)]
+    got = spikes._scan(pd.concat(parts), ["source"], SpikeRule())
+    assert ("long", 7777) in set(map(tuple, got[["source", "t"]].to_numpy().tolist())) and (got["source"] == "long").sum() < 10
+
+
 def test_p2_finds_planted_readings_in_the_tables(spark, tmp_path):
     """Spikes planted into clean copies of the tables come out through the query, nothing else of the company does."""
     from tidemark.queries.quality import p2_found
