@@ -231,8 +231,9 @@ def test_registered_panel_spans_the_prices(spark):
     from tidemark.sources.tables import by_day, read
 
     sf = "/root/testdata/sf0.001"
-    low, high = panel.span_of(by_day(read(spark, sf, "prices")))
-    want = {r["as_of"] for r in calendar.valid_snapshots(by_day(read(spark, sf, "prices")), "ticker", "date", low, high).collect()}
+    daily = by_day(read(spark, sf, "prices"))
+    low, high = daily.selectExpr("min(date)", "max(date)").first()
+    want = {r["as_of"] for r in calendar.valid_snapshots(daily, "ticker", "date", low, high).collect()}
     got = {r["as_of"] for r in b02_panel(spark, sf).select("as_of").distinct().collect()}
     assert got == want and max(got) == high and D(2015, 4, 1) in got
 

@@ -4,8 +4,9 @@ import random
 import numpy as np
 import pandas as pd
 
+from tidemark.functions.columns import filler_code, real_number
 from tidemark.operators import spikes
-from tidemark.operators.spikes import SpikeRule, filler_code, gpd_cutoff, unusual_readings
+from tidemark.operators.spikes import SpikeRule, gpd_cutoff, unusual_readings
 
 S = "source string, t bigint, season int, v double"
 
@@ -77,6 +78,8 @@ def test_filler_codes(spark):
     df = spark.createDataFrame(rows, "v double")
     got = [r[0] for r in df.select(filler_code(df["v"])).collect()]
     assert got == [True, True, True, True, True, True, True] + [False] * 8
+    kept = [r[0] for r in spark.createDataFrame([(9012.78,), (73873.07,), (-120.0,), (9999.0,), (float("-inf"),), (float("nan"),), (None,)], "v double").select(real_number("v")).collect()]
+    assert kept == [9012.78, 73873.07, -120.0, None, None, None, None]
 
 
 def test_tail_cutoff_keeps_its_risk():

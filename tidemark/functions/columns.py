@@ -22,6 +22,20 @@ def finite(c: Column | str) -> Column:
     return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
+def filler_code(c: Column | str) -> Column:
+    """True for numbers that stand for 'no value' by their form: nothing but nines from 999 on (also 999.99, -9999), or a
+    power of ten from a million on. Size alone makes no code."""
+    c = F.col(c) if isinstance(c, str) else c
+    digits = F.format_string("%.2f", F.abs(c))
+    return F.coalesce((F.abs(c) >= 999) & digits.rlike(r"^(9{3,}\.(00|90|99)|10{6,}\.00)$"), F.lit(False))
+
+
+def real_number(c: Column | str) -> Column:
+    """The number if it is finite and no filler code, else NULL."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when((F.abs(c) < F.lit(float("inf"))) & ~filler_code(c), c)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Every double and float column without NaN; one projection, no shuffle."""
     kinds = (T.DoubleType, T.FloatType)

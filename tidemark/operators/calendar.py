@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 MAX_STALENESS_DAYS = 10
 
 
-def snapshot_calendar(spark: SparkSession, start: date, today: date) -> DataFrame:
-    """(as_of): the quarter starts from the first one not before `start` up to `today`, and `today` itself."""
-    lit = lambda d: F.lit(d.isoformat()).cast("date")
-    begin = F.trunc(lit(start), "quarter")
-    first = F.when(begin == lit(start), begin).otherwise(F.add_months(begin, 3))
-    quarters = F.when(first <= lit(today), F.sequence(first, lit(today), F.expr("interval 3 months"))).otherwise(F.array().cast("array<date>"))
-    return spark.range(1).select(F.explode(F.array_union(quarters, F.array(lit(today)))).alias("as_of"))
+def day(d: date | Column) -> Column:
+    """The day as a date column; columns (scalar subqueries over the data) stay as they are."""
+    return d if isinstance(d, Column) else F.lit(d.isoformat()).cast("date")
+
+
+def snapshot_calendar(spark: SparkSession, start: date | Column, today: date | Column) -> DataFrame:
+    """(as_of): the quarter starts from the first one not before `start` up to `today`, and `today` itself; no rows if
+    `start` is after `today`."""
+    span = spark.range(1).select(day(start).alias("a"), day(today).alias("b")).where("a <= b")
+    begin = F.trunc("a", "quarter")
+    first = F.when(begin == F.col("a"), begin).otherwise(F.add_months(begin, 3))
+    quarters = F.when(first <= F.col("b"), F.sequence(first, F.col("b"), F.expr("interval 3 months"))).otherwise(F.array().cast("array<date>"))
+    return span.select(F.explode(F.array_union(quarters, F.array("b"))).alias("as_of"))
 
 
 def next_quarter_start(day: Column) -> Column:
@@ -24,7 +30,7 @@ def next_quarter_start(day: Column) -> Column:
     return F.add_months(F.trunc(F.date_sub(day, 1), "quarter"), 3)
 
 
-def valid_snapshots(daily: DataFrame, key: str, day: str, start: date, today: date, stale_days: int = MAX_STALENESS_DAYS) -> DataFrame:
+def valid_snapshots(daily: DataFrame, key: str, at: str, start: date | Column, today: date | Column, stale_days: int = MAX_STALENESS_DAYS) -> DataFrame:
     """The rows of `daily` that are the last known at a snapshot date, with its `as_of`.
 
     A row is valid from its day until the day before the key's next row, but no longer than `stale_days` days; a key
@@ -34,11 +40,11 @@ def valid_snapshots(daily: DataFrame, key: str, day: str, start: date, today: da
     """
     if not 0 <= stale_days < 89:
         raise ValueError("stale_days must be shorter than a quarter")
-    lit = lambda d: F.lit(d.isoformat()).cast("date")
-    following = F.lead(day).over(Window.partitionBy(key).orderBy(day))
-    until = F.least(F.date_add(day, stale_days), F.coalesce(F.date_sub(following, 1), F.date_add(day, stale_days)))
-    q = next_quarter_start(F.col(day))
-    at_quarter = F.when((q <= F.col("__until")) & (q >= lit(start)) & (q <= lit(today)), q)
-    at_today = F.when((F.col(day) <= lit(today)) & (lit(today) <= F.col("__until")), lit(today))
+    following = F.lead(at).over(Window.partitionBy(key).orderBy(at))
+    until = F.least(F.date_add(at, stale_days), F.coalesce(F.date_sub(following, 1), F.date_add(at, stale_days)))
+    q = next_quarter_start(F.col(at))
+    d = daily.withColumns({"__until": until, "__start": day(start), "__today": day(today)})
+    at_quarter = F.when((q <= F.col("__until")) & (q >= F.col("__start")) & (q <= F.col("__today")), q)
+    at_today = F.when((F.col(at) <= F.col("__today")) & (F.col("__today") <= F.col("__until")), F.col("__today"))
     dates = F.array_distinct(F.array_compact(F.array(at_quarter, at_today)))
-    return daily.withColumn("__until", until).select(*daily.columns, F.explode(dates).alias("as_of"))
+    return d.select(*daily.columns, F.explode(dates).alias("as_of"))

@@ -1,4 +1,4 @@
-"""Filling missing cells from the finest group of similar records with enough support, with a flag for each fill."""
+"""Filling missing cells from the finest group of similar records with enough support, with marks for each cell."""
 
 from __future__ import annotations
 
@@ -11,12 +11,6 @@ from pyspark.sql import functions as F
 NO_NAME = ["", "-", "--", "?", "n/a", "na", "#n/a", "none", "null", "nan", "tbd", "unknown", "not available", "other", "misc"]
 
 
-def usable_number(c: Column, largest: float = 90.0) -> Column:
-    """The number if it is finite and of a size that a ratio can have; codes such as -999, 9999, 999.99 or 1e20 are
-    no values. NaN and NULL give NULL."""
-    return F.when(F.abs(c) < largest, c)
-
-
 def usable_name(c: Column, known: Column) -> Column:
     """The name if it is one of those known to be one (`known` true), is not blank and no word for 'no name'."""
     return F.when(known & ~F.lower(F.trim(c)).isin(NO_NAME), c)
@@ -36,49 +30,89 @@ def with_known_names(df: DataFrame, name: str, names: DataFrame, flag: str) -> D
     return out.join(good.withColumn(flag, F.lit(True)), "__name", "left").drop("__name").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def unusable_cells(panel: DataFrame, id_col: str, checks: dict[str, Column]) -> DataFrame:
-    """(id, field): one row per cell without a usable value; `checks` maps a field to its usable value or NULL."""
-    cells = F.array(*[F.when(v.isNull(), F.lit(k)) for k, v in checks.items()])
-    return panel.select(id_col, F.explode(F.array_compact(cells)).alias("field"))
+def unusable_cells(filled: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
+    """(id, field): one row per cell without a usable value, by the marks <field>_missing of `fill`."""
+    cells = F.array(*[F.when(F.col(f"{k}_missing"), F.lit(k)) for k in fields])
+    return filled.select(id_col, F.explode(F.array_compact(cells)).alias("field"))
+
+
+def _by_level(rows: DataFrame, levels: Sequence[tuple[str, Sequence[str]]], keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """`keep` and, for each level whose keys the row has, __level and its keys as __k0, ...; other keys are NULL there."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+
+    def one(i: int, used: Sequence[str]) -> Column:
+        has = F.lit(True)
+        for k in used:
+            has = has & F.col(k).isNotNull()
+        cells = [(F.col(k) if k in used else F.lit(None).cast(kinds[k])).alias(f"__k{j}") for j, k in enumerate(keys)]
+        return F.when(has, F.struct(F.lit(i).alias("__level"), *cells))
 
+    every = F.array_compact(F.array(*[one(i, used) for i, (_, used) in enumerate(levels)]))
+    return rows.select(*keep, F.inline(every))
 
-def _level(df: DataFrame, keys: Sequence[str], value: str, support: int, categorical: bool, at: int) -> DataFrame:
-    rows = df.where(F.col(value).isNotNull())
-    for k in keys:
-        rows = rows.where(F.col(k).isNotNull())
-    if categorical:  # the mode; of equals the smallest. Two steps, so a hot group is combined by value first.
-        counts = rows.groupBy(*keys, value).agg(F.count("*").alias("__c"))
-        top = counts.groupBy(*keys).agg(F.min(F.struct((-F.col("__c")).alias("c"), F.col(value).alias("v"))).alias("x"), F.sum("__c").alias("__n"))
-        stat = F.col("x.v")
-    else:  # percentile_approx has bounded state and combines before the shuffle; exact for groups below its accuracy
-        top = rows.groupBy(*keys).agg(F.percentile_approx(value, 0.5, 10_000).alias("x"), F.count("*").alias("__n"))
-        stat = F.col("x")
-    return top.where(F.col("__n") >= support).select(*keys, stat.alias(f"__fill_{at}"))
+
+def group_statistics(
+    rows: DataFrame, values: Sequence[str], levels: Sequence[tuple[str, Sequence[str]]], keys: Sequence[str], categorical: bool
+) -> DataFrame:
+    """(__level, __k0.., __x0, __n0, ...): typical value and number of present values of each of `values`, for the groups of
+    all levels in one aggregate.
+
+    Numbers: percentile_approx, the lower median (exact for groups below its accuracy), which has bounded state and combines
+    before the shuffle. Categories: the most frequent value, of equals the smallest; counted by value first, so a hot
+    group is combined before it meets in one task.
+    """
+    names = ["__level", *[f"__k{j}" for j in range(len(keys))]]
+    if not categorical:
+        long = _by_level(rows, levels, keys, values)
+        stats = [x for i, v in enumerate(values) for x in (F.percentile_approx(v, 0.5, 10_000).alias(f"__x{i}"), F.count(v).alias(f"__n{i}"))]
+        return long.groupBy(*names).agg(*stats)
+    (value,) = values
+    counts = _by_level(rows.where(F.col(value).isNotNull()), levels, keys, [value]).groupBy(*names, value).agg(F.count("*").alias("__c"))
+    top = F.min(F.struct((-F.col("__c")).alias("c"), F.col(value).alias("v")))
+    return counts.groupBy(*names).agg(top.alias("__t"), F.sum("__c").alias("__n0")).select(*names, F.col("__t.v").alias("__x0"), "__n0")
 
 
 def fill(
-    df: DataFrame, value: str, levels: Sequence[tuple[str, Sequence[str]]], *, support: int = 5,
-    categorical: bool = False, usable: str | None = None, stats_from: DataFrame | None = None,
+    df: DataFrame, values: dict[str, str], levels: Sequence[tuple[str, Sequence[str]]], *, support: int = 5, categorical: bool = False,
 ) -> DataFrame:
-    """`df` with <value> filled, <value>_filled (boolean) and <value>_level (the level that filled it, else NULL).
+    """`df` with each of `values` filled, and <value>_missing, <value>_filled (booleans) and <value>_level (what filled it).
 
-    `usable` names the column with the usable value (default: `value` itself); where it is NULL the value is taken from
-    the first of `levels` (name, key columns; finest first) whose group has at least `support` usable values: their
-    median (lower of the two middle ones) or, if `categorical`, their mode. A level with no keys stands for all rows.
-    Rows with a NULL in a level's keys skip that level; without any group the cell stays NULL and unmarked.
+    `values` maps a column to the column with its usable value (itself, if it is the same one). Where that is NULL the
+    value is taken from the first of `levels` (name, key columns; finest first) whose group has at least `support` usable
+    values: their median or, if `categorical` (one value at a time), their mode. A level with no keys stands for all rows.
+    Rows with a NULL in a level's keys skip that level; a cell that no level can fill is missing, not filled, and its
+    value is NULL. An empty table stays empty; repeated rows are filled alike.
 
-    The statistics are computed once per level from `stats_from` (default: `df`). Give a stored table there when fills
-    follow one another: else each fill computes all fills before it again, for every one of its levels.
+    Plan. Rows that miss nothing are passed on as they are. The statistics of all levels and values are one aggregate. What
+    fills a cell depends on the row's keys alone, so the distinct keys of incomplete rows are looked up, once for all
+    levels, and only incomplete rows are joined.
     """
-    src, given = usable or value, stats_from if stats_from is not None else df
-    out, fills = df, []
-    for i, (_, keys) in enumerate(levels):
-        stats = _level(given, keys, src, support, categorical, i)
-        out = out.join(stats, list(keys), "left") if keys else out.join(F.broadcast(stats.limit(1)), F.lit(True), "left")
-        fills.append(F.col(f"__fill_{i}"))
-    was = F.col(src).isNull()
-    got = F.coalesce(*fills)
-    level = F.coalesce(*[F.when(f.isNotNull(), F.lit(name)) for f, (name, _) in zip(fills, levels, strict=True)])
-    new = F.when(was, got).otherwise(F.col(src))
-    out = out.withColumns({f"{value}_filled": was & got.isNotNull(), f"{value}_level": F.when(was, level), "__new": new})
-    return out.withColumn(value, F.col("__new")).drop("__new", *[f"__fill_{i}" for i in range(len(levels))])
+    names, usable = list(values), list(values.values())
+    keys = list(dict.fromkeys(k for _, used in levels for k in used))
+    lacks = F.lit(False)
+    for u in usable:
+        lacks = lacks | F.col(u).isNull()
+    some = df.where(lacks)
+    level_keys = ["__level", *[f"__k{j}" for j in range(len(keys))]]
+    same = lambda d, cols, to: d.withColumnsRenamed({c: to + c for c in cols})
+    equal = lambda cols, to: [F.col(c).eqNullSafe(F.col(to + c)) for c in cols]
+    stats = same(group_statistics(df, usable, levels, keys, categorical), level_keys, "s")
+    asked = _by_level(some.select(*keys).distinct() if keys else some.select(F.lit(0).alias("__one")).distinct(), levels, keys, keys or ["__one"])
+    found = asked.join(stats, equal(level_keys, "s"))
+    first = [F.min(F.when((F.col(f"__n{i}") >= support) & F.col(f"__x{i}").isNotNull(), F.struct("__level", F.col(f"__x{i}").alias("v")))).alias(f"__f{i}") for i in range(len(names))]
+    fills = same(found.groupBy(*(keys or ["__one"])).agg(*first), keys or ["__one"], "__f_")
+    done = some.join(fills, equal(keys, "__f_") if keys else F.lit(True), "left")
+    label = F.array(*[F.lit(n) for n, _ in levels])
+
+    def marks(got: Sequence[tuple[Column, Column]]) -> list[Column]:
+        out = []
+        for (n, u), (x, at) in zip(values.items(), got, strict=True):
+            none = F.col(u).isNull()
+            out += [F.coalesce(F.col(u), x).alias(n), none.alias(f"{n}_missing"), (none & x.isNotNull()).alias(f"{n}_filled"), F.when(none & x.isNotNull(), at).alias(f"{n}_level")]
+        return out
+
+    keep = [c for c in df.columns if c not in {x for n in names for x in (n, f"{n}_missing", f"{n}_filled", f"{n}_level")}]
+    kinds = {f.name: f.dataType for f in df.schema}
+    whole = df.where(~lacks).select(*keep, *marks([(F.lit(None).cast(kinds[u]), F.lit(None).cast("string")) for u in usable]))
+    mended = done.select(*keep, *marks([(F.col(f"__f{i}.v"), F.get(label, F.col(f"__f{i}.__level"))) for i in range(len(names))]))
+    return whole.unionByName(mended)

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import dividends, reporting, technicals, trends
 from tidemark.operators.calendar import valid_snapshots
 from tidemark.operators.lastknown import ROW, attributes_as_of
 from tidemark.operators.windows import mean_of, percent_rank_max
-from tidemark.sources.tables import by_day, by_quarter, cut
+from tidemark.sources.tables import by_day, by_quarter, cut, span_of
 
 #: Indicator -> whether a lower value is better. Fixed choices of the percentile table.
 INDICATORS = {
@@ -29,13 +29,13 @@ QUALITY = ["return_on_equity", "debt_to_equity", "operating_margin", "revenue_gr
 MOMENTUM = ["ma50_vs_ma200", "pct_from_52w_high"]
 
 
-def priced_snapshots(prices: DataFrame, start: date, today: date) -> DataFrame:
+def priced_snapshots(prices: DataFrame, start: date | Column, today: date | Column) -> DataFrame:
     """(ticker, as_of, date, close, price, technicals...): the last trade at most 10 days before each snapshot, and the
     last quoted price, which can be older. A ticker without such a trade has no row."""
     return snapshots_of(by_day(prices), start, today)
 
 
-def snapshots_of(daily: DataFrame, start: date, today: date) -> DataFrame:
+def snapshots_of(daily: DataFrame, start: date | Column, today: date | Column) -> DataFrame:
     """`priced_snapshots` from the rows of `sources.tables.by_day`."""
     quoted = F.last("close_raw", ignorenulls=True).over(Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     rows = technicals.technicals(daily).withColumn("price", quoted)
@@ -75,11 +75,6 @@ def with_universe(df: DataFrame, universe: DataFrame) -> DataFrame:
     return df.withColumns({"sector": sector, "size_group": F.coalesce("size_group", F.lit("large")), "industry": F.coalesce("industry", F.concat(sector, F.lit(" other")))})
 
 
-def span_of(daily: DataFrame) -> tuple[date | None, date | None]:
-    """First and last day of the rows of `sources.tables.by_day`; (None, None) without rows."""
-    return tuple(daily.agg(F.min("date"), F.max("date")).first())
-
-
 def raw_panel(
     prices: DataFrame, fundamentals: DataFrame, year_ends: DataFrame, universe: DataFrame, start: date | None = None, today: date | None = None,
 ) -> DataFrame:
@@ -89,9 +84,8 @@ def raw_panel(
     being computed from the raw tables for each.
     """
     daily = cut(by_day(prices))
-    if start is None or today is None:
-        low, high = span_of(daily)
-        start, today = start or low or date.min, today or high or date.min
+    low, high = span_of(daily)
+    start, today = start or low, today or high
     quarters = cut(known_quarters(fundamentals, year_ends, daily))
     p = with_fundamentals(snapshots_of(daily, start, today), quarters)
     p = with_universe(p, universe).withColumn("fiscal_year_end_assumed", F.coalesce("fiscal_year_end_assumed", F.lit(True)))

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config as cfg
-from tidemark.operators import calendar, technicals, universe
+from tidemark.operators import technicals, universe
 from tidemark.plans import diagnostics, fairvalue, hypothesis, labels, report
-from tidemark.queries.pipeline import START, TODAY, _fundamentals, _given, b02_panel, rounded
+from tidemark.queries.pipeline import _fundamentals, _given, _snapshots, b02_panel, rounded
 from tidemark.queries.sql import CALENDAR, DAILY, GIVEN, QUARTERS, SNAPS, pct_max, with_
 from tidemark.sources import ingest
 from tidemark.sources.tables import by_day, by_quarter, cut, read
@@ -47,7 +47,7 @@ def _seen(spark: SparkSession, sf: str) -> DataFrame:
 
 def _with_returns(spark: SparkSession, sf: str) -> DataFrame:
     daily = by_day(read(spark, sf, "prices"))
-    snaps = calendar.valid_snapshots(daily, "ticker", "date", START, TODAY).select("ticker", "as_of", "close")
+    snaps = _snapshots(spark, sf, daily).select("ticker", "as_of", "close")
     ret = technicals.forward_returns(snaps, daily).drop("close")
     seen = _seen(spark, sf).select("as_of", "ticker", "size_group", F.col("valuation_gap").alias("gap"))
     return seen.join(ret, ["ticker", "as_of"])

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import real_number
 from tidemark.operators import calendar, dividends, reporting, technicals, trends
 from tidemark.operators.lastknown import attributes_as_of
 from tidemark.operators.windows import nearest_prior
 from tidemark.plans import panel as plan
-from tidemark.sources.tables import by_day, by_quarter, read
-
-#: Snapshots of the queries that have SQL, which names the same days; queries without SQL span the prices.
-START, TODAY = date(2016, 1, 1), date(2024, 4, 1)
-#: Readings of this size are codes, not per-share values; the queries take them as missing on both sides. The SQL of the
-#: given panel has the limit for all its numbers, so `_given` loses larger totals (book_value) as well.
-LARGEST = 9000.0
-
+from tidemark.sources.tables import by_day, by_quarter, read, span_of, usable_quotes
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of sums does not show."""
@@ -26,9 +18,17 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _fundamentals(spark: SparkSession, sf: str) -> DataFrame:
-    f = read(spark, sf, "fundamentals")
-    sane = lambda c: F.when(F.abs(c) < LARGEST, F.col(c))
-    return f.withColumns({c: sane(c) for c in ("eps", "sales_per_share")})
+    return read(spark, sf, "fundamentals").withColumns({c: real_number(c) for c in ("eps", "sales_per_share")})
+
+
+def _snapshots(spark: SparkSession, sf: str, daily: DataFrame) -> DataFrame:
+    """The daily rows that are valid at a snapshot between the first and the last day of the prices."""
+    return calendar.valid_snapshots(daily, "ticker", "date", *span_of(usable_quotes(read(spark, sf, "prices"))))
+
+
+def _priced(spark: SparkSession, sf: str) -> DataFrame:
+    prices = read(spark, sf, "prices")
+    return plan.priced_snapshots(prices, *span_of(usable_quotes(prices)))
 
 
 def _quarters(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,8 +45,8 @@ def s02_quarters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j01_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    """Snapshot dates of the fixed days of its SQL; it reads no table."""
-    return calendar.snapshot_calendar(spark, date(2015, 2, 1), date(2024, 6, 28))
+    """Snapshot dates between the first and the last day of the usable prices."""
+    return calendar.snapshot_calendar(spark, *span_of(usable_quotes(read(spark, sf, "prices"))))
 
 
 def j02_prior_reading(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +58,7 @@ def j02_prior_reading(spark: SparkSession, sf: str) -> DataFrame:
 
 def j03_known_quarter(spark: SparkSession, sf: str) -> DataFrame:
     """Per snapshot of a traded ticker the quarter that counts as known."""
-    snaps = calendar.valid_snapshots(by_day(read(spark, sf, "prices")), "ticker", "date", START, TODAY).select("ticker", "as_of")
+    snaps = _snapshots(spark, sf, by_day(read(spark, sf, "prices"))).select("ticker", "as_of")
     q = reporting.with_reporting_lag(by_quarter(_fundamentals(spark, sf)), read(spark, sf, "fiscal_year_ends"))
     out = plan.with_fundamentals(snaps, q.select("ticker", "period", "known_date", "is_fiscal_q4", "fund_id"))
     return out.select("ticker", "as_of", "fundamentals_period", "known_date", "is_fiscal_q4", "fund_id")
@@ -66,7 +66,7 @@ def j03_known_quarter(spark: SparkSession, sf: str) -> DataFrame:
 
 def j04_price_at_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """Last trade at most 10 days before each snapshot, and the last quoted price of any age."""
-    return plan.priced_snapshots(read(spark, sf, "prices"), START, TODAY).select("ticker", "as_of", "date", "close", "price")
+    return _priced(spark, sf).select("ticker", "as_of", "date", "close", "price")
 
 
 def j06_price_at_period(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +78,7 @@ def j06_price_at_period(spark: SparkSession, sf: str) -> DataFrame:
 
 def j08_forward_returns(spark: SparkSession, sf: str) -> DataFrame:
     daily = by_day(read(spark, sf, "prices"))
-    snaps = calendar.valid_snapshots(daily, "ticker", "date", START, TODAY).select("ticker", "as_of", "close")
+    snaps = _snapshots(spark, sf, daily).select("ticker", "as_of", "close")
     return rounded(technicals.forward_returns(snaps, daily))
 
 
@@ -99,25 +99,25 @@ def l01_reporting_lag(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("ticker", "period", "is_fiscal_q4", "fiscal_year_end_assumed", "known_date")
 
 
-def _panel(spark: SparkSession, sf: str, start: date | None = None, today: date | None = None) -> DataFrame:
-    return plan.raw_panel(read(spark, sf, "prices"), _fundamentals(spark, sf), read(spark, sf, "fiscal_year_ends"), read(spark, sf, "universe"), start, today)
+def _panel(spark: SparkSession, sf: str) -> DataFrame:
+    return plan.raw_panel(read(spark, sf, "prices"), _fundamentals(spark, sf), read(spark, sf, "fiscal_year_ends"), read(spark, sf, "universe"))
 
 
 def l04_rescaled(spark: SparkSession, sf: str) -> DataFrame:
     """Multiples at the snapshot's price, sizes, normalized P/E."""
-    p = _panel(spark, sf, START, TODAY)
+    p = _panel(spark, sf)
     cols = ["price", "period_price", *[f"{m}_reported" for m in (*reporting.RESCALED, "ev_to_ebitda")], *reporting.RESCALED, "ev_to_ebitda", "log_book_value", "log_revenue", "normalized_pe"]
     return rounded(p.select("ticker", "as_of", *cols), 7)
 
 
 def v01_dividends(spark: SparkSession, sf: str) -> DataFrame:
     daily = by_day(read(spark, sf, "prices"))
-    snaps = plan.priced_snapshots(read(spark, sf, "prices"), START, TODAY).select("ticker", "as_of", "price")
+    snaps = _priced(spark, sf).select("ticker", "as_of", "price")
     return rounded(dividends.dividend_features(snaps, daily))
 
 
 def x01_technicals(spark: SparkSession, sf: str) -> DataFrame:
-    p = plan.priced_snapshots(read(spark, sf, "prices"), START, TODAY)
+    p = _priced(spark, sf)
     return rounded(p.select("ticker", "as_of", *technicals.TECHNICALS))
 
 
@@ -127,11 +127,11 @@ def b02_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _given(spark: SparkSession, sf: str) -> DataFrame:
-    """The given panel, one row per ticker and snapshot (the smallest panel_id), with finite numbers."""
+    """The given panel, one row per ticker and snapshot (the smallest panel_id), without infinities and filler codes."""
     p = read(spark, sf, "panel").where("ticker is not null and as_of is not null")
     num = [c for c, k in p.dtypes if k == "double"]
     p = p.groupBy("ticker", "as_of").agg(F.min(F.struct("panel_id", *[c for c in p.columns if c not in ("ticker", "as_of", "panel_id")])).alias("x")).select("ticker", F.to_date("as_of").alias("as_of"), "x.*")
-    return p.withColumns({c: F.when(F.abs(c) < LARGEST, F.col(c)) for c in num})
+    return p.withColumns({c: real_number(c) for c in num})
 
 
 def b03_percentiles(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import micros, present
+from tidemark.functions.columns import filler_code, micros, present, real_number
 from tidemark.operators import impute, lastknown, profile, spikes
 from tidemark.sources.tables import FUNDAMENTAL_FIELDS, cut, read
 
@@ -16,7 +16,7 @@ def _readings(spark: SparkSession, sf: str) -> DataFrame:
     """(table_name, row_id, ticker, at, field, v, impossible): the present readings of the three fields, long."""
     f = read(spark, sf, "fundamentals", "fund_id", "ticker", "period", "eps", "sales_per_share")
     p = read(spark, sf, "panel", "panel_id", "ticker", "as_of", "price_to_book", "book_value")
-    code = spikes.filler_code
+    code = filler_code
     inf = lambda c: F.abs(c) == float("inf")
     eps, sps, pb = F.col("eps"), F.col("sales_per_share"), F.col("price_to_book")
     no = F.lit(False)
@@ -96,40 +96,33 @@ def p4_drift(spark: SparkSession, sf: str) -> DataFrame:
     return profile.departures(profile.profile(panel, "load_id", WATCHED), profile.masks(panel, "load_id", WATCHED), loads, "load_id", "feed")
 
 
-def _panel_checked(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
-    panel = impute.with_known_names(read(spark, sf, "panel"), "sector", read(spark, sf, "universe", "sector"), "__named")
-    return panel, {
-        "return_on_equity": impute.usable_number(F.col("return_on_equity")),
-        "operating_margin": impute.usable_number(F.col("operating_margin")),
-        "sector": impute.usable_name(F.col("sector"), F.col("__named")),
-        "as_of": F.col("as_of"),
-    }
+FILLED = ["return_on_equity", "operating_margin", "sector", "as_of"]
+
+
+def _filled(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel with the four fields checked, filled and marked by `impute.fill`.
+
+    as_of comes from its load (a load is of one snapshot); sector from its ticker, its industry, its load; the two numbers
+    from the ticker, the snapshot's sector and size, the snapshot's sector, the snapshot, and all rows.
+    """
+    panel = impute.with_known_names(read(spark, sf, "panel", "panel_id", "ticker", "load_id", "industry", "size_group", *FILLED), "sector", read(spark, sf, "universe", "sector"), "__named")
+    ok = panel.withColumns({"ok_sector": impute.usable_name(F.col("sector"), F.col("__named")), **{f"ok_{k}": real_number(k) for k in FILLED[:2]}}).drop("__named")
+    ok = impute.fill(ok, {"as_of": "as_of"}, [("load", ["load_id"])], categorical=True, support=1)
+    ok = impute.fill(ok, {"sector": "ok_sector"}, [("ticker", ["ticker"]), ("industry", ["industry"]), ("load", ["load_id"])], categorical=True, support=2)
+    levels = [("ticker", ["ticker"]), ("snapshot, sector and size", ["as_of", "sector", "size_group"]), ("snapshot and sector", ["as_of", "sector"]), ("snapshot", ["as_of"]), ("all", [])]
+    # Stored between the steps: the numbers' fill reads the panel three times.
+    return impute.fill(cut(ok), {k: f"ok_{k}" for k in FILLED[:2]}, levels, support=5)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """(panel_id, field): cells of return_on_equity, operating_margin, sector and as_of without a usable value."""
-    panel, checks = _panel_checked(spark, sf)
-    return impute.unusable_cells(panel, "panel_id", checks)
+    """(panel_id, field): cells of return_on_equity, operating_margin, sector and as_of without a usable value, as the
+    filling marks them."""
+    return impute.unusable_cells(_filled(spark, sf), "panel_id", FILLED)
 
 
 def p5_filled(spark: SparkSession, sf: str) -> DataFrame:
-    """Every panel row with the four fields filled, and for each field whether and by which level it was filled.
-
-    as_of comes from its load (a load is of one snapshot); sector from its ticker, its industry, its load; the two numbers from
-    the ticker, the snapshot's sector and size, the snapshot's sector, the sector, and all rows.
-    """
-    panel, checks = _panel_checked(spark, sf)
-    ok = panel.select("panel_id", "ticker", "load_id", "industry", "size_group", *["return_on_equity", "operating_margin", "sector", "as_of"], *[v.alias(f"ok_{k}") for k, v in checks.items()])
-    # Stored between the steps, as each reads the one before once per level.
-    ok = cut(ok)
-    ok = cut(impute.fill(ok, "as_of", [("load", ["load_id"])], categorical=True, usable="ok_as_of", support=1))
-    ok = cut(impute.fill(ok, "sector", [("ticker", ["ticker"]), ("industry", ["industry"]), ("load", ["load_id"])], categorical=True, usable="ok_sector", support=2))
-    number = [("ticker", ["ticker"]), ("snapshot, sector and size", ["as_of", "sector", "size_group"]), ("snapshot and sector", ["as_of", "sector"]), ("sector", ["sector"]), ("snapshot", ["as_of"])]
-    out = ok
-    for k in ("return_on_equity", "operating_margin"):
-        out = impute.fill(out, k, number, usable=f"ok_{k}", support=5, stats_from=ok)
-    marks = [c for k in ("return_on_equity", "operating_margin", "sector", "as_of") for c in (k, f"{k}_filled", f"{k}_level")]
-    return out.select("panel_id", *marks)
+    """Every panel row with the four fields filled, and for each field whether and by which level it was filled."""
+    return _filled(spark, sf).select("panel_id", *[c for k in FILLED for c in (k, f"{k}_filled", f"{k}_level")])
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_attributes, p4_found, p4_profile, p4_masks, p4_drift, p5_found, p5_filled)}

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.operators.trends import TREND_COLUMNS
-from tidemark.plans.panel import INDICATORS
-from tidemark.queries.pipeline import LARGEST
-from tidemark.sources.tables import FUNDAMENTAL_FIELDS
+# Names of columns; the SQL takes no constant or list from the library.
+FUNDAMENTAL_FIELDS = "trailing_pe price_to_book price_to_sales ev_to_ebitda price_to_fcf return_on_equity roic gross_margin operating_margin fcf_margin debt_to_equity net_debt_to_capital current_ratio asset_turnover sga_to_sales eps payout_ratio_ttm sales_per_share enterprise_value book_value".split()
+TREND_COLUMNS = "revenue_growth_yoy sps_ttm revenue_cagr_3y op_margin_volatility op_margin_avg_3y roe_avg_3y eps_ttm eps_avg_3y roe_spike eps_spike eps_cagr_3y earnings_cagr_3y earnings_turnaround_3y growth_consistency_3y eps_volatility_3y roe_volatility_3y gross_margin_volatility_3y loss_share_3y cash_conversion_3y revenue_growth_accel revenue_growth_ttm revenue_growth_ttm_accel op_margin_change_1y gross_margin_change_1y".split()
+LOW_IS_GOOD = "trailing_pe price_to_book price_to_sales ev_to_ebitda price_to_fcf debt_to_equity pct_from_52w_high volatility_63d".split()
+HIGH_IS_GOOD = "dividend_yield return_on_equity operating_margin revenue_growth_yoy ma50_vs_ma200 relative_volume".split()
+INDICATORS = {k: k in LOW_IS_GOOD for k in LOW_IS_GOOD + HIGH_IS_GOOD}
 
 FINITE = "CASE WHEN NOT isnan({0}) AND NOT isinf({0}) THEN {0} END AS {0}"
-SANE = f"CASE WHEN NOT isnan({{0}}) AND abs({{0}}) < {LARGEST} THEN {{0}} END AS {{0}}"
+# No infinity, and no number that consists of nines from 999 on or is a power of ten from a million on.
+_CODE = "regexp_full_match(format('{{:.2f}}', abs({0})), '9{{3,}}[.](00|90|99)|10{{6,}}[.]00')"
+REAL = "CASE WHEN NOT isnan({0}) AND NOT isinf({0}) AND NOT " + _CODE + " THEN {0} END"
+SANE = REAL + " AS {0}"
 
 
 def nn(c: str) -> str:
@@ -29,7 +34,11 @@ QUARTERS = f"""quarters AS (
     FROM fundamentals WHERE ticker IS NOT NULL AND period IS NOT NULL
   ) WHERE rn = 1
 )"""
-CALENDAR = """calendar AS (SELECT CAST(t AS DATE) AS as_of FROM generate_series(TIMESTAMP '2016-01-01', TIMESTAMP '2024-04-01', INTERVAL 3 MONTH) g(t))"""
+CALENDAR = """span AS (SELECT min(date) AS lo, max(date) AS hi FROM daily),
+calendar AS (
+  SELECT CAST(unnest(generate_series(CAST(CASE WHEN date_trunc('quarter', lo) = lo THEN lo ELSE date_trunc('quarter', lo) + INTERVAL 3 MONTH END AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 3 MONTH)) AS DATE) AS as_of FROM span
+  UNION SELECT hi FROM span
+)"""
 SNAPS = """snaps AS (
   SELECT ticker, as_of, date, close FROM (
     SELECT p.ticker, c.as_of, p.date, p.close, row_number() OVER (PARTITION BY p.ticker, c.as_of ORDER BY p.date DESC) AS rn
@@ -134,7 +143,7 @@ F01 = {
 T4 = "t4 AS (SELECT t3.*, g1.v AS g1, g2.v AS g2 FROM t3 LEFT JOIN g1 USING (ticker, period) LEFT JOIN g2 USING (ticker, period))"
 F01_SQL = with_(
     *TRENDS, T4, "t5 AS (SELECT ticker, period, eps_ttm AS et, " + ", ".join(f"{v} AS {k}" for k, v in F01.items()) + " FROM t4)",
-    body="SELECT ticker, period, " + ", ".join(r("CASE WHEN eps_avg_3y > 0 THEN et / (4 * eps_avg_3y) END", 9, "eps_spike") if c == "eps_spike" else r(c, 9) for c in TREND_COLUMNS if "period" not in c and "ratio" not in c) + " FROM t5",
+    body="SELECT ticker, period, " + ", ".join(r("CASE WHEN eps_avg_3y > 0 THEN et / (4 * eps_avg_3y) END", 9, "eps_spike") if c == "eps_spike" else r(c, 9) for c in TREND_COLUMNS ) + " FROM t5",
 )
 _off = lambda x, f: f"({x} > {f} OR {x} < 1 / {f})"
 F22_SQL = with_(
@@ -271,10 +280,10 @@ WHERE p.as_of IS NOT NULL GROUP BY p.panel_id"""
 
 _missing = ["", "-", "--", "?", "n/a", "na", "#n/a", "none", "null", "nan", "tbd", "unknown", "not available", "other", "misc"]
 P5_SQL = "WITH good AS (SELECT DISTINCT lower(trim(sector)) AS s FROM universe WHERE sector IS NOT NULL AND lower(trim(sector)) NOT IN (" + ", ".join(f"'{w}'" for w in _missing) + """))
-SELECT panel_id, 'return_on_equity' AS field FROM panel WHERE NOT coalesce(abs(return_on_equity) < 90 AND NOT isnan(return_on_equity), false)
-UNION ALL SELECT panel_id, 'operating_margin' FROM panel WHERE NOT coalesce(abs(operating_margin) < 90 AND NOT isnan(operating_margin), false)
+SELECT panel_id, 'return_on_equity' AS field FROM panel WHERE ({roe}) IS NULL
+UNION ALL SELECT panel_id, 'operating_margin' FROM panel WHERE ({om}) IS NULL
 UNION ALL SELECT panel_id, 'sector' FROM panel LEFT JOIN good ON lower(trim(sector)) = s WHERE s IS NULL
-UNION ALL SELECT panel_id, 'as_of' FROM panel WHERE as_of IS NULL"""
+UNION ALL SELECT panel_id, 'as_of' FROM panel WHERE as_of IS NULL""".format(roe=REAL.format("return_on_equity"), om=REAL.format("operating_margin"))
 
 def _mode(name: str, table: str, key: str, value: str, least: int) -> str:
     """CTE (k, v): the most frequent present value of a key with `least` of them; of equals the smallest."""
@@ -284,18 +293,19 @@ def _mode(name: str, table: str, key: str, value: str, least: int) -> str:
 
 def _typical(name: str, value: str, keys: list[str]) -> str:
     """CTE: the lower median of a group of five present values or more."""
-    k = ", ".join(keys)
-    return f"{name} AS (SELECT {k}, quantile_disc({value}, 0.5) AS v FROM b WHERE {value} IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in keys)} GROUP BY {k} HAVING count(*) >= 5)"
+    k = "".join(f"{x}, " for x in keys)
+    there = "".join(f" AND {x} IS NOT NULL" for x in keys)
+    return f"{name} AS (SELECT {k}quantile_disc({value}, 0.5) AS v FROM b WHERE {value} IS NOT NULL{there} GROUP BY {k}'' HAVING count(*) >= 5)"
 
 
-_LEVELS = [("ticker", ["ticker"]), ("snapshot, sector and size", ["fa", "fs", "size_group"]), ("snapshot and sector", ["fa", "fs"]), ("sector", ["fs"]), ("snapshot", ["fa"])]
+_LEVELS = [("ticker", ["ticker"]), ("snapshot, sector and size", ["fa", "fs", "size_group"]), ("snapshot and sector", ["fa", "fs"]), ("snapshot", ["fa"]), ("all", [])]
 
 
 def p5_filled_sql() -> str:
     fields = {"return_on_equity": "roe", "operating_margin": "om"}
     ctes = [
         "good AS (SELECT DISTINCT lower(trim(sector)) AS s FROM universe WHERE sector IS NOT NULL AND lower(trim(sector)) NOT IN (" + ", ".join(f"'{w}'" for w in _missing) + "))",
-        "p AS (SELECT panel.*, CASE WHEN s IS NOT NULL THEN sector END AS os, " + ", ".join(f"CASE WHEN NOT isnan({f}) AND abs({f}) < 90 THEN {f} END AS {x}" for f, x in fields.items()) + " FROM panel LEFT JOIN good ON lower(trim(sector)) = s)",
+        "p AS (SELECT panel.*, CASE WHEN s IS NOT NULL THEN sector END AS os, " + ", ".join(f"{REAL.format(f)} AS {x}" for f, x in fields.items()) + " FROM panel LEFT JOIN good ON lower(trim(sector)) = s)",
         _mode("ml", "p", "load_id", "as_of", 1),
         "a AS (SELECT p.*, coalesce(p.as_of, ml.v) AS fa FROM p LEFT JOIN ml ON ml.k = p.load_id)",
         _mode("s1", "a", "ticker", "os", 2), _mode("s2", "a", "industry", "os", 2), _mode("s3", "a", "load_id", "os", 2),
@@ -305,7 +315,7 @@ def p5_filled_sql() -> str:
     for f, x in fields.items():
         names = [f"{x}{i}" for i in range(len(_LEVELS))]
         ctes += [_typical(n, x, keys) for n, (_, keys) in zip(names, _LEVELS, strict=True)]
-        joins += [f"LEFT JOIN {n} ON " + " AND ".join(f"{n}.{k} = b.{k}" for k in keys) for n, (_, keys) in zip(names, _LEVELS, strict=True)]
+        joins += [f"LEFT JOIN {n} ON true" + "".join(f" AND {n}.{k} = b.{k}" for k in keys) for n, (_, keys) in zip(names, _LEVELS, strict=True)]
         value = f"coalesce(b.{x}, {', '.join(f'{n}.v' for n in names)})"
         level = f"CASE WHEN b.{x} IS NULL THEN CASE " + " ".join(f"WHEN {n}.v IS NOT NULL THEN '{name}'" for n, (name, _) in zip(names, _LEVELS, strict=True)) + " END END"
         cols.append(f"{value} AS {f}, {level} IS NOT NULL AS {f}_filled, {level} AS {f}_level")
@@ -317,7 +327,7 @@ def p5_filled_sql() -> str:
 ORACLE = {
     "s02_quarters": with_(QUARTERS, body="SELECT ticker, period, available_date, fund_id, eps, sales_per_share, book_value FROM quarters"),
     "s08_daily_rows": with_(DAILY, body="SELECT * FROM daily"),
-    "j01_calendar": "SELECT CAST(t AS DATE) AS as_of FROM generate_series(TIMESTAMP '2015-04-01', TIMESTAMP '2024-06-28', INTERVAL 3 MONTH) g(t) UNION SELECT DATE '2024-06-28'",
+    "j01_calendar": with_(DAILY, CALENDAR, body="SELECT as_of FROM calendar"),
     "j02_prior_reading": with_(
         QUARTERS, *[prior(f"{c[:3]}{n}", "quarters", c, n) for c in ("eps", "sales_per_share") for n in (365, 1095)],
         body="SELECT q.ticker, q.period, " + ", ".join(f"{c[:3]}{n}.v AS {c}_{n}" for c in ("eps", "sales_per_share") for n in (365, 1095)) + " FROM quarters q " + " ".join(f"LEFT JOIN {c[:3]}{n} ON {c[:3]}{n}.ticker = q.ticker AND {c[:3]}{n}.period = q.period" for c in ("eps", "sales_per_share") for n in (365, 1095)),

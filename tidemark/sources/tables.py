@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import finite, nan_to_null
@@ -40,20 +40,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def usable_quotes(prices: DataFrame) -> DataFrame:
+    """The quotes with ticker, date and a close above 0 whose quoted price, if there is one, is above 0 as well."""
+    return nan_to_null(prices).where("ticker is not null and date is not null and close > 0" + (" and (close_raw is null or close_raw > 0)" if "close_raw" in prices.columns else ""))
+
+
+def span_of(days: DataFrame, day: str = "date") -> tuple[Column, Column]:
+    """First and last day of a table as scalar subqueries, so that nothing runs before the plan does; without rows the
+    first day is after the last one."""
+    end = lambda f, none: F.coalesce(days.select(F.to_date(day).alias("d")).agg(f("d")).scalar(), F.lit(none).cast("date"))
+    return end(F.min, "9999-12-31"), end(F.max, "0001-01-01")
+
+
 def by_day(prices: DataFrame) -> DataFrame:
     """One row per ticker and day, the last quote of the day (ties: the largest price_id), without unusable ones.
 
     Rows without ticker, date or close and rows whose close or quoted price is not above 0 are left out. What is left
     per ticker is bounded by the calendar, however many quotes a ticker has: the aggregate combines before it shuffles.
     """
-    p = nan_to_null(prices)
+    p = usable_quotes(prices)
     raw = F.col("close_raw") if "close_raw" in p.columns else F.col("close")
     p = p.select(
         "ticker", F.to_date("date").alias("date"), "close", raw.alias("close_raw"), "volume",
         (F.col("dividend") if "dividend" in p.columns else F.lit(0.0)).alias("dividend"),
         F.struct(F.col("date").alias("at"), F.col("price_id")).alias("o"),
     )
-    p = p.where("ticker is not null and date is not null and close > 0 and (close_raw is null or close_raw > 0)")
     last = F.max(F.struct("o", "close", "close_raw", "volume", "dividend")).alias("x")
     return p.groupBy("ticker", "date").agg(last).select(
         "ticker", "date", "x.close", "x.close_raw", "x.volume", "x.dividend"
