@@ -1,8 +1,9 @@
 """Column profiles of loads, character-class masks of values, and the loads that depart from others of their feed.
 
 All aggregates have bounded state and combine before the shuffle, so a load, a column or a value that holds a third of
-all rows is no single task: distinct counts go through one row per (load, column, value), quantiles through
-percentile_approx (exact for loads of fewer rows than its accuracy).
+all rows is no single task. Counts, ranges and quantiles (percentile_approx, exact for loads of fewer rows than its
+accuracy) come from one aggregate of the wide rows; distinct values, decimals and masks from one row per load, column and
+value, so a mask is made once for each distinct value.
 """
 
 from __future__ import annotations
@@ -14,62 +15,139 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.tables import cut
+
 ACCURACY = 10_000
+QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 @dataclass(frozen=True)
 class DriftRule:
-    """least_rows: smaller loads are not judged. deviations: distance from the feed's median, in robust or sampling
-    deviations (the larger), from which a share, a level, a spread or a range departs. share: difference of the
-    distinct share, the top value's share, the zeros' share that departs. decimals: difference of the mean number of
-    decimals. divergence: Jensen-Shannon divergence (bits) of the masks from the feed's other loads, again with
-    `deviations` as distance from the feed's median."""
+    """When a load's masks depart from those of the feed's other loads.
+
+    least_rows: smaller loads are not judged. divergence: Jensen-Shannon divergence (bits), beyond what a load of its size
+    has by chance and beyond the feed's median, from which a load departs; sampling: added to it, divided by the rows of the
+    load, as the chance part of small loads varies more; spread: the excess is also to be this many robust deviations of
+    the feed's loads.
+
+    second_*: the second signal, plain statistics. deviations: distance of a share, a level, a spread or a range from the
+    feed's median in robust or sampling deviations; share: difference of the share of distinct, most frequent or zero
+    values; decimals: difference of the mean number of decimals.
+    """
 
     least_rows: int = 10
-    deviations: float = 6.0
-    share: float = 0.2
-    decimals: float = 0.4
-    divergence: float = 0.12
+    divergence: float = 0.05
+    sampling: float = 3.0
+    spread: float = 3.0
+    second_deviations: float = 6.0
+    second_share: float = 0.2
+    second_decimals: float = 0.4
 
 
 def number_text(c: Column) -> Column:
-    """A finite number in plain decimals, at most six of them, without closing zeros."""
-    return F.regexp_replace(F.format_string("%.6f", c), r"\.?0+$", "")
+    """A finite number in plain decimals, at most ten of them, without exponent and closing zeros; NULL for others and from
+    10**28 on."""
+    fin = F.when(F.abs(c) < float("inf"), c)
+    short, exact = fin.cast("string"), fin.try_cast("decimal(38,10)").cast("string")
+    plain = (F.instr(short, "E") == 0) & (F.length(short) - F.instr(short, ".") <= 10)
+    text = F.when(plain, short).otherwise(exact)
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+
+
+def _digits_mask(text: Column) -> Column:
+    """Mask of a plain number: sign, point and leading zeros stay; the first significant digit becomes 1 (1), 4 (2 to 4) or 9
+    (5 to 9), a third of the orders of magnitude each; the other digits become 9."""
+    t = F.ltrim(text, F.lit("-"))
+    rest = F.ltrim(t, F.lit("0."))
+    head = F.left(t, F.length(t) - F.length(rest))
+    first = F.translate(F.left(rest, F.lit(1)), "2345678", "4449999")
+    more = F.translate(F.right(rest, F.length(rest) - 1), "012345678", "999999999")
+    sign = F.when(F.left(text, F.lit(1)) == "-", "-").otherwise("")
+    return F.when(rest == "", "0").otherwise(F.concat(sign, head, first, more))
+
+
+def number_mask(c: Column) -> Column:
+    """Character-class mask of a double, so that sign, size and precision show; NaN gives nan, infinities inf and -inf,
+    numbers from 10**28 on huge."""
+    odd = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+    return F.coalesce(odd, _digits_mask(number_text(c)), F.when(c.isNotNull(), "huge"), F.lit("null"))
+
+
+def text_mask(c: Column) -> Column:
+    """Runs of capitals, other letters and digits become A, a and 9; all else stays. NULL gives null."""
+    for pattern, to in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+", "a"), (r"\p{Nd}+", "9")):
+        c = F.regexp_replace(c, pattern, to)
+    return F.coalesce(c, F.lit("null"))
 
 
 def value_mask(c: Column, kind: T.DataType) -> Column:
-    """Character-class mask. Numbers: each digit is 9 before the point, one 9 for each decimal after it, and a lone 0
-    before the point stays 0, so sign, size and precision show. Texts: runs of capitals, small letters and digits
-    become A, a and 9; all else stays. NULL gives null, NaN nan, infinities inf and -inf."""
+    """Mask of a value by its type; of dates, times and the like every digit becomes 9."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        m = F.regexp_replace(number_text(c.cast("double")), r"^(-?)0(\.|$)", r"$1z$2")
-        m = F.translate(F.translate(m, "012345678", "999999999"), "z", "0")
-        m = F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(m)
-    else:
-        m = c.cast("string")
-        if isinstance(kind, T.StringType):
-            for a, b in ((r"\p{Lu}+", "A"), (r"[\p{L}&&[^\p{Lu}]]+", "a"), (r"\p{Nd}+", "9")):
-                m = F.regexp_replace(m, a, b)
-        else:
-            m = F.regexp_replace(m, r"[0-9]", "9")
-    return F.coalesce(m, F.lit("null"))
-
-
-def _melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str], mask: bool) -> DataFrame:
-    """keep..., column_name, v (double or NULL), s (text or NULL), missing and, if asked for, mask."""
+        return number_mask(c.cast("double"))
+    if isinstance(kind, T.StringType):
+        return text_mask(c)
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(_digits_mask(c.cast("string")), F.lit("null"))
+    return F.coalesce(F.translate(c.cast("string"), "012345678", "999999999"), F.lit("null"))
+
+
+def _value_counts(df: DataFrame, group: str | None, columns: Sequence[str]) -> DataFrame:
+    """([__g,] __c, v, s, n): how often each value of each column (by number) occurs in the group. Doubles are in v, all else
+    is text in s, both NULL for NULL. Repeated values combine before the shuffle."""
     kinds = {f.name: f.dataType for f in df.schema}
     cells = []
-    for name in columns:
-        c, kind = F.col(f"`{name}`"), kinds[name]
-        if isinstance(kind, T.NumericType):
+    for i, name in enumerate(columns):
+        c, none = F.col(f"`{name}`"), F.lit(None)
+        v, s = (c.cast("double"), none.cast("string")) if _is_float(kinds[name]) else (none.cast("double"), c.cast("string"))
+        cells.append(F.struct(F.lit(i).cast("smallint").alias("__c"), v.alias("v"), s.alias("s")))
+    keys = [] if group is None else [F.col(f"`{group}`").alias("__g")]
+    return df.select(*keys, F.inline(F.array(*cells))).groupBy(*([] if group is None else ["__g"]), "__c", "v", "s").agg(F.count("*").alias("n"))
+
+
+def _is_float(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def _with_mask(values: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`_value_counts` with the mask of each value by the type of its column."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    v, s = F.col("v"), F.col("s")
+    mask = F.when(v.isNotNull(), number_mask(v)).when(s.isNull(), "null")
+    for kind in (T.StringType, T.NumericType):
+        some = [i for i, c in enumerate(columns) if isinstance(kinds[c], kind) and not _is_float(kinds[c])]
+        if some:
+            mask = mask.when(F.col("__c").isin(*some), value_mask(s, kind()))
+    return values.withColumn("mask", mask.otherwise(value_mask(s, T.DateType())))
+
+
+def _named(df: DataFrame, group: str | None, columns: Sequence[str]) -> DataFrame:
+    """__g and __c back to the group's name and the column's name, in front."""
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("__c")).alias("column_name")
+    lead = [name] if group is None else [F.col("__g").alias(group), name]
+    return df.select(*lead, *[c for c in df.columns if c not in ("__g", "__c")])
+
+
+def _ranges(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """(__g, __c, n_rows, n_null, ...): what needs no distinct values, of all columns in one aggregate of the wide rows."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    n = lambda c: F.sum(F.coalesce(c.cast("bigint"), F.lit(0)))
+    types = {"n_null": "bigint", "n_nan": "bigint", "min_value": "double", "max_value": "double", "mean_value": "double", "q": "array<double>", "n_negative": "bigint", "n_zero": "bigint", "n_infinite": "bigint"}
+    aggs, cells = [F.count("*").alias("__rows")], []
+    for i, name in enumerate(columns):
+        c = F.col(f"`{name}`")
+        stats = {"n_null": n(c.isNull())}
+        if isinstance(kinds[name], T.NumericType):
             d = c.cast("double")
-            v = F.when(~F.isnan(d), d)
-            s, missing = F.when(~F.isnan(d), c.cast("string")), d.isNull() | F.isnan(d)
-        else:
-            v, s, missing = F.lit(None).cast("double"), c.cast("string"), c.isNull()
-        x = [F.lit(name).alias("column_name"), v.alias("v"), s.alias("s"), missing.alias("missing"), c.isNull().alias("is_null")]
-        cells.append(F.struct(*x, *([value_mask(c, kind).alias("mask")] if mask else [])))
-    return df.select(*keep, F.inline(F.array(*cells)))
+            v, fin = F.when(~F.isnan(d), d), F.when(F.abs(d) < float("inf"), d)
+            stats |= {
+                "n_nan": n(F.isnan(d)), "min_value": F.min(v), "max_value": F.max(v), "mean_value": F.avg(fin),
+                "q": F.percentile_approx(fin, list(QUANTILES.values()), ACCURACY), "n_negative": n(v < 0), "n_zero": n(v == 0), "n_infinite": n(F.abs(v) == float("inf")),
+            }
+        aggs += [x.alias(f"__{k}_{i}") for k, x in stats.items()]
+        rest = lambda k, t: F.lit(0).cast(t) if t == "bigint" else F.lit(None).cast(t)
+        cell = [(F.col(f"__{k}_{i}") if k in stats else rest(k, t)).alias(k) for k, t in types.items()]
+        cells.append(F.struct(F.lit(i).cast("smallint").alias("__c"), F.col("__rows").alias("n_rows"), *cell))
+    return df.groupBy(F.col(f"`{group}`").alias("__g")).agg(*aggs).select("__g", F.inline(F.array(*cells)))
 
 
 def profile(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -78,87 +156,109 @@ def profile(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
 
     Texts, times and booleans have only the counts. Rows without group are one group NULL; an empty table has none.
     """
-    m = _melt(df, columns, [group], mask=False)
-    keys = [F.col(group), F.col("column_name")]
-    fin = F.when(F.abs("v") < float("inf"), F.col("v"))
-    plain = number_text(fin)
-    decimals = F.when(F.instr(plain, ".") > 0, F.length(plain) - F.instr(plain, ".")).otherwise(0)
-    one = lambda c: F.sum(F.coalesce(c.cast("int"), F.lit(0)))
-    whole = m.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"), one(F.col("missing")).alias("n_missing"), one(F.col("is_null")).alias("n_null"),
-        F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.avg(fin).alias("mean_value"),
-        F.percentile_approx(fin, [0.05, 0.25, 0.5, 0.75, 0.95], ACCURACY).alias("q"),
-        one(F.col("v") < 0).alias("n_negative"), one(F.col("v") == 0).alias("n_zero"),
-        one(F.abs("v") == float("inf")).alias("n_infinite"), F.sum(F.when(fin.isNotNull(), decimals)).alias("sum_decimals"),
-    )
-    values = m.where("not missing").groupBy(*keys, "s").agg(F.count("*").alias("c"))
-    values = values.groupBy(group, "column_name").agg(F.count("*").alias("n_distinct"), F.max("c").alias("top_count"))
-    values = values.withColumnsRenamed({group: "__g", "column_name": "__c"})
-    out = whole.join(values, F.col(group).eqNullSafe(F.col("__g")) & (F.col("column_name") == F.col("__c")), "left")
-    q = lambda i, n: F.get("q", F.lit(i)).alias(n)
+    values = _value_counts(df, group, columns)
+    there = (F.col("v").isNotNull() & ~F.isnan("v")) | F.col("s").isNotNull()
+    text = number_text(F.col("v"))
+    decimals = F.when(F.instr(text, ".") > 0, F.length(text) - F.instr(text, ".")).otherwise(0)
+    seen = values.where(there).groupBy(F.col("__g").alias("__h"), F.col("__c").alias("__d")).agg(
+        F.count("*").alias("n_distinct"), F.max("n").alias("top_count"), F.sum(decimals * F.col("n")).alias("sum_decimals"))
+    out = _ranges(df, group, columns).join(seen, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__c") == F.col("__d")), "left")
+    quantiles = [F.get("q", F.lit(i)).alias(k) for i, k in enumerate(QUANTILES)]
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select(
-        group, "column_name", "n_rows", "n_missing", "n_null", zero("n_distinct"), zero("top_count"), "min_value", "max_value",
-        q(0, "p05"), q(1, "p25"), q(2, "p50"), q(3, "p75"), q(4, "p95"), "mean_value", "n_negative", "n_zero", "n_infinite", "sum_decimals",
-    )
+    return _named(out.select(
+        "__g", "__c", "n_rows", (F.col("n_null") + F.col("n_nan")).alias("n_missing"), "n_null", zero("n_distinct"), zero("top_count"),
+        "min_value", "max_value", *quantiles, "mean_value", "n_negative", "n_zero", "n_infinite", zero("sum_decimals"),
+    ), group, columns)
 
 
 def masks(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """(group, column_name, mask, n): how many values of the column have the mask in the group; missing ones too."""
-    return _melt(df, columns, [group], mask=True).groupBy(group, "column_name", "mask").agg(F.count("*").alias("n"))
+    m = _with_mask(_value_counts(df, group, columns), df, columns).groupBy("__g", "__c", "mask").agg(F.sum("n").alias("n"))
+    return _named(m, group, columns)
 
 
-def patterns(df: DataFrame, columns: Sequence[str], rare: float = 0.001) -> DataFrame:
+def patterns(df: DataFrame, columns: Sequence[str], rare: float = 0.001, dominant: float = 0.05) -> DataFrame:
     """(column_name, mask, n, share, dominant, rare): the masks of each column over the whole table.
 
-    dominant: the most frequent mask (ties: the first by text); rare: its share is below `rare`, so its values are
-    pattern violations.
+    dominant: the mask has at least this share, or is the most frequent one (ties: the first by text); rare: its share is
+    below `rare`, so its values are pattern violations.
     """
-    n = _melt(df, columns, [], mask=True).groupBy("column_name", "mask").agg(F.count("*").alias("n"))
-    total = n.groupBy("column_name").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("n"), "mask")).alias("x"))
+    n = _with_mask(_value_counts(df, None, columns), df, columns).groupBy("__c", "mask").agg(F.sum("n").alias("n"))
+    total = n.groupBy(F.col("__c").alias("__d")).agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("n"), "mask")).alias("x"))
     share = F.col("n") / F.col("total")
-    return n.join(total, "column_name").select(
-        "column_name", "mask", "n", F.round(share, 9).alias("share"), (F.col("mask") == F.col("x.mask")).alias("dominant"), (share < rare).alias("rare")
-    )
+    return _named(n.join(total, F.col("__c") == F.col("__d")).select(
+        "__c", "mask", "n", F.round(share, 9).alias("share"), ((share >= dominant) | (F.col("mask") == F.col("x.mask"))).alias("dominant"), (share < rare).alias("rare"),
+    ), None, columns)
 
 
-def departures(prof: DataFrame, mask: DataFrame, loads: DataFrame, load: str, feed: str, rule: DriftRule = DriftRule()) -> DataFrame:
-    """One row per load and column with its distances from the other loads of its feed and `departs`.
+def _against_feed(prof: DataFrame, mask: DataFrame, loads: DataFrame, load: str, feed: str) -> DataFrame:
+    """`prof` with feed, masks (a map), and of the whole feed: every (its masks with their counts) and all_rows.
 
-    Distances: missing and negative share, level (median), spread (inter-quartile range), range (p05 to p95), distinct
-    share, top share, zeros, decimals, and the divergence of the value masks from those of the feed's other loads.
-    Loads that `loads` does not name have the feed NULL and are compared with one another. Loads under
-    rule.least_rows are reported and never depart. A feed's only load departs from nothing.
+    One row per load and column is stored, with no more masks than numbers have sizes and precisions; all that follows
+    reads those rows. Loads that `loads` does not name have the feed NULL.
     """
     feeds = loads.select(F.col(load).alias("__l"), F.col(feed).alias("feed")).dropDuplicates(["__l"])
-    tag = lambda d: d.join(feeds, d[load] == F.col("__l"), "left").drop("__l")
-
-    # Masks: divergence from the feed without this load. Masks that the load lacks weigh half their share each.
-    m = mask.join(prof.select(load, "column_name", "n_rows"), [load, "column_name"])
-    m = tag(m)
-    all_ = m.groupBy("feed", "column_name", "mask").agg(F.sum("n").alias("all_n"))
-    rows = tag(prof.select(load, "column_name", "n_rows")).groupBy("feed", "column_name").agg(F.sum("n_rows").alias("all_rows"))
-    named = lambda d, *k: d.withColumnsRenamed({c: f"__{c}" for c in k})
-    same = lambda *k: [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in k]
-    m = m.join(named(all_, "feed", "column_name", "mask"), same("feed", "column_name", "mask")).drop("__feed", "__column_name", "__mask")
-    m = m.join(named(rows, "feed", "column_name"), same("feed", "column_name")).drop("__feed", "__column_name")
-    p, q = F.col("n") / F.col("n_rows"), F.try_divide(F.col("all_n") - F.col("n"), F.col("all_rows") - F.col("n_rows"))
-    h = (p + q) / 2
-    part = p * F.log2(p / h) / 2 + F.when(q > 0, q * F.log2(q / h) / 2).otherwise(0.0)
-    div = m.groupBy(load, "column_name").agg((F.sum(part) + (1 - F.sum(q)) / 2).alias("divergence"))
+    own = mask.groupBy(F.col(load).alias("__g"), F.col("column_name").alias("__c")).agg(F.map_from_entries(F.collect_list(F.struct("mask", "n"))).alias("masks"))
+    x = prof.join(own, F.col(load).eqNullSafe(F.col("__g")) & (F.col("column_name") == F.col("__c"))).drop("__g", "__c")
+    x = cut(x.join(feeds, F.col(load) == F.col("__l"), "left").drop("__l"))
+    long = x.select("feed", "column_name", F.explode("masks").alias("mask", "n")).groupBy("feed", "column_name", "mask").agg(F.sum("n").alias("n"))
+    whole = long.groupBy(F.col("feed").alias("__f"), F.col("column_name").alias("__c")).agg(F.collect_list(F.struct("mask", "n")).alias("every"), F.sum("n").alias("all_rows"))
+    return x.join(whole, F.col("feed").eqNullSafe(F.col("__f")) & (F.col("column_name") == F.col("__c")), "left").drop("__f", "__c")
+
+
+def _shares(e: Column) -> tuple[Column, Column]:
+    """Share of a mask of the feed in the load and in the feed's other loads."""
+    own = F.coalesce(F.try_element_at("masks", e["mask"]), F.lit(0))
+    return own / F.col("n_rows"), F.try_divide(e["n"] - own, F.col("all_rows") - F.col("n_rows"))
+
+
+def violations(prof: DataFrame, mask: DataFrame, loads: DataFrame, load: str, feed: str, rare: float = 0.001) -> DataFrame:
+    """(load, feed, column_name, mask, n, n_others): the masks of a load whose share in the feed's other loads is below `rare`.
+
+    A feed's only load has nothing to be compared with and no row here.
+    """
+    x = _against_feed(prof, mask, loads, load, feed).where("all_rows > n_rows")
+    x = x.select(load, "feed", "column_name", "n_rows", "all_rows", "masks", F.explode("every").alias("e"))
+    own, others = _shares(F.col("e"))
+    n = (own * F.col("n_rows")).cast("bigint")
+    return x.where((own > 0) & (others < rare)).select(load, "feed", "column_name", F.col("e.mask").alias("mask"), F.try_element_at("masks", F.col("e.mask")).alias("n"), (F.col("e.n") - n).alias("n_others"))
+
+
+def departures(prof: DataFrame, mask: DataFrame, loads: DataFrame, load: str, feed: str, rule: DriftRule = DriftRule()) -> DataFrame:
+    """One row per load and column: how far its masks and its statistics are from the feed's other loads; by_masks,
+    by_statistics, and departs, if one of them.
+
+    The masks decide: divergence (Jensen-Shannon, from the other loads), less what a load of this size would have by
+    chance, less the feed's median of that, against `rule`. The statistics are a second signal for what masks do not show:
+    missing and negative share, level (median), spread (inter-quartile range), range (p05 to p95), distinct share, top share,
+    zeros, decimals. Loads under rule.least_rows are reported and never depart. A feed's only load departs from nothing;
+    loads that `loads` does not name are compared with one another.
+    """
+    x = _against_feed(prof, mask, loads, load, feed)
+
+    def js(total: Column, e: Column) -> Column:
+        p, q = _shares(e)
+        h = (p + q) / 2
+        return total + F.when(p > 0, p * F.log2(p / h) / 2).otherwise(0.0) + F.when(q > 0, q * F.log2(q / h) / 2).otherwise(0.0)
+
+    def by_chance(total: Column, e: Column) -> Column:
+        # Of a mask expected n * q times: q if that is far below 1, (1 - q) / (8 n ln 2) if it is far above.
+        _, q = _shares(e)
+        return total + F.coalesce(F.try_divide(q * (1 - q), (1 - q) + 5.545 * F.col("n_rows") * q), F.lit(0.0))
 
     n = F.col("n_rows") - F.col("n_missing")
     share = lambda c: F.try_divide(F.col(c), n)
-    x = tag(prof.join(div, [load, "column_name"])).select(
+    x = x.select(
         load, "feed", "column_name", "n_rows", n.alias("n"), (F.col("n_missing") / F.col("n_rows")).alias("missing"), F.col("p50").alias("level"),
         (F.col("p75") - F.col("p25")).alias("spread"), (F.col("p95") - F.col("p05")).alias("range"), share("n_negative").alias("negative"), share("n_zero").alias("zero"),
-        share("n_distinct").alias("distinct"), share("top_count").alias("top"), share("sum_decimals").alias("decimals"), "divergence",
+        share("n_distinct").alias("distinct"), share("top_count").alias("top"), share("sum_decimals").alias("decimals"),
+        F.when(F.col("all_rows") > F.col("n_rows"), F.aggregate("every", F.lit(0.0), js) - F.aggregate("every", F.lit(0.0), by_chance)).alias("divergence"),
     )
     stats = ["missing", "level", "spread", "range", "negative", "zero", "distinct", "top", "decimals", "divergence"]
-    mid = x.where(F.col("n_rows") >= rule.least_rows).groupBy("feed", "column_name").agg(
-        *[F.percentile_approx(s, 0.5, ACCURACY).alias(f"mid_{s}") for s in stats], F.count("*").alias("n_loads")
-    )
-    x = x.join(named(mid, "feed", "column_name"), same("feed", "column_name"), "left").drop("__feed", "__column_name")
+    judged = F.col("n_rows") >= rule.least_rows
+    of_feed = lambda d, *a: d.where(judged).groupBy(F.col("feed").alias("__f"), F.col("column_name").alias("__c")).agg(*a)
+    joined = lambda d, s: d.join(s, F.col("feed").eqNullSafe(F.col("__f")) & (F.col("column_name") == F.col("__c")), "left").drop("__f", "__c")
+    x = joined(x, of_feed(x, *[F.percentile_approx(s, 0.5, ACCURACY).alias(f"mid_{s}") for s in stats], F.count("*").alias("n_loads")))
     mid_of = lambda s: F.col(f"mid_{s}")
     root = F.sqrt(F.greatest(F.col("n").cast("double"), F.lit(1.0)))
     of_share = lambda s, k: (F.col(s) - mid_of(s)) / F.sqrt(mid_of(s) * (1 - mid_of(s)) / F.greatest(F.col(k).cast("double"), F.lit(1.0)) + 1e-4)
@@ -169,8 +269,11 @@ def departures(prof: DataFrame, mask: DataFrame, loads: DataFrame, load: str, fe
         "d_spread": of_ratio("spread"), "d_range": of_ratio("range"),
         **{f"d_{s}": F.col(s) - mid_of(s) for s in ("zero", "distinct", "top", "decimals", "divergence")},
     })
-    far = [F.abs(f"d_{s}") > rule.deviations for s in ("missing", "negative", "level", "spread", "range")]
-    far += [F.abs(f"d_{s}") > rule.share for s in ("zero", "distinct", "top")]
-    far += [F.abs("d_decimals") > rule.decimals, F.col("d_divergence") > rule.divergence]
-    departs = (F.col("n_rows") >= rule.least_rows) & (F.col("n_loads") > 1) & F.greatest(*[F.coalesce(f, F.lit(False)) for f in far])
-    return x.select(load, "feed", "column_name", "n_rows", *[F.round(F.col(f"d_{s}"), 6).alias(f"d_{s}") for s in stats], F.coalesce(departs, F.lit(False)).alias("departs"))
+    x = joined(x, of_feed(x, (1.4826 * F.percentile_approx(F.abs("d_divergence"), 0.5, ACCURACY)).alias("noise")))
+    by_masks = F.col("d_divergence") > F.greatest(rule.divergence + rule.sampling / F.col("n_rows"), rule.spread * F.col("noise"))
+    far = [F.abs(f"d_{s}") > rule.second_deviations for s in ("missing", "negative", "level", "spread", "range")]
+    far += [F.abs(f"d_{s}") > rule.second_share for s in ("zero", "distinct", "top")] + [F.abs("d_decimals") > rule.second_decimals]
+    yes = lambda c: judged & (F.coalesce(F.col("n_loads"), F.lit(0)) > 1) & F.coalesce(c, F.lit(False))
+    x = x.withColumns({"by_masks": yes(by_masks), "by_statistics": yes(F.greatest(*[F.coalesce(f, F.lit(False)) for f in far]))})
+    distances = [F.round(F.col(f"d_{s}"), 6).alias(f"d_{s}") for s in stats]
+    return x.select(load, "feed", "column_name", "n_rows", *distances, "by_masks", "by_statistics", (F.col("by_masks") | F.col("by_statistics")).alias("departs"))

@@ -71,29 +71,42 @@ PROFILED = ["price", "trailing_pe", "price_to_book", "price_to_sales", "ev_to_eb
 WATCHED = ["payout_ratio_ttm", "trailing_pe", "roic"]
 
 
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """(load_id, column_name): loads of at least 10 rows whose profile departs from the other loads of the feed."""
+def _loads_profiled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, str, str]:
     panel, loads = read(spark, sf, "panel", "load_id", *WATCHED), read(spark, sf, "loads", "load_id", "feed")
-    out = profile.departures(profile.profile(panel, "load_id", WATCHED), profile.masks(panel, "load_id", WATCHED), loads, "load_id", "feed")
-    return out.where("departs").select("load_id", "column_name")
+    return profile.profile(panel, "load_id", WATCHED), profile.masks(panel, "load_id", WATCHED), loads, "load_id", "feed"
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(load_id, column_name): loads of at least 10 rows whose masks, or else statistics, depart from the other loads of the
+    feed."""
+    return profile.departures(*_loads_profiled(spark, sf)).where("departs").select("load_id", "column_name")
+
+
+def _profiled(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    panel = read(spark, sf, "panel")
+    return panel, [c for c in panel.columns if c not in ("load_id", "panel_id")]
 
 
 def p4_profile(spark: SparkSession, sf: str) -> DataFrame:
     """One row per load and column of the whole panel: nulls, distinct values, ranges, signs, precision."""
-    panel = read(spark, sf, "panel")
-    return profile.profile(panel, "load_id", [c for c in panel.columns if c not in ("load_id", "panel_id")])
+    panel, columns = _profiled(spark, sf)
+    return profile.profile(panel, "load_id", columns).withColumn("mean_value", F.round("mean_value", 6))
 
 
 def p4_masks(spark: SparkSession, sf: str) -> DataFrame:
-    """Per column of the panel the value masks with their share, and whether a mask is rare (a violation)."""
-    panel = read(spark, sf, "panel")
-    return profile.patterns(panel, [c for c in panel.columns if c not in ("load_id", "panel_id")])
+    """Per column of the panel the value masks with their share, and whether a mask is dominant or rare (a violation)."""
+    panel, columns = _profiled(spark, sf)
+    return profile.patterns(panel, columns)
+
+
+def p4_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Per load and watched column the masks that hardly occur in the feed's other loads."""
+    return profile.violations(*_loads_profiled(spark, sf))
 
 
 def p4_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Per load and watched column the divergence of its masks from the feed's, and its distances from the feed."""
-    panel, loads = read(spark, sf, "panel", "load_id", *WATCHED), read(spark, sf, "loads", "load_id", "feed")
-    return profile.departures(profile.profile(panel, "load_id", WATCHED), profile.masks(panel, "load_id", WATCHED), loads, "load_id", "feed")
+    return profile.departures(*_loads_profiled(spark, sf))
 
 
 FILLED = ["return_on_equity", "operating_margin", "sector", "as_of"]
@@ -125,4 +138,4 @@ def p5_filled(spark: SparkSession, sf: str) -> DataFrame:
     return _filled(spark, sf).select("panel_id", *[c for k in FILLED for c in (k, f"{k}_filled", f"{k}_level")])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_attributes, p4_found, p4_profile, p4_masks, p4_drift, p5_found, p5_filled)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_attributes, p4_found, p4_profile, p4_masks, p4_violations, p4_drift, p5_found, p5_filled)}

@@ -285,6 +285,85 @@ UNION ALL SELECT panel_id, 'operating_margin' FROM panel WHERE ({om}) IS NULL
 UNION ALL SELECT panel_id, 'sector' FROM panel LEFT JOIN good ON lower(trim(sector)) = s WHERE s IS NULL
 UNION ALL SELECT panel_id, 'as_of' FROM panel WHERE as_of IS NULL""".format(roe=REAL.format("return_on_equity"), om=REAL.format("operating_margin"))
 
+# --- profiles and masks ---------------------------------------------------------------------------------------------------
+_TEXTS = {"ticker": "text", "as_of": "time", "sector": "text", "industry": "text", "size_group": "text", "fiscal_year_end_assumed": "time"}
+
+
+def _digits(t: str) -> str:
+    """First significant digit to 1, 4 or 9, the others to 9; sign, point and leading zeros stay."""
+    rest = f"ltrim(ltrim({t}, '-'), '0.')"
+    head = f"left(ltrim({t}, '-'), length(ltrim({t}, '-')) - length({rest}))"
+    return f"CASE WHEN {rest} = '' THEN '0' ELSE CASE WHEN {t}[1] = '-' THEN '-' ELSE '' END || {head} || translate({rest}[1], '2345678', '4449999') || translate(substr({rest}, 2), '012345678', '999999999') END"
+
+
+_PLAIN = "CASE WHEN abs(v) < 1e15 THEN rtrim(rtrim(CAST(TRY_CAST(v AS DECIMAL(38, 10)) AS VARCHAR), '0'), '.') WHEN NOT isinf(v) THEN format('{:.0f}', v) END"
+
+
+def _cells(columns: list[str]) -> str:
+    """CTEs cells (load_id, column_name, v, s, kind) and counted (... , plain, n): values of the columns and how often they occur."""
+    one = lambda c: f"SELECT load_id, '{c}' AS column_name, CAST({c if c not in _TEXTS else 'NULL'} AS DOUBLE) AS v, CAST({c if c in _TEXTS else 'NULL'} AS VARCHAR) AS s, '{_TEXTS.get(c, 'number')}' AS kind FROM panel"
+    return "cells AS (" + " UNION ALL ".join(one(c) for c in columns) + f"), counted AS (SELECT *, {_PLAIN} AS plain FROM (SELECT load_id, column_name, v, s, kind, count(*) AS n FROM cells GROUP BY ALL))"
+
+
+_TEXT_MASK = r"regexp_replace(regexp_replace(regexp_replace(s, '\p{Lu}+', 'A', 'g'), '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+', 'a', 'g'), '\p{Nd}+', '9', 'g')"
+MASKED = f"""masked AS (SELECT *, CASE WHEN v IS NULL AND s IS NULL THEN 'null' WHEN kind = 'text' THEN {_TEXT_MASK} WHEN kind = 'time' THEN translate(s, '012345678', '999999999')
+  WHEN isnan(v) THEN 'nan' WHEN isinf(v) THEN CASE WHEN v > 0 THEN 'inf' ELSE '-inf' END ELSE {_digits('plain')} END AS mask FROM counted)"""
+_fin = "CASE WHEN NOT isnan(v) AND NOT isinf(v) THEN v END"
+_Q = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+_where = lambda cond: f"count(*) FILTER (WHERE {cond})"
+PROFILED = f"""seen AS (SELECT load_id, column_name, count(*) AS n_distinct, max(n) AS top_count, sum(n * CASE WHEN contains(plain, '.') THEN length(plain) - instr(plain, '.') ELSE 0 END) AS sum_decimals
+  FROM counted WHERE s IS NOT NULL OR (v IS NOT NULL AND NOT isnan(v)) GROUP BY ALL),
+prof AS (
+  SELECT c.load_id, c.column_name, count(*) AS n_rows, {_where('s IS NULL AND (v IS NULL OR isnan(v))')} AS n_missing, {_where('s IS NULL AND v IS NULL')} AS n_null,
+    coalesce(any_value(n_distinct), 0) AS n_distinct, coalesce(any_value(top_count), 0) AS top_count, min({nn('v')}) AS min_value, max({nn('v')}) AS max_value,
+    {', '.join(f'quantile_disc({_fin}, {q}) AS {k}' for k, q in _Q.items())}, round(avg({_fin}), 6) AS mean_value,
+    {_where(f"{nn('v')} < 0")} AS n_negative, {_where('v = 0')} AS n_zero, {_where('isinf(v)')} AS n_infinite, coalesce(any_value(sum_decimals), 0) AS sum_decimals
+  FROM cells c LEFT JOIN seen s ON c.load_id IS NOT DISTINCT FROM s.load_id AND c.column_name = s.column_name GROUP BY 1, 2
+)"""
+_ALL = [*_TEXTS, *_NUM]
+P4_PROFILE_SQL = with_(_cells(_ALL), PROFILED, body="SELECT * FROM prof")
+P4_MASKS_SQL = with_(
+    _cells(_ALL), MASKED, "m AS (SELECT column_name, mask, CAST(sum(n) AS BIGINT) AS n FROM masked GROUP BY ALL)",
+    body="""SELECT column_name, mask, n, round(n / sum(n) OVER w, 9) AS share, n / sum(n) OVER w >= 0.05 OR row_number() OVER (PARTITION BY column_name ORDER BY n DESC, mask) = 1 AS dominant, n / sum(n) OVER w < 0.001 AS rare
+FROM m WINDOW w AS (PARTITION BY column_name)""",
+)
+_WATCHED = ["payout_ratio_ttm", "trailing_pe", "roic"]
+_sf = "IS NOT DISTINCT FROM"
+SHARED = f"""tagged AS (SELECT m.load_id, f.feed, m.column_name, mask, sum(n) AS n FROM masked m LEFT JOIN (SELECT load_id, any_value(feed) AS feed FROM loads GROUP BY 1) f ON f.load_id = m.load_id GROUP BY ALL),
+every AS (SELECT feed, column_name, mask, sum(n) AS n FROM tagged GROUP BY ALL), sizes AS (SELECT load_id, feed, column_name, sum(n) AS n_rows FROM tagged GROUP BY ALL),
+whole AS (SELECT feed, column_name, sum(n_rows) AS all_rows FROM sizes GROUP BY ALL),
+pq AS (
+  SELECT z.load_id, z.feed, z.column_name, e.mask, z.n_rows, w.all_rows, coalesce(t.n, 0) AS own, e.n - coalesce(t.n, 0) AS others,
+    coalesce(t.n, 0) / z.n_rows AS p, (e.n - coalesce(t.n, 0)) / (w.all_rows - z.n_rows) AS q
+  FROM sizes z JOIN whole w ON w.feed {_sf} z.feed AND w.column_name = z.column_name AND w.all_rows > z.n_rows
+  JOIN every e ON e.feed {_sf} z.feed AND e.column_name = z.column_name
+  LEFT JOIN tagged t ON t.load_id {_sf} z.load_id AND t.column_name = z.column_name AND t.mask = e.mask
+)"""
+P4_VIOLATIONS_SQL = with_(_cells(_WATCHED), MASKED, SHARED, body="SELECT load_id, feed, column_name, mask, CAST(own AS BIGINT) AS n, CAST(others AS BIGINT) AS n_others FROM pq WHERE own > 0 AND q < 0.001")
+_STATS = ["missing", "level", "spread", "width", "negative", "zero", "uniq", "top", "decimals", "divergence"]
+_share = lambda c: f"CASE WHEN n_rows > n_missing THEN {c} / (n_rows - n_missing) END"
+_fromshare = lambda s, k: f"({s} - mid_{s}) / sqrt(mid_{s} * (1 - mid_{s}) / greatest({k}, 1) + 1e-4)"
+_fromratio = lambda s: f"CASE WHEN mid_{s} > 0 AND {s} + mid_{s} * 1e-6 > 0 THEN ln(({s} + mid_{s} * 1e-6) / mid_{s}) * sqrt(greatest(n, 1)) / 1.2 END"
+_DIST = {
+    "missing": _fromshare("missing", "n_rows"), "level": "CASE WHEN mid_spread > 0 THEN (level - mid_level) / (0.93 * mid_spread / sqrt(greatest(n, 1))) END",
+    "spread": _fromratio("spread"), "width": _fromratio("width"), "negative": _fromshare("negative", "n"), **{s: f"{s} - mid_{s}" for s in ("zero", "uniq", "top", "decimals", "divergence")},
+}
+_far = [f"abs(d_{s}) > 6" for s in ("missing", "negative", "level", "spread", "width")] + [f"abs(d_{s}) > 0.2" for s in ("zero", "uniq", "top")] + ["abs(d_decimals) > 0.4"]
+_gap = lambda t: f"{t}.feed {_sf} a.feed AND {t}.column_name = a.column_name"
+P4_DRIFT_SQL = with_(
+    _cells(_WATCHED), MASKED, PROFILED, SHARED,
+    """div AS (SELECT load_id, column_name, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END) - sum(coalesce(q * (1 - q) / nullif((1 - q) + 5.545 * n_rows * q, 0), 0)) AS divergence FROM pq GROUP BY ALL)""",
+    f"""a AS (SELECT p.load_id, z.feed, p.column_name, p.n_rows, p.n_rows - n_missing AS n, n_missing / p.n_rows AS missing, p50 AS level, p75 - p25 AS spread, p95 - p05 AS width, {', '.join(_share(c).replace('n_rows', 'p.n_rows') + f' AS {k}' for c, k in (('n_negative', 'negative'), ('n_zero', 'zero'), ('n_distinct', 'uniq'), ('top_count', 'top'), ('sum_decimals', 'decimals')))}, divergence
+  FROM prof p JOIN sizes z ON z.load_id {_sf} p.load_id AND z.column_name = p.column_name LEFT JOIN div d ON d.load_id {_sf} p.load_id AND d.column_name = p.column_name)""",
+    f"""mid AS (SELECT feed, column_name, count(*) AS n_loads, {', '.join(f'quantile_disc({x}, 0.5) AS mid_{x}' for x in _STATS)} FROM a WHERE n_rows >= 10 GROUP BY ALL)""",
+    f"""d AS (SELECT a.*, n_loads, {', '.join(f'{e} AS d_{k}' for k, e in _DIST.items())} FROM a LEFT JOIN mid ON {_gap('mid')})""",
+    f"""noisy AS (SELECT feed, column_name, 1.4826 * quantile_disc(abs(d_divergence), 0.5) AS noise FROM d WHERE n_rows >= 10 GROUP BY ALL)""",
+    f"""y AS (SELECT a.*, n_rows >= 10 AND n_loads > 1 AND coalesce(d_divergence > greatest(0.05 + 3.0 / n_rows, 3.0 * noise), false) AS by_masks, n_rows >= 10 AND n_loads > 1 AND ({' OR '.join(f'coalesce({f}, false)' for f in _far)}) AS by_statistics FROM d a LEFT JOIN noisy ON {_gap('noisy')})""",
+    body=f"SELECT load_id, feed, column_name, n_rows, {', '.join(f"round(d_{k}, 6) AS d_{dict(uniq='distinct', width='range').get(k, k)}" for k in _STATS)}, by_masks, by_statistics, by_masks OR by_statistics AS departs FROM y",
+)
+P4_SQL = f"SELECT load_id, column_name FROM ({P4_DRIFT_SQL}) WHERE departs"
+
+
 def _mode(name: str, table: str, key: str, value: str, least: int) -> str:
     """CTE (k, v): the most frequent present value of a key with `least` of them; of equals the smallest."""
     return f"""{name} AS (SELECT k, v FROM (SELECT {key} AS k, {value} AS v, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {value}) AS r, sum(count(*)) OVER (PARTITION BY {key}) AS n
@@ -338,5 +417,5 @@ ORACLE = {
     "j08_forward_returns": J08_SQL, "f01_trends": F01_SQL, "f22_breaks": F22_SQL,
     "l01_reporting_lag": with_(QUARTERS, LAGGED, body="SELECT ticker, period, is_fiscal_q4, fiscal_year_end_assumed, known_date FROM known"),
     "l04_rescaled": L04_SQL, "v01_dividends": V01_SQL, "x01_technicals": X01_SQL, "b03_percentiles": B03_SQL, "b05_missing": B05_SQL, "b06_eps_basis": B06_SQL,
-    "p3_found": P3_SQL, "p3_attributes": p3_attributes_sql(), "p5_found": P5_SQL, "p5_filled": p5_filled_sql(),
+    "p3_found": P3_SQL, "p3_attributes": p3_attributes_sql(), "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p4_masks": P4_MASKS_SQL, "p4_violations": P4_VIOLATIONS_SQL, "p4_drift": P4_DRIFT_SQL, "p5_found": P5_SQL, "p5_filled": p5_filled_sql(),
 }
