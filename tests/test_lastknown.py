@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.lastknown import ROW, attributes_as_of
+from tidemark.operators.lastknown import ROW, _spans, attributes_as_of, last_known
 
 ROWS = "ticker string, period date, known timestamp_ntz, id bigint, a double, b double"
 EV = "e bigint, ticker string, at timestamp_ntz, a string"
@@ -41,12 +41,12 @@ def test_ties_repeats_nulls_and_clashing_names(spark):
     assert set(match(spark, rows, ask, attributes=[ROW], how="inner")) == {1, 2}
 
 
-def test_age_bound_blocks_and_empty_tables(spark):
+def test_age_bound_and_empty_tables(spark):
     rows = [("x", D(2010, 3, 31), T(2010, 5, 1), 1, 1.0, None)]
     ask = [(1, "x", T(2010, 5, 11), "c"), (2, "x", T(2010, 5, 11, 0, 0, 1), "c"), (3, "x", T(2024, 1, 1), "c")]
     got = match(spark, rows, ask, attributes=["a"], max_age_days=10)
     assert [got[i]["a"] for i in (1, 2, 3)] == [1.0, None, None]
-    assert match(spark, rows, ask, attributes=["a"])[3]["a"] == 1.0  # carried over 55 blocks
+    assert match(spark, rows, ask, attributes=["a"])[3]["a"] == 1.0
     assert match(spark, [], ask, attributes=["a"])[1]["a"] is None
     assert match(spark, rows, [], attributes=["a"]) == {}
 
@@ -58,17 +58,29 @@ def test_against_brute_force(spark):
     day = lambda a: T(2020, 1, 1) + dt.timedelta(days=rng.randint(0, a), hours=rng.randint(0, 23))
     rows = [(rng.choice("xxxxy"), D(2020, 1, 1) + dt.timedelta(days=91 * rng.randint(0, 9)), day(900), i, rng.choice([None, float(i)]), None) for i in range(300)]
     ask = [(i, rng.choice("xxyz"), day(1000), None) for i in range(200)]
-    got = match(spark, rows, ask, attributes=["a"], block_days=30)
-    for i, k, at, _ in ask:
-        ok = [r for r in rows if r[0] == k and r[2] <= at and r[4] is not None]
-        want = max(ok, key=lambda r: (r[1], r[2], -r[3]))[4] if ok else None
-        assert got[i]["a"] == want
+    for span_rows in (1_000_000, 20):  # x has some 240 rows: with 20 it is cut into a dozen spans
+        got = match(spark, rows, ask, attributes=["a"], span_rows=span_rows)
+        for i, k, at, _ in ask:
+            ok = [r for r in rows if r[0] == k and r[2] <= at and r[4] is not None]
+            want = max(ok, key=lambda r: (r[1], r[2], -r[3]))[4] if ok else None
+            assert got[i]["a"] == want
 
 
-def test_no_partner_side_is_broadcast_by_hint(spark):
+def test_a_key_with_most_rows_is_many_tasks(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, concat('k', id), 'hot') key", "id * 1000 t", "-id k", "cast(id as double) v0")
+    spans = {r["h"]: r["spans"] for r in _spans(rows, 500).collect()}
+    assert set(spans) == {"hot"} and spans["hot"] > 20
+    asked = rows.selectExpr("key", "t as asked_us")
+    got = last_known(rows, asked, ["t"], "t", ["v"], span_rows=500)
+    assert got.where("v <> asked_us / 1000 or v is null").count() == 0 and got.count() == 20_000
+
+
+def test_only_the_bounded_table_of_cut_keys_is_broadcast_by_hint(spark):
     df = spark.createDataFrame([("x", D(2020, 3, 31), T(2020, 5, 1), 1, 1.0, 1.0)], ROWS)
     e = spark.createDataFrame([(1, "x", T(2020, 5, 1), "c")], EV)
     out = attributes_as_of(e, df, event_key="ticker", event_time="at", row_key="ticker", known_at="known", latest_by=["period"], tie="id", attributes=["a"])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "CartesianProduct" not in plan and "broadcast" not in plan.lower()
+    assert "CartesianProduct" not in plan
+    # The one hint (on both sides of a union) is on the table of cut keys, of which there are fewer than MOST_HOT.
+    assert plan.count("strategy=broadcast") <= 2
     assert out.select(F.max("a")).first()[0] == 1.0

@@ -1,75 +1,88 @@
 """Attributes as they were known at a time: one change history per attribute, separate last-known matches, pivoted back.
 
-Plan. Entries of a key are split by blocks of time, so a key that holds a third of all rows is no single task. Within a
-block a running maximum answers the questions; a second running maximum over one row per (key, block), whose number is
-bounded by the calendar, carries what earlier blocks knew. Everything stays in the JVM; no range join is made.
+Plan. A row of the history stays one wide row with one order for all of its attributes; a missing value is no entry of its
+attribute's history. Rows and questions of a key meet in one exchange, where running maxima, one for each attribute, answer
+the questions, and the answers join the events: three exchanges in all. Everything stays in the JVM; no range join is made.
+
+Keys with very many rows are cut into spans of time, which are tasks of their own; a second running maximum over one row
+per span carries what earlier spans knew. Such keys are found by counting. Fewer than MOST_HOT keys can have more than
+1 / MOST_HOT of all rows, which bounds the table of them, so that it may be broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import MICROS_PER_DAY, micros
 
 #: Name of the attribute that every row has; its source id says which row was the last known.
 ROW = "row"
+#: A key is cut from this many rows on, or from 1 / MOST_HOT of all rows if that is more.
+SPAN_ROWS, MOST_HOT = 1_000_000, 100_000
 
 
-def change_history(
-    rows: DataFrame, key: str, known_at: str, latest_by: Sequence[str], tie: str, attributes: Sequence[str]
-) -> DataFrame:
-    """(key, attribute, known_us, entry): one entry for each present value of each attribute.
+def change_history(rows: DataFrame, key: str, known_at: str, latest_by: Sequence[str], tie: str, attributes: Sequence[str]) -> DataFrame:
+    """(key, t, o0.., k, v0..): a wide row per row with key, known_at, tie and all of `latest_by`.
 
-    entry orders by `latest_by` (dates or times, in turn), then by the smallest `tie`, and holds the value and the tie.
-    A missing value (NULL or NaN) makes no entry, so attributes that are updated at different times keep apart. Rows
-    without key, known_at or one of `latest_by` make none. Copies are merged before the shuffle.
+    t is known_at in microseconds; the order (o0.., k) is by `latest_by` (dates or times, in turn), then the smallest `tie`;
+    a column of `latest_by` that is known_at itself has no place of its own. A missing value (NULL or NaN) of an attribute
+    makes no entry of its history, so attributes that are updated at different times keep apart.
     """
-    order = [micros(c).alias(f"o{i}") for i, c in enumerate(latest_by)]
-    names = [f"o{i}" for i in range(len(order))]
+    order = [micros(c).alias(f"o{i}") for i, c in enumerate(latest_by) if c != known_at]
     value = [(F.lit(1.0) if a == ROW else F.col(f"`{a}`").cast("double")).alias(f"v{i}") for i, a in enumerate(attributes)]
-    r = rows.select(F.col(key).alias("key"), micros(known_at).alias("known_us"), *order, F.col(tie).alias("tie"), *value)
-    for c in ("key", "known_us", "tie", *names):
-        r = r.where(F.col(c).isNotNull())
-    # Versions of the same instant are merged while the row is still one row; only then is it taken apart by attribute.
-    here = lambda i: F.when(F.col(f"v{i}").isNotNull() & ~F.isnan(f"v{i}"), F.struct("tie", F.col(f"v{i}").alias("value")))
-    r = r.groupBy("key", "known_us", *names).agg(*[F.min(here(i)).alias(f"x{i}") for i in range(len(value))])
-    parts = [F.struct(F.lit(a).alias("attribute"), F.col(f"x{i}").alias("x")) for i, a in enumerate(attributes)]
-    long = r.select("key", "known_us", *names, F.inline(F.array(*parts))).where("x is not null")
-    return long.select(
-        "key", "attribute", "known_us",
-        F.struct(*names, (-F.col("x.tie")).alias("k"), F.col("x.value").alias("value"), F.col("known_us")).alias("entry"),
-    )
-
-
-def last_known(history: DataFrame, asked: DataFrame, attributes: Sequence[str], block_days: int = 91) -> DataFrame:
-    """(key, asked_us, <attribute>...): for each distinct (key, asked_us) the greatest entry of each attribute among
-    those with known_us <= asked_us; NULL where there is none. Entries are structs of `change_history`."""
-    width = block_days * MICROS_PER_DAY
-    block = lambda c: F.floor(F.col(c) / F.lit(width)).alias("block")
-    ask = asked.where("key is not null and asked_us is not null").groupBy("key", "asked_us").agg(F.lit(1).alias("kind"))
-    kind = history.schema["entry"].dataType
-    both = history.select("key", block("known_us"), F.col("known_us").alias("t"), F.lit(0).alias("kind"), "attribute", "entry").unionByName(
-        ask.select("key", block("asked_us"), F.col("asked_us").alias("t"), "kind", F.lit(None).cast("string").alias("attribute"), F.lit(None).cast(kind).alias("entry"))
-    )
-    one = {a: F.max(F.when(F.col("attribute") == a, F.col("entry"))) for a in attributes}
-    within = Window.partitionBy("key", "block").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    inside = both.select("key", "block", "t", "kind", *[c.over(within).alias(f"in_{i}") for i, c in enumerate(one.values())]).where("kind = 1")
-    ends = both.groupBy("key", "block").agg(*[c.alias(f"end_{i}") for i, c in enumerate(one.values())])
-    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("key", "block", *[F.max(f"end_{i}").over(before).alias(f"was_{i}") for i in range(len(one))])
-    return inside.join(carried, ["key", "block"], "left").select(
-        "key", F.col("t").alias("asked_us"),
-        *[F.greatest(f"in_{i}", f"was_{i}").alias(a) for i, a in enumerate(one)],
-    )
+    r = rows.select(F.col(key).alias("key"), micros(known_at).alias("t"), *order, (-F.col(tie)).alias("k"), *value)
+    names = [f"v{i}" for i in range(len(value))]
+    r = r.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+    for c in r.columns:
+        if c not in names:
+            r = r.where(F.col(c).isNotNull())
+    # Of several attributes a row without any is harmless, and a filter on all of them makes Catalyst infer 2**n constraints.
+    return r.where(F.col(names[0]).isNotNull()) if len(names) == 1 else r
+
+
+def _spans(history: DataFrame, span_rows: int) -> DataFrame:
+    """(h, first, width, spans) of the keys that are cut into spans of time."""
+    n = F.count("*")
+    all_rows = history.agg(n.alias("n")).scalar()
+    hot = history.groupBy(F.col("key").alias("h")).agg(n.alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    hot = hot.where((F.col("n") > span_rows) & (F.col("n") * MOST_HOT > all_rows))
+    spans = F.ceil(F.col("n") / F.lit(span_rows)).cast("bigint")
+    return hot.select("h", "first", (F.floor((F.col("last") - F.col("first")) / spans) + 1).cast("bigint").alias("width"), spans.alias("spans"))
+
+
+def last_known(history: DataFrame, asked: DataFrame, latest_by: Sequence[str], known_at: str, attributes: Sequence[str], detail: bool = False, span_rows: int = SPAN_ROWS) -> DataFrame:
+    """(key, asked_us, <attribute>...): for each distinct (key, asked_us) the last entry of each attribute by the order of
+    `change_history` among those known at or before asked_us; NULL where there is none. An attribute is its value or, with
+    `detail`, a struct with value, known_us and k (less the tie)."""
+    ask = asked.where("key is not null and asked_us is not null").groupBy("key", F.col("asked_us").alias("t")).agg(F.lit(1).alias("kind"))
+    both = history.withColumn("kind", F.lit(0)).unionByName(ask, allowMissingColumns=True)
+    both = both.join(F.broadcast(_spans(history, span_rows)), F.col("key") == F.col("h"), "left")
+    span = F.floor((F.col("t") - F.col("first")) / F.col("width"))
+    both = both.withColumn("span", F.coalesce(F.greatest(F.lit(0), F.least(span, F.col("spans") - 1)), F.lit(0)).cast("bigint"))
+    both = both.withColumn("cut", F.col("spans").isNotNull()).drop("h", "first", "width", "spans")
+    rank = [F.col("t") if c == known_at else F.col(f"o{i}") for i, c in enumerate(latest_by)]
+
+    def entry(i: int) -> Column:
+        return F.when(F.col(f"v{i}").isNotNull(), F.struct(*[x.alias(f"r{j}") for j, x in enumerate(rank)], "k", F.col(f"v{i}").alias("value"), F.col("t").alias("known_us")))
+
+    here = Window.partitionBy("key", "span").orderBy("t", "kind")
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"x{i}" for i in range(len(attributes))]
+    seen = both.select("key", "span", "t", "kind", "cut", F.lead("kind").over(here).isNull().alias("last"), *[F.max(entry(i)).over(so_far).alias(n) for i, n in enumerate(names)])
+    before = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = seen.where("cut and last").select("key", "span", *[F.max(n).over(before).alias(f"was_{n}") for n in names])
+    got = seen.where("kind = 1").join(carried, ["key", "span"], "left")
+    best = [F.greatest(n, f"was_{n}") for n in names]
+    return got.select("key", F.col("t").alias("asked_us"), *[(b if detail else b["value"]).alias(a) for a, b in zip(attributes, best, strict=True)])
 
 
 def attributes_as_of(
     events: DataFrame, rows: DataFrame, *, event_key: str, event_time: str, row_key: str, known_at: str,
     latest_by: Sequence[str], tie: str, attributes: Sequence[str], max_age_days: int | None = None,
-    sources: bool = False, how: str = "left", block_days: int = 91,
+    sources: bool = False, how: str = "left", span_rows: int = SPAN_ROWS,
 ) -> DataFrame:
     """`events` with each of `attributes` of `rows` as last known at the event's time, never a later one.
 
@@ -84,7 +97,8 @@ def attributes_as_of(
     """
     history = change_history(rows, row_key, known_at, latest_by, tie, attributes)
     e = events.withColumns({"__key": F.col(event_key), "__us": micros(event_time)})
-    known = last_known(history, e.select(F.col("__key").alias("key"), F.col("__us").alias("asked_us")), attributes, block_days)
+    detail = sources or ROW in attributes or max_age_days is not None
+    known = last_known(history, e.select(F.col("__key").alias("key"), F.col("__us").alias("asked_us")), latest_by, known_at, attributes, detail, span_rows)
     known = known.withColumnsRenamed({"key": "__key", "asked_us": "__us"} | {a: f"__{a}" for a in attributes})
     out = e.join(known, ["__key", "__us"], how)
     new = {}
@@ -93,7 +107,7 @@ def attributes_as_of(
         if max_age_days is not None:
             x = F.when(F.col("__us") - x["known_us"] <= max_age_days * MICROS_PER_DAY, x)
         if a != ROW:
-            new[a] = x["value"]
+            new[a] = x["value"] if detail else x
         if sources or a == ROW:
             new[f"{a}_from"] = -x["k"]
     keep = [c for c in events.columns if c not in new]
