@@ -54,11 +54,11 @@ def number_text(c: Column) -> Column:
     return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
-def _digits_mask(text: Column) -> Column:
+def _digits_mask(text: Column, rest: Column | None = None) -> Column:
     """Mask of a plain number: sign, point and leading zeros stay; the first significant digit becomes 1 (1), 4 (2 to 4) or 9
-    (5 to 9), a third of the orders of magnitude each; the other digits become 9."""
+    (5 to 9), a third of the orders of magnitude each; the other digits become 9. `rest` is the text from that digit on."""
     t = F.ltrim(text, F.lit("-"))
-    rest = F.ltrim(t, F.lit("0."))
+    rest = F.ltrim(t, F.lit("0.")) if rest is None else rest
     head = F.left(t, F.length(t) - F.length(rest))
     first = F.translate(F.left(rest, F.lit(1)), "2345678", "4449999")
     more = F.translate(F.right(rest, F.length(rest) - 1), "012345678", "999999999")
@@ -108,16 +108,24 @@ def _is_float(kind: T.DataType) -> bool:
     return isinstance(kind, (T.DoubleType, T.FloatType))
 
 
+def _with_text(values: DataFrame) -> DataFrame:
+    """`_value_counts` with text: s, or the number in v; a column of its own, so that it is made once for all that reads it."""
+    return values.withColumn("text", F.coalesce("s", number_text(F.col("v"))))
+
+
 def _with_mask(values: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`_value_counts` with the mask of each value by the type of its column."""
     kinds = {f.name: f.dataType for f in df.schema}
-    v, s = F.col("v"), F.col("s")
-    mask = F.when(v.isNotNull(), number_mask(v)).when(s.isNull(), "null")
-    for kind in (T.StringType, T.NumericType):
-        some = [i for i, c in enumerate(columns) if isinstance(kinds[c], kind) and not _is_float(kinds[c])]
-        if some:
-            mask = mask.when(F.col("__c").isin(*some), value_mask(s, kind()))
-    return values.withColumn("mask", mask.otherwise(value_mask(s, T.DateType())))
+    some = lambda kind: [i for i, c in enumerate(columns) if isinstance(kinds[c], kind)]
+    at, v, text = F.col("__c"), F.col("v"), F.col("text")
+    values = _with_text(values).withColumn("rest", F.ltrim(F.ltrim(text, F.lit("-")), F.lit("0.")))
+    mask = F.when(v.isNull() & text.isNull(), "null")
+    if some(T.NumericType):
+        odd = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").otherwise("huge")
+        mask = mask.when(at.isin(*some(T.NumericType)), F.coalesce(_digits_mask(text, F.col("rest")), odd))
+    if some(T.StringType):
+        mask = mask.when(at.isin(*some(T.StringType)), text_mask(text))
+    return values.withColumn("mask", mask.otherwise(F.translate(text, "012345678", "999999999"))).drop("text", "rest")
 
 
 def _named(df: DataFrame, group: str | None, columns: Sequence[str]) -> DataFrame:
@@ -158,9 +166,9 @@ def profile(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """
     values = _value_counts(df, group, columns)
     there = (F.col("v").isNotNull() & ~F.isnan("v")) | F.col("s").isNotNull()
-    text = number_text(F.col("v"))
+    text = F.when(F.col("v").isNotNull(), F.col("text"))
     decimals = F.when(F.instr(text, ".") > 0, F.length(text) - F.instr(text, ".")).otherwise(0)
-    seen = values.where(there).groupBy(F.col("__g").alias("__h"), F.col("__c").alias("__d")).agg(
+    seen = _with_text(values.where(there)).groupBy(F.col("__g").alias("__h"), F.col("__c").alias("__d")).agg(
         F.count("*").alias("n_distinct"), F.max("n").alias("top_count"), F.sum(decimals * F.col("n")).alias("sum_decimals"))
     out = _ranges(df, group, columns).join(seen, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__c") == F.col("__d")), "left")
     quantiles = [F.get("q", F.lit(i)).alias(k) for i, k in enumerate(QUANTILES)]
@@ -191,69 +199,88 @@ def patterns(df: DataFrame, columns: Sequence[str], rare: float = 0.001, dominan
     ), None, columns)
 
 
-def _against_feed(prof: DataFrame, mask: DataFrame, loads: DataFrame, load: str, feed: str) -> DataFrame:
-    """`prof` with feed, masks (a map), and of the whole feed: every (its masks with their counts) and all_rows.
+def _same(*names: str) -> Column:
+    """Equal, NULL with NULL: `names` against the columns with two underscores before them."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n).eqNullSafe(F.col(f"__{n}"))
+    return out
 
-    One row per load and column is stored, with no more masks than numbers have sizes and precisions; all that follows
-    reads those rows. Loads that `loads` does not name have the feed NULL.
-    """
-    feeds = loads.select(F.col(load).alias("__l"), F.col(feed).alias("feed")).dropDuplicates(["__l"])
-    own = mask.groupBy(F.col(load).alias("__g"), F.col("column_name").alias("__c")).agg(F.map_from_entries(F.collect_list(F.struct("mask", "n"))).alias("masks"))
-    x = prof.join(own, F.col(load).eqNullSafe(F.col("__g")) & (F.col("column_name") == F.col("__c"))).drop("__g", "__c")
-    x = cut(x.join(feeds, F.col(load) == F.col("__l"), "left").drop("__l"))
-    long = x.select("feed", "column_name", F.explode("masks").alias("mask", "n")).groupBy("feed", "column_name", "mask").agg(F.sum("n").alias("n"))
-    whole = long.groupBy(F.col("feed").alias("__f"), F.col("column_name").alias("__c")).agg(F.collect_list(F.struct("mask", "n")).alias("every"), F.sum("n").alias("all_rows"))
-    return x.join(whole, F.col("feed").eqNullSafe(F.col("__f")) & (F.col("column_name") == F.col("__c")), "left").drop("__f", "__c")
 
+def _aside(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumnsRenamed({n: f"__{n}" for n in names})
 
-def _shares(e: Column) -> tuple[Column, Column]:
-    """Share of a mask of the feed in the load and in the feed's other loads."""
-    own = F.coalesce(F.try_element_at("masks", e["mask"]), F.lit(0))
-    return own / F.col("n_rows"), F.try_divide(e["n"] - own, F.col("all_rows") - F.col("n_rows"))
 
+def _against_feed(mask: DataFrame, loads: DataFrame, load: str, feed: str) -> tuple[DataFrame, DataFrame]:
+    """(load, feed, column_name, n_rows, mask, n, all_n): the masks of the loads with their number in the whole feed; and
+    (feed, column_name, every, all_rows): the numbers of all masks of the feed. Loads that `loads` does not name have the feed
+    NULL. Numbers have few masks (signs, sizes, precisions), which bounds the lists."""
+    feeds = loads.select(F.col(load).alias("__l"), F.col(feed).alias("feed")).dropDuplicates(["__l"])
+    own = mask.groupBy(load, "column_name").agg(F.collect_list(F.struct("mask", "n")).alias("x"), F.sum("n").alias("n_rows"))
+    own = own.join(feeds, F.col(load) == F.col("__l"), "left").select(load, "feed", "column_name", "n_rows", F.inline("x"))
+    every = own.groupBy("feed", "column_name", "mask").agg(F.sum("n").alias("all_n"))
+    whole = every.groupBy("feed", "column_name").agg(F.collect_list("all_n").alias("every"), F.sum("all_n").alias("all_rows"))
+    keys = ("feed", "column_name", "mask")
+    return own.join(_aside(every, *keys), _same(*keys)).drop(*[f"__{k}" for k in keys]), whole
 
-def violations(prof: DataFrame, mask: DataFrame, loads: DataFrame, load: str, feed: str, rare: float = 0.001) -> DataFrame:
+
+def violations(mask: DataFrame, loads: DataFrame, load: str, feed: str, rare: float = 0.001) -> DataFrame:
     """(load, feed, column_name, mask, n, n_others): the masks of a load whose share in the feed's other loads is below `rare`.
 
     A feed's only load has nothing to be compared with and no row here.
     """
-    x = _against_feed(prof, mask, loads, load, feed).where("all_rows > n_rows")
-    x = x.select(load, "feed", "column_name", "n_rows", "all_rows", "masks", F.explode("every").alias("e"))
-    own, others = _shares(F.col("e"))
-    n = (own * F.col("n_rows")).cast("bigint")
-    return x.where((own > 0) & (others < rare)).select(load, "feed", "column_name", F.col("e.mask").alias("mask"), F.try_element_at("masks", F.col("e.mask")).alias("n"), (F.col("e.n") - n).alias("n_others"))
+    x, whole = _against_feed(mask, loads, load, feed)
+    x = x.join(_aside(whole, "feed", "column_name"), _same("feed", "column_name")).where("all_rows > n_rows")
+    others = F.col("all_n") - F.col("n")
+    return x.where(others / (F.col("all_rows") - F.col("n_rows")) < rare).select(load, "feed", "column_name", "mask", "n", others.alias("n_others"))
 
 
-def departures(prof: DataFrame, mask: DataFrame, loads: DataFrame, load: str, feed: str, rule: DriftRule = DriftRule()) -> DataFrame:
-    """One row per load and column: how far its masks and its statistics are from the feed's other loads; by_masks,
-    by_statistics, and departs, if one of them.
+def _divergence(mask: DataFrame, loads: DataFrame, load: str, feed: str) -> DataFrame:
+    """(load, feed, column_name, divergence): Jensen-Shannon divergence (bits) of a load's masks from those of the feed's other
+    loads, less what a load of its size has by chance; NULL for a feed's only load."""
+    x, whole = _against_feed(mask, loads, load, feed)
+    x = x.groupBy(load, "feed", "column_name", "n_rows").agg(F.collect_list(F.struct("n", "all_n")).alias("own"))
+    x = x.join(_aside(whole, "feed", "column_name"), _same("feed", "column_name"))
+    rows = F.col("n_rows")
 
-    The masks decide: divergence (Jensen-Shannon, from the other loads), less what a load of this size would have by
-    chance, less the feed's median of that, against `rule`. The statistics are a second signal for what masks do not show:
-    missing and negative share, level (median), spread (inter-quartile range), range (p05 to p95), distinct share, top share,
-    zeros, decimals. Loads under rule.least_rows are reported and never depart. A feed's only load departs from nothing;
-    loads that `loads` does not name are compared with one another.
-    """
-    x = _against_feed(prof, mask, loads, load, feed)
+    def pair(e: Column) -> tuple[Column, Column]:
+        return e["n"] / rows, F.try_divide(e["all_n"] - e["n"], F.col("all_rows") - rows)
 
-    def js(total: Column, e: Column) -> Column:
-        p, q = _shares(e)
+    def part(e: Column) -> Column:
+        p, q = pair(e)
         h = (p + q) / 2
-        return total + F.when(p > 0, p * F.log2(p / h) / 2).otherwise(0.0) + F.when(q > 0, q * F.log2(q / h) / 2).otherwise(0.0)
+        # Masks that the load lacks add half of their share each: 1/2 in all, less half the share of those it has.
+        return p * F.log2(p / h) / 2 + F.when(q > 0, q * F.log2(q / h) / 2).otherwise(0.0) - q / 2
 
-    def by_chance(total: Column, e: Column) -> Column:
+    def by_chance(k: Column) -> Column:
         # Of a mask expected n * q times: q if that is far below 1, (1 - q) / (8 n ln 2) if it is far above.
-        _, q = _shares(e)
-        return total + F.coalesce(F.try_divide(q * (1 - q), (1 - q) + 5.545 * F.col("n_rows") * q), F.lit(0.0))
+        q = k / F.col("all_rows")
+        return F.coalesce(F.try_divide(q * (1 - q), (1 - q) + 5.545 * rows * q), F.lit(0.0))
+
+    js = F.aggregate("own", F.lit(0.5), lambda t, e: t + part(e)) - F.aggregate("every", F.lit(0.0), lambda t, k: t + by_chance(k))
+    return x.select(load, "feed", "column_name", F.when(F.col("all_rows") > rows, js).alias("divergence"))
+
+
+def departures(prof: DataFrame, mask: DataFrame, loads: DataFrame, load: str, feed: str, rule: DriftRule = DriftRule()) -> DataFrame:
+    """One row per load and column: how far its masks and its statistics are from the feed's other loads; by_masks,
+    by_statistics, and departs, if one of them.
 
+    The masks decide: divergence (`_divergence`) less the feed's median of it, against `rule`. The statistics are a second
+    signal for what masks do not show: missing and negative share, level (median), spread (inter-quartile range), range (p05
+    to p95), distinct share, top share, zeros, decimals. Loads under rule.least_rows are reported and never depart. A feed's
+    only load departs from nothing; loads that `loads` does not name are compared with one another. One row per load and
+    column is stored, as the medians of the feeds are taken from it in two steps.
+    """
+    x = prof.join(_aside(_divergence(mask, loads, load, feed), load, "column_name"), _same(load, "column_name"))
     n = F.col("n_rows") - F.col("n_missing")
     share = lambda c: F.try_divide(F.col(c), n)
     x = x.select(
         load, "feed", "column_name", "n_rows", n.alias("n"), (F.col("n_missing") / F.col("n_rows")).alias("missing"), F.col("p50").alias("level"),
         (F.col("p75") - F.col("p25")).alias("spread"), (F.col("p95") - F.col("p05")).alias("range"), share("n_negative").alias("negative"), share("n_zero").alias("zero"),
         share("n_distinct").alias("distinct"), share("top_count").alias("top"), share("sum_decimals").alias("decimals"),
-        F.when(F.col("all_rows") > F.col("n_rows"), F.aggregate("every", F.lit(0.0), js) - F.aggregate("every", F.lit(0.0), by_chance)).alias("divergence"),
+        "divergence",
     )
+    x = cut(x)
     stats = ["missing", "level", "spread", "range", "negative", "zero", "distinct", "top", "decimals", "divergence"]
     judged = F.col("n_rows") >= rule.least_rows
     of_feed = lambda d, *a: d.where(judged).groupBy(F.col("feed").alias("__f"), F.col("column_name").alias("__c")).agg(*a)

@@ -101,7 +101,7 @@ def p4_masks(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Per load and watched column the masks that hardly occur in the feed's other loads."""
-    return profile.violations(*_loads_profiled(spark, sf))
+    return profile.violations(*_loads_profiled(spark, sf)[1:])
 
 
 def p4_drift(spark: SparkSession, sf: str) -> DataFrame:

@@ -352,7 +352,7 @@ _far = [f"abs(d_{s}) > 6" for s in ("missing", "negative", "level", "spread", "w
 _gap = lambda t: f"{t}.feed {_sf} a.feed AND {t}.column_name = a.column_name"
 P4_DRIFT_SQL = with_(
     _cells(_WATCHED), MASKED, PROFILED, SHARED,
-    """div AS (SELECT load_id, column_name, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END) - sum(coalesce(q * (1 - q) / nullif((1 - q) + 5.545 * n_rows * q, 0), 0)) AS divergence FROM pq GROUP BY ALL)""",
+    """div AS (SELECT load_id, column_name, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END) - sum(coalesce(t * (1 - t) / nullif((1 - t) + 5.545 * n_rows * t, 0), 0)) AS divergence FROM (SELECT *, (own + others) / all_rows AS t FROM pq) GROUP BY load_id, column_name)""",
     f"""a AS (SELECT p.load_id, z.feed, p.column_name, p.n_rows, p.n_rows - n_missing AS n, n_missing / p.n_rows AS missing, p50 AS level, p75 - p25 AS spread, p95 - p05 AS width, {', '.join(_share(c).replace('n_rows', 'p.n_rows') + f' AS {k}' for c, k in (('n_negative', 'negative'), ('n_zero', 'zero'), ('n_distinct', 'uniq'), ('top_count', 'top'), ('sum_decimals', 'decimals')))}, divergence
   FROM prof p JOIN sizes z ON z.load_id {_sf} p.load_id AND z.column_name = p.column_name LEFT JOIN div d ON d.load_id {_sf} p.load_id AND d.column_name = p.column_name)""",
     f"""mid AS (SELECT feed, column_name, count(*) AS n_loads, {', '.join(f'quantile_disc({x}, 0.5) AS mid_{x}' for x in _STATS)} FROM a WHERE n_rows >= 10 GROUP BY ALL)""",
