@@ -4,11 +4,14 @@ A text is split by the tokenizer's pattern; the words that a worker has not seen
 of all of them lie in one flat array, the ranks of all neighbouring pairs are found by binary search over the sorted
 pair keys, every word merges its pairs of lowest rank, and the array is closed up, until no word has a pair left. Ids of
 seen words are kept, so a text costs the split and one gather.
+
+In words longer than the longest token, pairs of lowest rank within a token's length on both sides are merged, many of them
+in a round. The ids are those of merging one rank after the other: what could take a symbol from such a pair is a token
+that reaches from it to a pair of lower rank, and no token is that long.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,9 +24,8 @@ from pyspark.sql import DataFrame
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The split of the byte-level tokenizer before merges (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept per worker, and the bytes of a word from which it is merged alone with a heap: rounds over a word take as
-#: many passes as it has merges, a heap n log n steps. Both give the same ids.
-KEPT_WORDS, LONG_WORD = 400_000, 400
+#: Words kept per worker.
+KEPT_WORDS = 400_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -54,6 +56,7 @@ class BytePairEncoder:
         order = np.argsort(key, kind="stable")
         self.keys, self.rank, self.made = key[order], order.astype(np.int32), made[order]
         self.first = np.array([vocab[c] for c in byte_letters()], dtype=np.int32)
+        self.longest = max(len(a) + len(b) for a, b in pairs) if pairs else 1  # bytes of the longest token; a letter is a byte
         self.split = regex.compile(PATTERN).findall
         self._clear()
 
@@ -72,22 +75,35 @@ class BytePairEncoder:
         good = (self.keys[at] == key) & (word[:-1] == word[1:])
         return np.append(np.where(good, self.rank[at], _NONE), _NONE).astype(np.int32), np.append(at, 0)
 
+    def _lowest(self, rank: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair the lowest rank in its word, and the same or, in words longer than two tokens, the lowest rank within a
+        token's length around it (more of it does no harm: a lower minimum only lets pairs wait)."""
+        reps = np.diff(np.r_[head, len(rank)])
+        least = np.repeat(np.minimum.reduceat(rank, head), reps)
+        long = np.flatnonzero(np.repeat(reps > 2 * self.longest, reps))
+        if not len(long):
+            return least, least
+        ahead, width = rank[long], 1
+        while width <= self.longest:  # minima over 1, 2, 4, ... places from each on
+            ahead[:-width] = np.minimum(ahead[:-width], ahead[width:])
+            width *= 2
+        first = min(width - 1, len(long))
+        behind = np.r_[np.minimum.accumulate(rank[long[:first]]), ahead[: len(long) - first]]
+        low = least.copy()
+        low[long] = np.minimum(ahead, behind)
+        return least, low
+
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words and how many each has."""
         out: list[np.ndarray | None] = [None] * len(words)
         size = np.array([len(w) for w in words], dtype=np.int64)
-        for i in np.flatnonzero(size > LONG_WORD):
-            out[i] = self._merge_long(words[i])
-        todo = np.flatnonzero((size <= LONG_WORD) & (size > 0))
+        todo = np.flatnonzero(size > 0)
         sym = self.first[np.frombuffer(b"".join(words[i] for i in todo), dtype=np.uint8)]
         word = np.repeat(todo, size[todo])
         while len(sym):
             rank, at = self._pairs(sym, word)
-            head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            least = np.minimum.reduceat(rank, head)
-            reps = np.diff(np.r_[head, len(sym)])
-            low = np.repeat(least, reps)
-            done = low == _NONE
+            least, low = self._lowest(rank, np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
+            done = least == _NONE
             if done.any():
                 w, s = word[done], sym[done]
                 h = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -97,12 +113,12 @@ class BytePairEncoder:
                 sym, word, rank, at, low = sym[keep], word[keep], rank[keep], at[keep], low[keep]
                 if not len(sym):
                     break
-            hit = rank == low
-            # Of overlapping pairs (the same symbol in a row) the first, third, ... are merged.
-            p = np.flatnonzero(hit)
-            run = np.flatnonzero(np.r_[True, np.diff(p) != 1])
-            odd = (np.arange(len(p)) - np.repeat(run, np.diff(np.r_[run, len(p)]))) % 2 == 1
-            p = p[~odd]
+            # Equal ranks in a row are overlapping pairs of one symbol: of a row all of which is lowest, the first, third,
+            # ... pair is merged; a row of which a part is not waits.
+            head = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+            reps = np.diff(np.r_[head, len(rank)])
+            hit = np.repeat(np.logical_and.reduceat(rank == low, head) & (rank[head] != _NONE), reps)
+            p = np.flatnonzero(hit & ((np.arange(len(rank)) - np.repeat(head, reps)) % 2 == 0))
             sym = sym.copy()
             sym[p] = self.made[at[p]]
             keep = np.ones(len(sym), dtype=bool)
@@ -113,35 +129,6 @@ class BytePairEncoder:
         counts = np.array([len(x) for x in parts], dtype=np.int64)
         return (np.concatenate(parts) if parts else empty), counts
 
-    def _merge_long(self, word: bytes) -> np.ndarray:
-        """The same merges for one long word: a heap of pairs over a linked list."""
-        sym = self.first[np.frombuffer(word, dtype=np.uint8)]
-        rank, at = self._pairs(sym, np.zeros(len(sym), dtype=np.int64))
-        s = sym.tolist()
-        n = len(s)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(int(rank[i]), int(i), s[i], s[i + 1], int(at[i])) for i in np.flatnonzero(rank != _NONE)]
-        heapq.heapify(heap)
-        table = self._table()
-        while heap:
-            _, i, a, b, k = heapq.heappop(heap)
-            j = nxt[i]
-            if s[i] != a or j >= n or s[j] != b:
-                continue
-            s[i], s[j] = int(self.made[k]), -1
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            for x, y in ((prv[i], i), (i, nxt[i])):
-                if x >= 0 and y < n and (k2 := table.get((s[x] << 32) | s[y])) is not None:
-                    heapq.heappush(heap, (int(self.rank[k2]), x, s[x], s[y], k2))
-        return np.array([x for x in s if x >= 0], dtype=np.int32)
-
-    def _table(self) -> dict[int, int]:
-        if not hasattr(self, "_by_key"):
-            self._by_key = {int(k): i for i, k in enumerate(self.keys)}
-        return self._by_key
-
     def _learn(self, words: list[str]) -> None:
         """Adds the ids of new words (distinct) to what is kept."""
         flat, counts = self.merge_words([w.encode("utf-8", "replace") for w in words])
@@ -234,5 +221,3 @@ def token_counts(documents: DataFrame, text_col: str, path: str = DEFAULT_VOCABU
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` bigint"])
     return documents.select(*keep, text_col).mapInArrow(work, schema)
-
-
