@@ -1,6 +1,7 @@
 import collections
 from random import Random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import mix
@@ -18,33 +19,61 @@ def test_plan_shares_caps_and_missing_sources():
 
 
 def fly(units, seed):
-    pool, done, rng = [], [], Random(seed)
-    for u, p in units:
-        mix.fly(pool, u, p, rng, done)
-    assert len(pool) <= 2
-    mix.land(pool, rng, done)
-    return {u[0]: x for u, x in done}
+    """Chances after the whole flight and landing of units (size, chance), and how many were open before the landing."""
+    order = sorted(range(len(units)), key=lambda i: -units[i][0])
+    t, p = np.array([units[i][0] for i in order], dtype=float), np.array([units[i][1] for i in order])
+    rng = np.random.default_rng(seed)
+    mix.fly(t, p, rng)
+    before = ((p > 0) & (p < 1)).sum()
+    mix.land(t, p, rng)
+    return dict(zip(order, p, strict=True)), before
 
 
 def test_cube_keeps_number_tokens_and_chances():
     rng = Random(1)
-    units = [((i, rng.randint(1, 400)), 0.3) for i in range(60)]
-    want_n, want_t = 18, 0.3 * sum(u[1] for u, _ in units)
+    units = [(rng.randint(1, 400), 0.3) for _ in range(200)]
+    want_n, want_t = 60, 0.3 * sum(t for t, _ in units)
     hits = collections.Counter()
     for seed in range(1500):
-        got = fly(units, seed)
-        assert len(got) == 60 and abs(sum(got.values()) - want_n) <= 2
-        assert abs(sum(u[1] for u, _ in units if got[u[0]]) - want_t) <= 800
+        got, before = fly(units, seed)
+        assert before <= 2 and set(got.values()) <= {0.0, 1.0}
+        assert abs(sum(got.values()) - want_n) <= 8  # the last units give up the number for the tokens
+        assert abs(sum(units[i][0] for i, x in got.items() if x) - want_t) <= 30
         hits.update(i for i, x in got.items() if x)
-    assert all(abs(hits[i] / 1500 - 0.3) < 0.07 for i in range(60))
+    assert all(abs(hits[i] / 1500 - 0.3) < 0.07 for i in range(200))
+
+
+def test_very_uneven_sizes_leave_a_small_rest():
+    """Sizes from 1 to 40,000: the tokens that miss are fewer than the median document has."""
+    rng = Random(3)
+    units = [(max(1, int(rng.lognormvariate(5.5, 1.6))), 0.37) for _ in range(5000)]
+    median = sorted(t for t, _ in units)[2500]
+    assert max(t for t, _ in units) > 100 * median
+    want = 0.37 * sum(t for t, _ in units)
+    for seed in range(40):
+        got, _ = fly(units, seed)
+        assert abs(sum(units[i][0] for i, x in got.items() if x) - want) < median
 
 
 def test_equal_sizes_and_few_units():
     for n in range(5):
-        got = [fly([((i, 7), 0.5) for i in range(n)], s) for s in range(50)]
-        assert all(len(g) == n for g in got)
-    same = [fly([((i, 7), 0.25) for i in range(40)], s) for s in range(20)]
-    assert all(sum(g.values()) == 10 for g in same)
+        for s in range(50):
+            got, before = fly([(7, 0.5) for _ in range(n)], s)
+            assert len(got) == n and before <= 2 and set(got.values()) <= {0.0, 1.0}
+    assert all(sum(fly([(7, 0.25) for _ in range(40)], s)[0].values()) == 10 for s in range(20))
+    # One large unit among units of one size: they make up for its tokens.
+    for s in range(20):
+        got, _ = fly([(300, 0.5)] + [(7, 0.5)] * 99, s)
+        assert abs(300 * got[0] + 7 * (sum(got.values()) - got[0]) - 496.5) <= 7
+
+
+def test_groups_fly_at_once_and_keep_both_sums():
+    rng = np.random.default_rng(0)
+    t = np.sort(rng.integers(100, 140, 1000))[::-1].astype(float)
+    p = np.full(1000, 0.4)
+    mix.fly_groups(t, p, rng, 50)
+    assert ((p > 0) & (p < 1)).reshape(20, 50).sum(1).max() <= 2
+    assert np.allclose(p.reshape(20, 50).sum(1), 20) and np.allclose((p * t).reshape(20, 50).sum(1), 0.4 * t.reshape(20, 50).sum(1))
 
 
 def docs(spark, rows):
@@ -71,8 +100,21 @@ def test_mixed_shares_and_repeats(spark):
     s = {r["source"]: r for r in mix.shares(m, plans).collect()}
     assert s["big"]["actual_share"] == pytest.approx(0.75, abs=0.004) and s["small"]["actual_share"] == pytest.approx(0.25, abs=0.004)
     assert s["absent"]["actual_share"] == 0 and s["absent"]["n_docs"] == 0 and s[None]["n_docs"] == 1 and s["untargeted"]["target_share"] == 0
-    again = {r["doc_id"]: r["uses"] for r in mix.mixed(d, plans, "doc_id", seed=3).collect()}
+    # The same uses come out however the rows lie.
+    again = {r["doc_id"]: r["uses"] for r in mix.mixed(d.repartition(3, "tokens").orderBy("tokens"), plans, "doc_id", seed=3).collect()}
     assert again == {k: r["uses"] for k, r in got.items()}
+    other = {r["doc_id"]: r["uses"] for r in mix.mixed(d, plans, "doc_id", seed=4).collect()}
+    assert other != again
+
+
+def test_a_large_source_is_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(mix, "CELL", 500)
+    rng = Random(8)
+    d = docs(spark, [(i, "hot", rng.randint(1, 2000)) for i in range(6000)] + [(10_000 + i, "other", 900) for i in range(3000)])
+    plans = mix.plans_for(d, spark.createDataFrame([("hot", 1.0, 1), ("other", 2.0, 1)], "source string, weight double, max_repeats int"))
+    rows = mix.mixed(d, plans, "doc_id", seed=1).collect()
+    hot = sum(r["tokens"] * r["uses"] for r in rows if r["source"] == "hot")
+    assert abs(hot - plans[0].target) < 50 and len(rows) == 9000
 
 
 def test_empty_tables_and_bad_targets(spark):
@@ -86,6 +128,21 @@ def test_empty_tables_and_bad_targets(spark):
         mix.read_targets(targets.union(targets))
 
 
+def test_every_source_misses_its_tokens_by_less_than_its_median_document(spark):
+    from tidemark.llm import queries
+    from tidemark.sources.tables import read
+
+    sf = "/root/testdata/sf0.1"
+    sized = queries._sized(spark, sf)
+    plans = mix.plans_for(sized, read(spark, sf, "mix_targets"))
+    rows = mix.mixed(sized, plans, "doc_id").toPandas()
+    assert len(rows) == 10_000
+    for p in plans:
+        mine = rows[(rows["source"] == p.source) & (rows["tokens"] > 0)]
+        if p.chance > 0:
+            assert abs((mine["tokens"] * mine["uses"]).sum() - p.target) < mine["tokens"].median()
+
+
 def test_p7_over_the_tables(spark):
     from tidemark.llm.queries import p7_shares
 

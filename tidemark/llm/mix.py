@@ -3,24 +3,36 @@
 Every document of a source is used the same whole number of times and once more with the source's fractional inclusion
 probability. Which documents get that extra use is drawn by the cube method: the vector of probabilities moves through
 the null space of the balancing constraints (number of documents, number of tokens) until only a small landing problem
-is left. A partition streams through the flight with two open documents per source; what stays open of all partitions
-(at most two per source each) is flown once more per source, and the last two are landed.
+is left.
+
+Plan. The documents of a source are spread over cells by a hash of their id, so that a source with a third of all rows is
+many tasks and the draw is the same however the rows lie. In a cell, groups of documents of like size fly at once, as
+columns of a matrix; the two that stay open of each group follow, the largest first, each balanced by many smaller ones, so
+that what stays open at last is small. Two documents of each cell are left; they fly once more together for each source, and the
+landing gives up the number before the tokens (as it does where a document is far larger than the others): a source misses its tokens by less than one of its smallest open documents.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from random import Random
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.segments import whole_keys
 from tidemark.sources.tables import cut
 
 #: Rows that a target table may have at most; it is read to the driver.
 MOST_TARGETS = 10_000
+#: Documents of a cell, of a group that flies as a column, of the smaller ones that balance one at the end, and how many of the
+#: smallest of a cell fly in no group, so that what is open at last is balanced by many of them.
+CELL, GROUP, BALANCE, SMALLEST = 50_000, 64, 2_000, 512
+#: A document of so many times the median's tokens is decided before the flight.
+GIANT = 8.0
 _EPS = 1e-9
 
 
@@ -36,6 +48,7 @@ class Plan:
     target: float
     whole: int
     chance: float
+    docs: int = 0
 
 
 def plan_mix(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: float | None = None) -> list[Plan]:
@@ -61,65 +74,102 @@ def plan_mix(targets: list[tuple[str, float, int]], tokens: dict[str, int], tota
     return plans
 
 
-def fly(pool: list[list], unit: tuple, chance: float, rng: Random, decided: list[tuple]) -> None:
-    """One step of the flight: adds a unit (id, tokens, ...) with its chance to the pool of open units; as soon as three
-    are open, moves their chances along a direction that changes neither their sum nor their tokens until one is 0 or 1.
-    The expected chances do not change. Decided units go to `decided` as (unit, 0 or 1)."""
-    pool.append([unit, chance])
-    while len(pool) > 2:
-        (a, b, c) = pool
-        ta, tb, tc = a[0][1], b[0][1], c[0][1]
-        u = (1.0, -1.0, 0.0) if ta == tb == tc else (float(tb - tc), float(tc - ta), float(ta - tb))
-        m = max(map(abs, u))
-        u = tuple(x / m for x in u)
-        up = min(((1 - p[1]) / x if x > 0 else p[1] / -x) for p, x in zip(pool, u, strict=True) if x)
-        down = min((p[1] / x if x > 0 else (1 - p[1]) / -x) for p, x in zip(pool, u, strict=True) if x)
-        step = up if up + down <= 0 or rng.random() * (up + down) < down else -down
-        keep = []
-        for p, x in zip(pool, u, strict=True):
-            p[1] += step * x
-            if p[1] <= _EPS or p[1] >= 1 - _EPS:
-                decided.append((p[0], int(p[1] > 0.5)))
-            else:
-                keep.append(p)
-        pool[:] = keep
-
-
-def land(pool: list[list], rng: Random, decided: list[tuple]) -> None:
-    """Rounds the last open units (two at most) by one draw that keeps their chances and their number within one."""
-    r = rng.random()
-    if len(pool) == 1:
-        decided.append((pool[0][0], int(r < pool[0][1])))
-    elif pool:
-        (a, pa), (b, pb) = pool
-        if pa + pb <= 1:
-            ia, ib = int(r < pa), int(pa <= r < pa + pb)
-        else:
-            ia, ib = (1, 0) if r < 1 - pb else (0, 1) if r < (1 - pb) + (1 - pa) else (1, 1)
-        decided += [(a, ia), (b, ib)]
-    pool.clear()
+def _steps(p: np.ndarray, u: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Rows of chances moved along rows of directions until one is 0 or 1: up or down, so that the expected chances stay."""
+    with np.errstate(all="ignore"):
+        up = np.where(u > 0, (1 - p) / u, np.where(u < 0, p / -u, np.inf)).min(-1, keepdims=True)
+        down = np.where(u > 0, p / u, np.where(u < 0, (1 - p) / -u, np.inf)).min(-1, keepdims=True)
+    q = p + np.where(draw[..., None] * (up + down) < down, up, -down) * u
+    return np.where(q <= _EPS, 0.0, np.where(q >= 1 - _EPS, 1.0, q))
+
+
+def _open(p: np.ndarray) -> np.ndarray:
+    return (p > 0) & (p < 1)
+
+
+def fly_groups(t: np.ndarray, p: np.ndarray, rng: np.random.Generator, group: int = GROUP) -> None:
+    """One flight for every `group` consecutive units (sizes t, chances p, which are moved in place), all at once: each takes
+    its units in turn and moves three open ones so that neither their number nor their size changes. Two stay open at most."""
+    n = len(t)
+    rows = -(-n // group)
+    slot = np.full((rows, 2), -1)
+    for j in range(group):
+        new = np.arange(rows) * group + j
+        there = new < n
+        full = np.flatnonzero(there & (slot >= 0).all(1))
+        if len(full):
+            three = np.c_[slot[full], new[full]]
+            a, b, c = t[three].T
+            u = np.where(((a == b) & (b == c))[:, None], [1.0, -1.0, 0.0], np.c_[b - c, c - a, a - b])
+            p[three] = _steps(p[three], u / np.abs(u).max(1, keepdims=True), rng.random(len(full)))
+            left = np.sort(np.where(_open(p[three]), three, n), axis=1)[:, :2]
+            slot[full] = np.where(left < n, left, -1)
+        some = there.copy()
+        some[full] = False
+        empty = np.flatnonzero(some)
+        slot[empty, (slot[empty, 0] >= 0).astype(int)] = new[empty]
+
+
+def settle(t: np.ndarray, p: np.ndarray, rng: np.random.Generator, above: float = 0.0, most: int | None = None) -> None:
+    """Decides the open units larger than `above` (sizes t in falling order, chances p in place), the largest first, each
+    balanced by all smaller open ones (the next `most`), which share its change: so that number and size are kept or, where
+    that would move one of them more than the large one itself, the size only. Two units stay open at least."""
+    left = np.flatnonzero(_open(p))
+    while len(left) > 2 and t[left[0]] > above:
+        at = left if most is None else left[: most + 1]
+        s = t[at] / t[at[0]]
+        u = np.r_[1.0, np.full(len(at) - 1, -1.0 / s[1:].sum())]
+        m = np.stack([np.ones(len(at) - 1), s[1:]])
+        g = m @ m.T
+        if g[0, 0] * g[1, 1] - g[0, 1] ** 2 > 1e-9 * g[0, 0] * g[1, 1]:
+            both = -m.T @ np.linalg.solve(g, np.array([1.0, 1.0]))  # the smallest change that keeps both sums
+            u = np.r_[1.0, both] if np.abs(both).max() <= 1 else u
+        elif s[-1] > 1 - 1e-9:  # all of one size
+            u = np.r_[1.0, -1.0, np.zeros(len(at) - 2)]
+        p[at] = _steps(p[at][None], u[None] / np.abs(u).max(), rng.random(1))[0]
+        left = left[_open(p[left])]
+
+
+def land(t: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> None:
+    """Decides the open units that are left, two at most (sizes t in falling order): the number is given up for the size between
+    two, and the one that is left is drawn by its chance."""
+    left = np.flatnonzero(_open(p))
+    if len(left) == 2:
+        u = np.array([t[left[1]], -t[left[0]]]) / t[left].max()
+        p[left] = _steps(p[left][None], u[None], rng.random(1))[0]
+        left = left[_open(p[left])]
+    p[left] = (rng.random(len(left)) < p[left]).astype(float)
+
+
+def fly(t: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> None:
+    """The flight of a cell (sizes t in falling order, chances p in place); two units stay open at most.
+
+    Units far larger than the median are decided first, against all others, whose chances hardly change by it; then groups of
+    like size fly at once, but for the smallest ones; then what is open, the largest first.
+    """
+    if len(t):
+        settle(t, p, rng, above=GIANT * float(np.median(t)))
+        usual = np.flatnonzero(_open(p))
+        usual = usual[: max(0, len(usual) - SMALLEST)]
+        moved = p[usual]
+        fly_groups(t[usual], moved, rng)
+        p[usual] = moved
+        settle(t, p, rng, most=BALANCE)
 
 
 def _flight(seed: int, last: bool):  # noqa: ANN202
-    """Frames of (id, source, tokens, chance) -> the same with the chance moved: 0 or 1, or in between if open."""
+    """Frames of (id, source, cell, tokens, chance) by source and cell, the largest first -> the same with the chance 0, 1 or,
+    if it is open still, in between."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pools: dict[str, list] = {}
-        rngs: dict[str, Random] = {}
-        for f in frames:
-            done: list[tuple] = []
-            for i, s, n, c in zip(f["id"].tolist(), f["source"].tolist(), f["tokens"].tolist(), f["chance"].tolist(), strict=True):
-                if s not in pools:
-                    pools[s], rngs[s] = [], Random(f"{seed}/{s}/{i}")
-                fly(pools[s], (i, n, s), c, rngs[s], done)
-            yield pd.DataFrame([(u[0], u[2], u[1], float(x)) for u, x in done], columns=["id", "source", "tokens", "chance"])
-        rest: list[tuple] = []
-        for s, pool in pools.items():
-            if last:
-                land(pool, rngs[s], rest)
-            else:
-                rest += [(u, p) for u, p in pool]
-        yield pd.DataFrame([(u[0], u[2], u[1], float(x)) for u, x in rest], columns=["id", "source", "tokens", "chance"])
+        for frame in whole_keys(frames, ["source", "cell"], rows=CELL):
+            for (source, cell), f in frame.groupby(["source", "cell"], sort=False):
+                rng = np.random.default_rng([seed, zlib.crc32(source.encode()), int(cell) + 1])
+                t, p = f["tokens"].to_numpy(float), f["chance"].to_numpy(float).copy()
+                fly(t, p, rng)
+                if last:
+                    land(t, p, rng)
+                yield f.assign(chance=p)
 
     return work
 
@@ -138,34 +188,35 @@ def plans_for(sized: DataFrame, targets: DataFrame, total: float | None = None)
     """The plan of each target; only the totals of the sources with a target reach the driver."""
     want = read_targets(targets)
     names = [s for s, _, _ in want]
-    sums = sized.where(F.col("source").isin(names)).groupBy("source").agg(F.sum("tokens").alias("n")).collect()
-    return plan_mix(want, {r["source"]: int(r["n"] or 0) for r in sums}, total)
+    sums = sized.where(F.col("source").isin(names) & (F.col("tokens") > 0)).groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect()
+    plans = plan_mix(want, {r["source"]: int(r["n"] or 0) for r in sums}, total)
+    docs = {r["source"]: r["docs"] for r in sums}
+    return [replace(p, docs=docs.get(p.source, 0)) for p in plans]
 
 
 def mixed(sized: DataFrame, plans: list[Plan], id_col: str, seed: int = 0) -> DataFrame:
-    """(id, source, tokens, uses): how often each document is used; one row per document of `sized`.
+    """(id, source, tokens, uses): how often each document is used; one row per document of `sized` (id, source, tokens).
 
-    `sized` has the id, source and tokens, and must come from storage (a checkpoint), as the draw depends on the order
-    of its rows. Documents without source, of a source without target, and of no tokens have 0 uses. No document is used
-    more than its source's max_repeats. The tokens and documents of a source miss their targets by about one document.
+    Documents without source, of a source without target, and of no tokens have 0 uses. No document is used more than its
+    source's max_repeats. The draw depends on ids, sizes and seed only, not on how the rows lie or are split. The tokens of a
+    source miss their target by less than one of its smaller documents; rows that share an id are drawn one by one, and
+    which of them is used is not defined.
     """
-    whole = {p.source: p.whole for p in plans if p.whole}
-    chances = {p.source: p.chance for p in plans if p.chance > 0}
-    of = lambda d, kind: F.element_at(F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))]), F.col("source")) if d else F.lit(None).cast(kind)
+    of = lambda d, kind: F.try_element_at(F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))]), F.col("source")) if d else F.lit(None).cast(kind)
     usable = F.col("source").isNotNull() & (F.col("tokens") > 0)
-    base = F.when(usable, F.coalesce(of(whole, "int"), F.lit(0))).otherwise(0)
+    base = F.coalesce(F.when(usable, of({p.source: p.whole for p in plans if p.whole}, "int")), F.lit(0)).cast("int")
+    chance = F.when(usable, of({p.source: p.chance for p in plans if p.chance > 0}, "double"))
+    cells = F.coalesce(of({p.source: -(-p.docs // CELL) for p in plans if p.docs > CELL}, "int"), F.lit(1))
     kind = sized.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, source string, tokens bigint, chance double"
-    tried = sized.where(usable).select(F.col(id_col).alias("id"), "source", F.col("tokens").cast("bigint").alias("tokens"), of(chances, "double").alias("chance"))
-    # Large documents fly first, so the ones left open, whose rounding is the error of the mix, are small.
-    large_first = lambda d: d.sortWithinPartitions("source", F.desc("tokens"), "id")
-    flown = cut(large_first(tried.where("chance is not null")).mapInPandas(_flight(seed, last=False), schema))
-    # Two per source and partition stay open; their order is fixed, so the second flight is the same however it is run.
-    still = flown.where("chance > 0 and chance < 1").repartition("source")
-    landed = large_first(still).mapInPandas(_flight(seed + 1, last=True), schema)
-    extra = flown.where("chance >= 1").unionByName(landed.where("chance >= 1")).select(F.col("id").alias("__id"), F.lit(1).alias("__one"))
-    out = sized.select(id_col, "source", "tokens", base.alias("base")).join(extra, F.col(id_col) == F.col("__id"), "left")
-    return out.select(id_col, "source", "tokens", (F.col("base") + F.coalesce("__one", F.lit(0))).cast("int").alias("uses"))
+    rows = sized.select(F.col(id_col).alias("id"), "source", F.pmod(F.xxhash64(id_col), cells).cast("bigint").alias("cell"), F.col("tokens").cast("bigint").alias("tokens"), chance.alias("chance"), base.alias("base"))
+    schema = f"id {kind}, source string, cell bigint, tokens bigint, chance double, base int"
+    ordered = lambda d, *by: d.repartition(*by).sortWithinPartitions("source", "cell", F.desc("tokens"), "id")
+    flown = cut(ordered(rows.where("chance is not null"), "source", "cell").mapInPandas(_flight(seed, last=False), schema))
+    still = "chance > 0 and chance < 1"
+    landed = ordered(flown.where(still).withColumn("cell", F.lit(-1).cast("bigint")), "source").mapInPandas(_flight(seed, last=True), schema)
+    drawn = flown.where(f"not ({still})").unionByName(landed)
+    uses = (F.col("base") + F.coalesce("chance", F.lit(0.0)).cast("int")).alias("uses")
+    return rows.where("chance is null").unionByName(drawn).select(F.col("id").alias(id_col), "source", "tokens", uses)
 
 
 def shares(mix: DataFrame, plans: list[Plan]) -> DataFrame:
