@@ -68,6 +68,35 @@ def test_against_brute_force_with_a_hot_entity(spark):
     assert match(spark, ask, cand, 3) == sorted(want)
 
 
+def test_a_crowded_block_is_split_over_tasks(spark):
+    """A million instants of one entity within one block (two days), most of them in its first hour."""
+    from tidemark.llm import nearest_time as nt
+
+    base, day = 1_592_000_000_000_000 >> 40 << 40, 86_400_000_000
+    us = f"{base} + case when id < 900000 then id * 4000 else 3600000000 + (id - 900000) * 1692000 end"
+    cand = spark.range(1_000_000).selectExpr("id cid", "'hot' k", f"timestampadd(microsecond, {us}, timestamp_ntz'1970-01-01') t")
+    ask = spark.range(500).selectExpr("id row", "'hot' k", f"timestampadd(microsecond, {base} - 1000000 + id * {2 * day // 499}, timestamp_ntz'1970-01-01') at")
+    c = cand.selectExpr("k key", f"shiftright({us.replace('id', 'cid')}, 40) block", f"{us.replace('id', 'cid')} t")
+    (hot,) = nt._crowded(c, 100_000).collect()
+    assert 9 <= len(hot["bounds"]) <= 20 and hot["bounds"] == sorted(set(hot["bounds"]))
+    got = {r["row"]: r["cid"] for r in nearest_in_time(ask, cand, key="k", asked_time="at", time="t", candidate_id="cid", tolerance_days=10, span_rows=100_000).collect()}
+    times = np.r_[np.arange(900_000) * 4000, 3_600_000_000 + np.arange(100_000) * 1_692_000]
+    for row in range(500):
+        d = np.abs(times - (row * (2 * day // 499) - 1_000_000))
+        assert got[row] == int(np.argmin(d))
+
+
+def test_cut_blocks_give_the_same_as_whole_ones(spark):
+    rng = random.Random(12)
+    base = T(2020, 1, 1)
+    when = lambda days: base + dt.timedelta(microseconds=rng.randrange(days * 86_400_000_000))
+    cand = [(i, rng.choice("hhhhx"), when(30) if i % 2 else base + dt.timedelta(microseconds=rng.randrange(10**7))) for i in range(1500)]
+    ask = [(i, rng.choice("hxq"), when(40), None) for i in range(200)]
+    q, c = spark.createDataFrame(ask, Q), spark.createDataFrame(cand, C)
+    run = lambda n: sorted((r["row"], r["cid"]) for r in nearest_in_time(q, c, key="k", asked_time="at", time="t", candidate_id="cid", tolerance_days=4, span_rows=n).collect())
+    assert run(20) == run(10**6)
+
+
 def test_p1_against_sql(spark):
     from tests.oracle import connect, difference
     from tidemark.llm.queries import ORACLE, QUERIES

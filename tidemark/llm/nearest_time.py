@@ -1,10 +1,11 @@
 """Pairing records with the record nearest in time of the same entity, by x-fast tries over timestamp bits.
 
-Plan. An entity's time line is cut into blocks of 2**bits microseconds, at least as wide as the tolerance, so an entity
-that holds a third of all rows is many tasks; a question is sent to the at most three blocks its tolerance reaches.
-Candidates are reduced to one per entity and time before they are shuffled by block, and those in no block that any
-question reaches are dropped at the scan. A partition is read in frames of whole blocks; a frame gets one hash table
-per prefix length, with the keys (block number, prefix) and the smallest and largest leaf below. A question finds its
+Plan. An entity's time line is cut into blocks of 2**bits microseconds, at least as wide as the tolerance; a question is
+sent to the at most three blocks its tolerance reaches. A block of more than SPAN_ROWS instants is cut into parts of about that
+many at quantiles of its instants, so that what a task holds is bounded however an entity's instants lie; a question goes
+to its part and the next one. Candidates are reduced to one per entity and time before they are shuffled, and those that no
+question can reach are dropped at the scan. A partition is read in frames of whole parts; a frame gets one hash table
+per prefix length, with the keys (part, prefix) and the smallest and largest leaf below. A question finds its
 longest present prefix by binary search over the lengths: log2(bits) probes, all questions of a frame at once.
 """
 
@@ -19,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import MICROS_PER_DAY, micros
+from tidemark.operators.lastknown import MOST_HOT, SPAN_ROWS
 from tidemark.operators.segments import starts, whole_keys
 
 #: Bits of the days used to drop candidates at the scan: 2**37 us is 1.6 days. The years 1 to 9999 have 2.3 million of
 #: them at most, 19 MB, which bounds what is broadcast whatever the tables hold; a century has 23,000.
 _SIEVE_BITS = 37
 _EMPTY = np.int64(-1)
+#: Parts that a block can have at most: the quantiles that are taken of it.
+MOST_PARTS = 1024
+PART = ["key", "block", "part"]
 
 
 class HashTable:
@@ -111,7 +116,7 @@ class XFastTrie:
 
 def _match(frame: pd.DataFrame, bits: int, tolerance: int) -> pd.DataFrame:
     """Per asked (key, t) the nearest candidate of the frame's blocks within the tolerance."""
-    gid = np.cumsum(starts(frame, ["key", "block"])) - 1
+    gid = np.cumsum(starts(frame, PART)) - 1
     t, ask = frame["t"].to_numpy(np.int64), frame["ask"].to_numpy(bool)
     at = frame["at"].to_numpy(np.int64)
     offset = t - (frame["block"].to_numpy(np.int64) << bits)
@@ -131,9 +136,25 @@ def _match(frame: pd.DataFrame, bits: int, tolerance: int) -> pd.DataFrame:
     return pd.DataFrame({"key": key, "at": asked[ok], "gap": d[ok], "t": tc[leaf[ok]], "id": ids[leaf[ok]]})
 
 
+def _crowded(candidates: DataFrame, span_rows: int) -> DataFrame:
+    """(key, block, bounds) of the blocks that are cut: sorted instants, each the first of a part.
+
+    Fewer than MOST_HOT blocks can hold more than 1 / MOST_HOT of all candidates, and their parts are no more than
+    all candidates over `span_rows`, or 1 / MOST_HOT of them: that bounds what is broadcast.
+    """
+    n = F.count("*").alias("n")
+    all_rows = candidates.agg(n).scalar()
+    hot = candidates.groupBy("key", "block").agg(n).where((F.col("n") > span_rows) & (F.col("n") * MOST_HOT > all_rows))
+    hot = hot.select(F.col("key").alias("hk"), F.col("block").alias("hb"), F.greatest(F.lit(1), F.floor(F.lit(MOST_PARTS) * F.greatest(F.lit(span_rows), all_rows / MOST_HOT) / F.col("n"))).alias("step"))
+    c = candidates.join(F.broadcast(hot), (F.col("key") == F.col("hk")) & (F.col("block") == F.col("hb")))
+    cuts = F.percentile_approx("t", [i / MOST_PARTS for i in range(1, MOST_PARTS)], 10 * MOST_PARTS)
+    c = c.groupBy("hk", "hb").agg(cuts.alias("q"), F.max("step").alias("step"))
+    return c.select("hk", "hb", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % F.col("step") == 0)).alias("bounds"))
+
+
 def nearest_in_time(
     asked: DataFrame, candidates: DataFrame, *, key: str, asked_time: str, time: str, candidate_id: str,
-    tolerance_days: float, candidate_key: str | None = None,
+    tolerance_days: float, candidate_key: str | None = None, span_rows: int = SPAN_ROWS,
 ) -> DataFrame:
     """`asked` with <candidate_id> of the candidate of the same key that is nearest in time, before or after it.
 
@@ -152,15 +173,20 @@ def nearest_in_time(
     c = candidates.select(F.col(candidate_key or key).alias("key"), micros(time).alias("t"), F.col(candidate_id).cast("bigint").alias("id"))
     c = c.where("key is not null and t is not null and id is not null").withColumn("sieve", F.shiftright("t", _SIEVE_BITS))
     c = c.join(F.broadcast(near), "sieve", "left_semi").groupBy("key", "t").agg(F.min("id").alias("id"))
-    rows = c.select("key", F.shiftright("t", bits).alias("block"), "t", F.lit(False).alias("ask"), "id", F.col("t").alias("at"))
-    rows = rows.unionByName(
-        ask.select("key", F.explode(reach(bits)).alias("block"), F.col("at").alias("t"), "ask", F.lit(0).cast("bigint").alias("id"), "at")
-    )
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "ask", "t")
+    c = c.select("key", F.shiftright("t", bits).alias("block"), "t", F.lit(False).alias("ask"), "id", F.col("t").alias("at"))
+    crowded = F.broadcast(_crowded(c, span_rows))
+    placed = lambda d: d.join(crowded, (F.col("key") == F.col("hk")) & (F.col("block") == F.col("hb")), "left").drop("hk", "hb")
+    # The part of an instant is the number of bounds up to it. A bound is an instant itself, so each part but the first has one
+    # and a question finds what comes before it in its own part, what comes after it there or in the next.
+    part = F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col("t"))), F.lit(0))
+    here = placed(c).withColumn("part", part).drop("bounds")
+    there = placed(ask.select("key", F.explode(reach(bits)).alias("block"), F.col("at").alias("t"), "ask", F.lit(0).cast("bigint").alias("id"), "at"))
+    there = there.withColumn("part", F.explode(F.array_distinct(F.array(part, F.least(part + 1, F.coalesce(F.size("bounds"), F.lit(0))))))).drop("bounds")
+    rows = here.unionByName(there).repartition(*PART).sortWithinPartitions(*PART, "ask", "t")
     kind = c.schema["key"].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_keys(batches, ["key", "block"], rows=200_000):
+        for frame in whole_keys(batches, PART, rows=200_000):
             yield _match(frame, bits, tolerance)
 
     found = rows.mapInPandas(work, f"key {kind}, at bigint, gap bigint, t bigint, id bigint")
