@@ -62,5 +62,19 @@ def test_more_letters_of_the_same_shape(a, b):
     assert S(a) == S(b) and S(S(a)) == S(a)
 
 
+@pytest.mark.parametrize(("a", "b"), [("ᎪᏢᎬ", "APE"), ("ꓮꓑꓰ", "APE"), ("ⲢⲞⲚ", "PON"), ("Ꭲꓳⲣ", "TOp"), ("Ⲅ", "Γ")])
+def test_letters_of_more_scripts(a, b):
+    assert S(a) == S(b) and S(S(a)) == S(a)
+
+
+def test_pairs_of_a_page_with_many_copies(spark):
+    """3,000 copies in one form against two others: the work is that of the output, in parts."""
+    rows = [(i, "pay me") for i in range(3000)] + [(5000, "pаy me"), (5001, "pаy me"), (5002, "pаy mе"), (1500, "other")]
+    found = sk.looks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    whole = {tuple(r) for r in sk.look_alike_pairs(found, "doc_id").collect()}
+    parts = [tuple(r) for r in sk.look_alike_pairs(found, "doc_id", split=100).collect()]
+    assert len(parts) == len(set(parts)) == 3 * 3000 + 2 and set(parts) == whole
+
+
 def test_other_forms_stay_apart():
     assert len({S(x) for x in ("-", "\u2013", "\u2212", "\ufe8f", "\u0628", "\u0475\u030f", "v")}) == 7

@@ -17,16 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts with the shape of the letter before them.
+# Letters of other scripts (Cyrillic, Greek, Armenian, Coptic, Cherokee, Lisu) with the shape of the letter
+# before them, in the usual fonts of these scripts.
 LOOK_ALIKES = {
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і",
-    "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "р", "q": "ԛ", "s": "ѕ",
+    "a": "а", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і",
+    "j": "јϳ", "l": "ӏ", "o": "оοօⲟ", "p": "рⲣ", "q": "ԛ", "s": "ѕ",
     "n": "ո", "v": "νѵ", "u": "ս", "w": "ԝ", "x": "х", "y": "у",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ",
-    "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ",
-    "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ",
-    "W": "Ԝ", "X": "ХΧ", "Y": "УҮΥ", "Z": "Ζ",
-    "Γ": "Г", "Π": "П", "Φ": "Ф", "μ": "µ",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "ꓝ", "G": "ԌᏀꓖ",
+    "H": "НΗᎻꓧⲎ", "I": "ІΙӀꓲⲒ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗⲔ", "L": "Ꮮꓡ", "M": "МΜᎷꓟⲘ",
+    "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅᏚꓢ", "T": "ТΤᎢꓔⲦ",
+    "U": "ꓴ", "V": "Ꮩꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫⲬ", "Y": "УҮΥꓬ", "Z": "ΖᏃꓜ",
+    "Γ": "ГⲄᎱ", "Π": "ПⲠ", "Φ": "ФⲪ", "μ": "µ",
     "-": "‐‑",
 }
 #: Ranges whose compatibility decomposition has the same look: Latin digraphs, Roman numerals, ligatures, radicals. Wide and narrow
@@ -35,6 +36,8 @@ SAME_LOOK = [(0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (
 #: Characters without any look, by ranges: controls, soft hyphen, joiners, fillers, marks of direction, selectors, tags.
 #: C1 controls are left: in texts decoded by a false charset they stand for parts of letters.
 INVISIBLE = [(0, 8), (0x0E, 0x1F), (0x7F, 0x7F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200C), (0x200E, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
+#: Documents of one form that meet those of another in one task.
+SPLIT = 20_000
 _ODD_ASCII = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 _LINE = re.compile("\r\n|[\r\x0b\x0c\u2028\u2029]")
 _PICTURE = "\u2190-\u2bff\U0001f000-\U0001faff"
@@ -126,28 +129,34 @@ def looks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, look binary, form binary")
 
 
-def _in_several_forms(found: DataFrame) -> DataFrame:
-    """The looks that occur in more than one form; the aggregate combines before it shuffles."""
-    ends = found.groupBy("look").agg(F.min("form").alias("a"), F.max("form").alias("b"))
-    return ends.where("a <> b").select("look")
+def _several(found: DataFrame) -> DataFrame:
+    """(look, form, n, least): the forms of looks that occur in more than one, with their documents counted and their smallest
+    id. Aggregates combine before they shuffle, so a page with very many copies is one row of each task."""
+    forms = found.groupBy("look", "form").agg(F.count("*").alias("n"), F.min(found.columns[0]).alias("least"))
+    ends = forms.groupBy("look").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("look")
+    return forms.join(ends, "look", "left_semi")
 
 
 def look_alike_classes(found: DataFrame, id_col: str) -> DataFrame:
     """(id, class_id, class_size, n_forms): one row per document whose look occurs in other characters as well;
     class_id is the smallest id of the class. `found` is a table of `looks`."""
-    several = found.join(_in_several_forms(found), "look", "left_semi")
-    forms = several.groupBy("look", "form").agg(F.count("*").alias("n"), F.min(id_col).alias("least"))
+    forms = _several(found.select(id_col, "look", "form"))
     whole = forms.groupBy("look").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_forms"))
-    return several.join(whole, "look").select(id_col, "class_id", "class_size", "n_forms")
+    return found.join(whole, "look").select(id_col, "class_id", "class_size", "n_forms")
 
 
-def look_alike_pairs(found: DataFrame, id_col: str, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
+def look_alike_pairs(found: DataFrame, id_col: str, a: str = "doc_a", b: str = "doc_b", split: int = SPLIT) -> DataFrame:
     """Pairs a < b of documents of the same look that are not the same string. `found` is a table of `looks`.
 
-    The join is on the look; classes in one form only are left out before it. Its output is what is asked for: copies
-    of one form make no pair with one another, but each with every copy of another form.
+    Pairs are made of forms first, of which every one has a pair of documents to give, and then of the documents of the two
+    forms: the work is that of the output, and the copies of one form are never set against one another. The documents of a
+    form with many of them are split by a hash of their id into parts of about `split`, which meet in tasks of their own.
     """
-    several = found.join(_in_several_forms(found), "look", "left_semi")
-    x = several.select("look", F.col("form").alias("fa"), F.col(id_col).alias(a))
-    y = several.select("look", F.col("form").alias("fb"), F.col(id_col).alias(b))
-    return x.join(y, "look").where(F.col(a) < F.col(b)).where("fa <> fb").select(a, b)
+    forms = _several(found.select(id_col, "look", "form")).select("look", "form", F.ceil(F.col("n") / split).cast("int").alias("parts"))
+    docs = found.select(F.col(id_col).alias("id"), "form").join(forms.select("form", "parts"), "form")
+    docs = docs.select("form", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
+    side = lambda x: forms.select("look", F.col("form").alias(f"f{x}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"p{x}"))
+    pairs = side("a").join(side("b"), "look").where("fa < fb").drop("look")
+    for x in "ab":
+        pairs = pairs.join(docs.withColumnsRenamed({"form": f"f{x}", "part": f"p{x}", "id": f"d{x}"}), [f"f{x}", f"p{x}"])
+    return pairs.select(F.least("da", "db").alias(a), F.greatest("da", "db").alias(b)).where(F.col(a) < F.col(b))
