@@ -142,9 +142,9 @@ def _crowded(candidates: DataFrame, span_rows: int) -> DataFrame:
     Fewer than MOST_HOT blocks can hold more than 1 / MOST_HOT of all candidates, and their parts are no more than
     all candidates over `span_rows`, or 1 / MOST_HOT of them: that bounds what is broadcast.
     """
-    n = F.count("*").alias("n")
-    all_rows = candidates.agg(n).scalar()
-    hot = candidates.groupBy("key", "block").agg(n).where((F.col("n") > span_rows) & (F.col("n") * MOST_HOT > all_rows))
+    counts = candidates.groupBy("key", "block").agg(F.count("*").alias("n"))
+    all_rows = counts.agg(F.sum("n").alias("n")).scalar()
+    hot = counts.where((F.col("n") > span_rows) & (F.col("n") * MOST_HOT > all_rows))
     hot = hot.select(F.col("key").alias("hk"), F.col("block").alias("hb"), F.greatest(F.lit(1), F.floor(F.lit(MOST_PARTS) * F.greatest(F.lit(span_rows), all_rows / MOST_HOT) / F.col("n"))).alias("step"))
     c = candidates.join(F.broadcast(hot), (F.col("key") == F.col("hk")) & (F.col("block") == F.col("hb")))
     cuts = F.percentile_approx("t", [i / MOST_PARTS for i in range(1, MOST_PARTS)], 10 * MOST_PARTS)
@@ -172,9 +172,11 @@ def nearest_in_time(
     near = e.select(F.col("__at").alias("at")).distinct().select(F.explode(reach(_SIEVE_BITS)).alias("sieve")).distinct()
     c = candidates.select(F.col(candidate_key or key).alias("key"), micros(time).alias("t"), F.col(candidate_id).cast("bigint").alias("id"))
     c = c.where("key is not null and t is not null and id is not null").withColumn("sieve", F.shiftright("t", _SIEVE_BITS))
-    c = c.join(F.broadcast(near), "sieve", "left_semi").groupBy("key", "t").agg(F.min("id").alias("id"))
+    c = c.join(F.broadcast(near), "sieve", "left_semi")
+    # Counted before copies are merged: that needs no shuffle of candidates, and copies only make a part smaller.
+    crowded = F.broadcast(_crowded(c.select("key", F.shiftright("t", bits).alias("block"), "t"), span_rows))
+    c = c.groupBy("key", "t").agg(F.min("id").alias("id"))
     c = c.select("key", F.shiftright("t", bits).alias("block"), "t", F.lit(False).alias("ask"), "id", F.col("t").alias("at"))
-    crowded = F.broadcast(_crowded(c, span_rows))
     placed = lambda d: d.join(crowded, (F.col("key") == F.col("hk")) & (F.col("block") == F.col("hb")), "left").drop("hk", "hb")
     # The part of an instant is the number of bounds up to it. A bound is an instant itself, so each part but the first has one
     # and a question finds what comes before it in its own part, what comes after it there or in the next.
