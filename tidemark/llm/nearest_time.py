@@ -139,13 +139,11 @@ def _match(frame: pd.DataFrame, bits: int, tolerance: int) -> pd.DataFrame:
 def _crowded(candidates: DataFrame, span_rows: int) -> DataFrame:
     """(key, block, bounds) of the blocks that are cut: sorted instants, each the first of a part.
 
-    Fewer than MOST_HOT blocks can hold more than 1 / MOST_HOT of all candidates, and their parts are no more than
-    all candidates over `span_rows`, or 1 / MOST_HOT of them: that bounds what is broadcast.
+    Those are the MOST_HOT largest of the blocks with more than `span_rows` candidates, in MOST_PARTS parts at most, which bounds
+    what is broadcast; a block beyond them has less than 1 / MOST_HOT of all candidates and stays whole.
     """
-    counts = candidates.groupBy("key", "block").agg(F.count("*").alias("n"))
-    all_rows = counts.agg(F.sum("n").alias("n")).scalar()
-    hot = counts.where((F.col("n") > span_rows) & (F.col("n") * MOST_HOT > all_rows))
-    hot = hot.select(F.col("key").alias("hk"), F.col("block").alias("hb"), F.greatest(F.lit(1), F.floor(F.lit(MOST_PARTS) * F.greatest(F.lit(span_rows), all_rows / MOST_HOT) / F.col("n"))).alias("step"))
+    hot = candidates.groupBy("key", "block").agg(F.count("*").alias("n")).where(F.col("n") > span_rows).orderBy(F.desc("n"), "key", "block").limit(MOST_HOT)
+    hot = hot.select(F.col("key").alias("hk"), F.col("block").alias("hb"), F.greatest(F.lit(1), F.floor(F.lit(MOST_PARTS * span_rows) / F.col("n"))).alias("step"))
     c = candidates.join(F.broadcast(hot), (F.col("key") == F.col("hk")) & (F.col("block") == F.col("hb")))
     cuts = F.percentile_approx("t", [i / MOST_PARTS for i in range(1, MOST_PARTS)], 10 * MOST_PARTS)
     c = c.groupBy("hk", "hb").agg(cuts.alias("q"), F.max("step").alias("step"))
