@@ -81,6 +81,6 @@ def test_only_the_bounded_table_of_cut_keys_is_broadcast_by_hint(spark):
     out = attributes_as_of(e, df, event_key="ticker", event_time="at", row_key="ticker", known_at="known", latest_by=["period"], tie="id", attributes=["a"])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan
-    # The one hint (on both sides of a union) is on the table of cut keys, of which there are fewer than MOST_HOT.
+    # The one hint (on both sides of a union) is on the table of cut keys, of which there are no more than MOST_HOT.
     assert plan.count("strategy=broadcast") <= 2
     assert out.select(F.max("a")).first()[0] == 1.0

@@ -211,7 +211,7 @@ def test_universe_defaults_and_empty_inputs(spark):
     prices, funds, ends, uni = world(spark)
     one = panel.raw_panel(prices, funds, ends, uni, D(2022, 1, 1), D(2022, 10, 1))
     row = one.where("ticker = 'T7'").first()
-    assert (row["sector"], row["size_group"], row["industry"], row["fiscal_year_end_assumed"]) == ("Unknown", "large", "Unknown other", True)
+    assert (row["sector"], row["size_group"], row["industry"], row["fiscal_year_end_assumed"]) == ("Unknown", "large", "Unknown 기타", True)
     none = panel.raw_panel(prices.limit(0), funds, ends, uni, D(2022, 1, 1), D(2022, 10, 1))
     assert none.count() == 0 and none.columns == one.columns
     bare = panel.raw_panel(prices, funds.limit(0), ends.limit(0), uni.limit(0), D(2022, 1, 1), D(2022, 10, 1))

@@ -5,8 +5,8 @@ attribute's history. Rows and questions of a key meet in one exchange, where run
 the questions, and the answers join the events: three exchanges in all. Everything stays in the JVM; no range join is made.
 
 Keys with very many rows are cut into spans of time, which are tasks of their own; a second running maximum over one row
-per span carries what earlier spans knew. Such keys are found by counting. Fewer than MOST_HOT keys can have more than
-1 / MOST_HOT of all rows, which bounds the table of them, so that it may be broadcast.
+per span carries what earlier spans knew. Such keys are found by counting; their table has MOST_HOT rows at most, so that it
+may be broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from tidemark.functions.columns import MICROS_PER_DAY, micros
 
 #: Name of the attribute that every row has; its source id says which row was the last known.
 ROW = "row"
-#: A key is cut from this many rows on, or from 1 / MOST_HOT of all rows if that is more.
+#: A key is cut from this many rows on, and how many keys (the largest) are cut.
 SPAN_ROWS, MOST_HOT = 1_000_000, 100_000
 
 
@@ -44,11 +44,10 @@ def change_history(rows: DataFrame, key: str, known_at: str, latest_by: Sequence
 
 
 def _spans(history: DataFrame, span_rows: int) -> DataFrame:
-    """(h, first, width, spans) of the keys that are cut into spans of time."""
-    n = F.count("*")
-    all_rows = history.agg(n.alias("n")).scalar()
-    hot = history.groupBy(F.col("key").alias("h")).agg(n.alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
-    hot = hot.where((F.col("n") > span_rows) & (F.col("n") * MOST_HOT > all_rows))
+    """(h, first, width, spans) of the keys that are cut into spans of time: the MOST_HOT largest of those with more than
+    `span_rows` rows. A key beyond them has less than 1 / MOST_HOT of all rows and stays whole."""
+    hot = history.groupBy(F.col("key").alias("h")).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    hot = hot.where(F.col("n") > span_rows).orderBy(F.desc("n"), "h").limit(MOST_HOT)
     spans = F.ceil(F.col("n") / F.lit(span_rows)).cast("bigint")
     return hot.select("h", "first", (F.floor((F.col("last") - F.col("first")) / spans) + 1).cast("bigint").alias("width"), spans.alias("spans"))
 

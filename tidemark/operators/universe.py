@@ -35,11 +35,11 @@ def merged(core: DataFrame, members: list[DataFrame], overrides: dict[str, str]
 
 
 def industry_groups(universe: DataFrame, sub: str = "sub_industry", least: int = MIN_INDUSTRY) -> DataFrame:
-    """`universe` with industry: the sub-industry if `least` members share it, else '<sector> other' (a missing sector
+    """`universe` with industry: the sub-industry if `least` members share it, else '<sector> 기타' (a missing sector
     counts as Unknown). Counts are aggregated and joined back, so a common sub-industry is no single task."""
     n = universe.where(F.col(sub).isNotNull()).groupBy(F.col(sub).alias("__s")).agg(F.count("*").alias("__n"))
     u = universe.join(n, F.col(sub) == F.col("__s"), "left")
-    other = F.concat(F.coalesce("sector", F.lit("Unknown")), F.lit(" other"))
+    other = F.concat(F.coalesce("sector", F.lit("Unknown")), F.lit(" 기타"))
     return u.withColumn("industry", F.when(F.col("__n") >= least, F.col(sub)).otherwise(other)).drop("__s", "__n")
 
 

@@ -14,27 +14,45 @@ def _ranked(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     return df.withColumns({f"__r_{c}": percent_rank_average(F.col(c), keys) for c in columns})
 
 
-def cross_sections(fits: DataFrame) -> DataFrame:
-    """(as_of, target, n, r2, mae, spearman): per cross-section; r2 is NULL where y does not vary."""
+def cross_sections(fits: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """(as_of, target, n, r2, mae, spearman): per cross-section; r2 is NULL where y does not vary.
+
+    With `baseline`, fits of the same rows by the sector median, its r2 and mae stand beside as r2_baseline, mae_baseline.
+    """
     d = _ranked(fits, KEYS, "y", "pred")
     sse, e = F.sum(F.pow(F.col("y") - F.col("pred"), 2)), F.abs(F.col("y") - F.col("pred"))
     sst = F.var_pop("y") * F.count("y")
-    return d.groupBy(*KEYS).agg(
+    out = d.groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.when(sst > 0, 1 - sse / sst).alias("r2"), F.avg(e).alias("mae"), F.corr("__r_y", "__r_pred").alias("spearman")
     )
+    if baseline is not None:
+        out = out.join(cross_sections(baseline).select(*KEYS, F.col("r2").alias("r2_baseline"), F.col("mae").alias("mae_baseline")), KEYS, "left")
+    return out
 
 
 def summary(sections: DataFrame) -> DataFrame:
     """Means of the measures per (target, split) and the number of dates."""
     s = sections.withColumn("split", split_of(F.col("as_of")))
-    return s.groupBy("target", "split").agg(*[F.avg(c).alias(c) for c in ("r2", "mae", "spearman")], F.count("*").alias("n_dates"))
+    measures = [c for c in ("r2", "r2_baseline", "mae", "mae_baseline", "spearman") if c in sections.columns]
+    return s.groupBy("target", "split").agg(*[F.avg(c).alias(c) for c in measures], F.count("*").alias("n_dates"))
 
 
-def error_spread(fits: DataFrame) -> DataFrame:
-    """Per (target, split) median and 90% quantile of exp(|gap|) - 1 over all rows."""
+def error_spread(fits: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """Per (target, split) median and 90% quantile of exp(|gap|) - 1 over all rows (percentile_approx: bounded state; exact for
+    groups below its accuracy); with `sections` the median and quartiles of r2 over dates as well."""
     s = fits.withColumns({"split": split_of(F.col("as_of")), "e": F.expm1(F.abs(F.col("gap")))})
-    q = lambda p: F.percentile("e", F.lit(p))
-    return s.groupBy("target", "split").agg(q(0.5).alias("error_median"), q(0.9).alias("error_p90"), F.count("*").alias("n"))
+    q = lambda p: F.percentile_approx("e", p, 10_000)
+    out = s.groupBy("target", "split").agg(q(0.5).alias("error_median"), q(0.9).alias("error_p90"), F.count("*").alias("n"))
+    if sections is not None:
+        r2 = sections.withColumn("split", split_of(F.col("as_of"))).groupBy("target", "split").agg(*[F.percentile("r2", F.lit(p)).alias(n) for n, p in (("r2_median", 0.5), ("r2_q25", 0.25), ("r2_q75", 0.75))])
+        out = out.join(r2, ["target", "split"], "left")
+    return out
+
+
+def agreement(seen: DataFrame) -> DataFrame:
+    """(n, mean_agreement, all_agree): over rows with a verdict of more than one view."""
+    rows = seen.where("valuation_gap is not null and n_gaps > 1")
+    return rows.agg(F.count("*").alias("n"), F.avg("gap_agreement").alias("mean_agreement"), F.avg((F.col("gap_agreement") == 1).cast("double")).alias("all_agree"))
 
 
 def coefficient_summary(coefs: DataFrame) -> DataFrame:
@@ -91,14 +109,28 @@ def top_overlap(gaps: DataFrame, a: str, b: str, tail: str = "cheap") -> DataFra
     return per.agg(F.avg(F.col("both") / F.col("any")).alias("overlap"), F.count("*").alias("n_dates"))
 
 
-def ttm_reliability(fits: DataFrame, plain: str = "pe", normal: str = "pe_norm") -> DataFrame:
-    """Per tail (T3: average rank of +gap, up to 0.2 cheap, above 0.8 rich) of the plain target: rows, mean |gap| of both
-    targets and how often a break is marked (column `fundamental_break` of `fits`)."""
-    p, n = (fits.where(F.col("target") == k) for k in (plain, normal))
-    j = p.join(n.select("as_of", "ticker", F.col("gap").alias("gap_normal")), ["as_of", "ticker"], "left")
-    r = percent_rank_average(F.col("gap"), ["as_of"])
-    j = j.withColumn("tail", F.when(r <= 0.2, "cheap").when(r > 0.8, "rich").otherwise("mid"))
-    return j.groupBy("tail").agg(F.count("*").alias("n"), F.avg(F.abs("gap")).alias("mean_abs_gap"), F.avg(F.abs("gap_normal")).alias("mean_abs_gap_normal"), F.avg(F.col("fundamental_break").cast("double")).alias("break_share"))
+def ttm_reliability(seen: DataFrame) -> DataFrame:
+    """(part, n, break_share, mean_abs_pe, mean_abs_pe_norm, rank_corr): can the last twelve months be trusted?
+
+    Over rows with a verdict, marked by fundamental_break_flag: the share of breaks in the tails of the combined gap ('cheap' up
+    to 0.2 of its average rank within as_of, 'expensive' above 0.8, 'middle', 'all'); the mean |gap| of the plain and the
+    normalized P/E of 'flagged' and 'not flagged' rows that have both; and the mean over dates of the rank correlation of the
+    two gaps ('correlation', n is the number of dates).
+    """
+    v = seen.where("valuation_gap is not null")
+    r = percent_rank_average(F.col("valuation_gap"), ["as_of"])
+    v = v.select("as_of", "fundamental_break_flag", "pe_gap", "pe_norm_gap", r.alias("r"))
+    tail = F.when(F.col("r") <= 0.2, "cheap").when(F.col("r") > 0.8, "expensive").otherwise("middle")
+    none = lambda *names: [F.lit(None).cast("double").alias(n) for n in names]
+    share = F.avg(F.col("fundamental_break_flag").cast("double")).alias("break_share")
+    one = v.select(F.explode(F.array(tail, F.lit("all"))).alias("part"), "fundamental_break_flag").groupBy("part").agg(F.count("*").alias("n"), share, *[x.alias(n) for x, n in ((F.max(F.lit(None).cast("double")), "mean_abs_pe"), (F.max(F.lit(None).cast("double")), "mean_abs_pe_norm"), (F.max(F.lit(None).cast("double")), "rank_corr"))])
+    both = v.where("pe_gap is not null and pe_norm_gap is not null")
+    part = F.when(F.col("fundamental_break_flag"), "flagged").otherwise("not flagged")
+    two = both.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.avg(F.abs("pe_gap")).alias("mean_abs_pe"), F.avg(F.abs("pe_norm_gap")).alias("mean_abs_pe_norm"))
+    two = two.select("part", "n", *none("break_share"), "mean_abs_pe", "mean_abs_pe_norm", *none("rank_corr"))
+    per = _ranked(both, ["as_of"], "pe_gap", "pe_norm_gap").groupBy("as_of").agg(F.corr("__r_pe_gap", "__r_pe_norm_gap").alias("c"))
+    three = per.agg(F.count("c").alias("n"), F.avg("c").alias("rank_corr")).select(F.lit("correlation").alias("part"), "n", *none("break_share", "mean_abs_pe", "mean_abs_pe_norm"), "rank_corr")
+    return one.unionByName(two).unionByName(three)
 
 
 def compare_sets(results: dict[str, DataFrame], baseline: str) -> DataFrame:
@@ -109,3 +141,12 @@ def compare_sets(results: dict[str, DataFrame], baseline: str) -> DataFrame:
         every = s if every is None else every.unionByName(s)
     base = F.max(F.when(F.col("set_name") == baseline, F.col("r2"))).over(Window.partitionBy("target", "split"))
     return every.withColumn("delta", F.col("r2") - base)
+
+
+def adopted(compared: DataFrame, bar: float = 0.01) -> DataFrame:
+    """(set_name, target, train, val, meets_bar): a '+' set meets the bar if it gains that much on train and on val, a '-' set
+    (a feature left out) if it loses that much on both."""
+    of = lambda s: F.max(F.when(F.col("split") == s, F.col("delta"))).alias(s)
+    d = compared.groupBy("set_name", "target").agg(of("train"), of("val"))
+    sign = F.when(F.col("set_name").startswith("-"), -1.0).otherwise(1.0)
+    return d.withColumn("meets_bar", F.coalesce((F.least(F.col("train") * sign, F.col("val") * sign) >= bar) & F.col("train").isNotNull() & F.col("val").isNotNull(), F.lit(False)))

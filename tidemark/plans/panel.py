@@ -68,11 +68,11 @@ def with_fundamentals(snapshots: DataFrame, quarters: DataFrame) -> DataFrame:
 
 
 def with_universe(df: DataFrame, universe: DataFrame) -> DataFrame:
-    """Sector, size group and industry of the ticker; defaults Unknown, large and '<sector> other'."""
+    """Sector, size group and industry of the ticker; defaults Unknown, large and '<sector> 기타'."""
     u = universe.select(F.col("ticker").alias("__t"), "sector", "size_group", "industry").dropDuplicates(["__t"])
     df = df.drop("sector", "size_group", "industry").join(u, F.col("ticker") == F.col("__t"), "left").drop("__t")
     sector = F.coalesce("sector", F.lit("Unknown"))
-    return df.withColumns({"sector": sector, "size_group": F.coalesce("size_group", F.lit("large")), "industry": F.coalesce("industry", F.concat(sector, F.lit(" other")))})
+    return df.withColumns({"sector": sector, "size_group": F.coalesce("size_group", F.lit("large")), "industry": F.coalesce("industry", F.concat(sector, F.lit(" 기타")))})
 
 
 def raw_panel(

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidemark import config as cfg
 from tidemark.operators import technicals, universe
 from tidemark.plans import diagnostics, fairvalue, hypothesis, labels, report
-from tidemark.queries.pipeline import _fundamentals, _given, _snapshots, b02_panel, rounded
-from tidemark.queries.sql import CALENDAR, DAILY, GIVEN, QUARTERS, SNAPS, pct_max, with_
+from tidemark.queries.pipeline import _fundamentals, _given, _snapshots, built_panel, rounded
+from tidemark.queries.sql import BUILT, CALENDAR, DAILY, GIVEN, QUARTERS, SNAPS, pct_max, with_
 from tidemark.sources import ingest
 from tidemark.sources.tables import by_day, by_quarter, cut, read
 
@@ -25,7 +25,7 @@ FEATURES = ["return_on_equity", "operating_margin", "debt_to_equity"]
 
 def _built(spark: SparkSession, sf: str) -> DataFrame:
     """The panel of the pipeline with all features of the model and columns of the flags, stored once."""
-    return cut(b02_panel(spark, sf))
+    return cut(built_panel(spark, sf))
 
 
 def _long(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,9 +116,21 @@ def m25_error_spread(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(diagnostics.error_spread(_fits(spark, sf)))
 
 
+def _screened(spark: SparkSession, sf: str) -> DataFrame:
+    """The built panel with the verdict of the sector-median baseline, labels and flags; rows with eps, breaks and reported
+    multiples."""
+    g = _built(spark, sf)
+    return labels.screened(fairvalue.verdict(g, _baseline(g)))
+
+
 def m26_ttm_reliability(spark: SparkSession, sf: str) -> DataFrame:
-    marks = _given(spark, sf).select("as_of", "ticker", F.coalesce(F.col("book_value") < 0, F.lit(False)).alias("fundamental_break"))
-    return rounded(diagnostics.ttm_reliability(_fits(spark, sf).join(marks, ["as_of", "ticker"]), "pe", "pb"))
+    """Breaks in the tails, plain and normalized P/E gaps of flagged rows, and their rank correlation."""
+    return rounded(diagnostics.ttm_reliability(_screened(spark, sf)))
+
+
+def m27_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the views agree."""
+    return rounded(diagnostics.agreement(_seen(spark, sf)), 9)
 
 
 def h01_ic_and_spread(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,12 +157,39 @@ def a01_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a03_expectations(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(labels.add_expectations(_given(spark, sf)).select("as_of", "ticker", "median_pe", "implied_excess_growth"))
+    """Growth in the price against the medians of the date (A3), on the built panel."""
+    p = labels.add_expectations(_built(spark, sf))
+    return rounded(p.select("as_of", "ticker", "median_pe", "implied_excess_growth", "earnings_cagr_3y_median"), 9)
+
+
+def a04_label_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Label, its detail and the view (A4), on the built panel."""
+    return rounded(_screened(spark, sf).select("as_of", "ticker", "valuation_label", "realized_excess_growth", "label_detail", "valuation_view"), 9)
+
+
+def a05_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """The warning flags with their reasons (A5 to A9), on the built panel."""
+    names = ("meme", "value_trap", "report_lag", "fundamental_break", "single_view")
+    cells = [F.struct(F.lit(n).alias("flag"), F.col(f"{n}_reason").alias("reason"), F.col(f"{n}_flag").alias("hit")) for n in names]
+    return _screened(spark, sf).select("as_of", "ticker", F.inline(F.array(*cells))).where("hit").drop("hit")
 
 
 def a10_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Flips from cheap to expensive and what moved; trap streaks without growth data come out false."""
-    return labels.transitions(labels.add_labels(_seen(spark, sf))).where("transition_flag").select("as_of", "ticker", "transition_type")
+    """Flips from cheap to expensive, what moved and the reason (A10), on the built panel."""
+    return _screened(spark, sf).where("transition_flag").select("as_of", "ticker", "transition_type", "transition_reason")
+
+
+def a13_flag_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the last snapshot the up to 15 rows of each flag that are nearest to the ends of the ranking."""
+    return report.flagged(report.report_at(_screened(spark, sf), [*_REPORTED, *[f"{f}_{x}" for f in report.FLAGS for x in ("flag", "reason")]]))
+
+
+def a12_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of the last snapshot (P10) on the baseline's verdict."""
+    return rounded(report.report_at(_screened(spark, sf), [*_REPORTED, "valuation_gap_pct", "pe_gap"]), 9)
+
+
+_REPORTED = ["ticker", "as_of", "sector", "size_group", "valuation_label", "label_detail", "valuation_view", "cheapness_rank"]
 
 
 def a14_screened(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,7 +209,7 @@ def a11_explanations(spark: SparkSession, sf: str) -> DataFrame:
     g = _built(spark, sf)
     last = g.join(g.agg(F.max("as_of").alias("as_of")), "as_of", "left_semi")  # fits and labels are per snapshot
     fits = fairvalue.fit(last, min_rows=MIN_ROWS)
-    return report.explained(labels.add_labels(fairvalue.verdict(last, fits)), fits)
+    return report.explained(labels.screened(fairvalue.verdict(last, fits)), fits)
 
 
 def u02_industry_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,12 +230,21 @@ def c05_quality_report(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.quality_report(p, by_quarter(_fundamentals(spark, sf)), read(spark, sf, "universe", "ticker"))
 
 
-QUERIES = {f.__name__: f for f in (m02_rank_transform, m03_winsor_transform, m10_fair_value, m12_sector_baseline, m13_coefficients, m14_diagnostics, m16_verdict, m17_compare_sets, m19_summary, m21_r2_by_group, m23_stability, m24_top_overlap, m25_error_spread, m26_ttm_reliability, h01_ic_and_spread, h03_gap_return_test, h05_false_discovery, a01_labels, a03_expectations, a10_transitions, a11_explanations, a14_screened, a15_size_by_label, u02_industry_groups, u04_size_counts, c01_stale, c05_quality_report)}
+QUERIES = {f.__name__: f for f in (m02_rank_transform, m03_winsor_transform, m10_fair_value, m12_sector_baseline, m13_coefficients, m14_diagnostics, m16_verdict, m17_compare_sets, m19_summary, m21_r2_by_group, m23_stability, m24_top_overlap, m25_error_spread, m26_ttm_reliability, m27_agreement, h01_ic_and_spread, h03_gap_return_test, h05_false_discovery, a01_labels, a03_expectations, a04_label_detail, a05_flags, a10_transitions, a11_explanations, a12_report, a13_flag_lists, a14_screened, a15_size_by_label, u02_industry_groups, u04_size_counts, c01_stale, c05_quality_report)}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------------
-_T = [t for t in cfg.TARGETS if t.column != "normalized_pe"]
-_ok = lambda t: f"{t.column} BETWEEN {t.least} AND {t.most}" + "".join(f" AND coalesce(sector <> '{s}', true)" for s in t.without)
-LONG = "elig AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY as_of, target) AS cs FROM (" + " UNION ALL ".join(f"SELECT as_of, '{t.key}' AS target, ticker, sector, size_group, {', '.join(FEATURES)}, book_value, ln({t.column}) AS y FROM given WHERE {_ok(t)}" for t in _T) + f")) WHERE cs >= {MIN_ROWS})"
+# Targets as the SQL knows them: key, column, bounds, label; price to sales and the two below it leave financials out.
+_T = [("pe", "trailing_pe", 1, 100, "PER"), ("pb", "price_to_book", 0.1, 20, "PBR"), ("ps", "price_to_sales", 0.05, 40, "PSR"), ("ev_ebitda", "ev_to_ebitda", 1, 60, "EV/EBITDA"), ("pfcf", "price_to_fcf", 1, 100, "P/FCF")]
+_NORM = ("pe_norm", "normalized_pe", 1, 100, "")
+_ok = lambda t: f"{t[1]} BETWEEN {t[2]} AND {t[3]}" + (" AND coalesce(sector <> 'Financials', true)" if t[0] in ("ps", "ev_ebitda", "pfcf") else "")
+
+
+def long_sql(table: str, targets: list[tuple]) -> str:
+    rows = " UNION ALL ".join(f"SELECT as_of, '{t[0]}' AS target, ticker, sector, size_group, {', '.join(FEATURES)}, ln({t[1]}) AS y FROM {table} WHERE {_ok(t)}" for t in targets)
+    return f"elig AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY as_of, target) AS cs FROM ({rows})) WHERE cs >= 15)"
+
+
+LONG = long_sql("given", _T)
 FITS = """folded AS (SELECT *, (dense_rank() OVER (PARTITION BY as_of, target ORDER BY ticker DESC) - 1) % 5 AS fold FROM elig),
 outs AS (SELECT f.*, k.k AS out FROM folded f, (VALUES (0), (1), (2), (3), (4)) k(k) WHERE f.fold <> k.k),
 ms AS (SELECT as_of, target, sector, out, median(y) AS m FROM outs GROUP BY ALL), ma AS (SELECT as_of, target, out, median(y) AS m FROM outs GROUP BY ALL),
@@ -213,15 +261,22 @@ def avg_rank(c: str, keys: str) -> str:
 K = "as_of, target"
 RANKED = f"ranked AS (SELECT *, {avg_rank('y', K)} AS ry, {avg_rank('pred', K)} AS rp FROM fits)"
 SECTIONS = "sections AS (SELECT as_of, target, count(*) AS n, CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - pred) ** 2) / (var_pop(y) * count(y)) END AS r2, avg(abs(y - pred)) AS mae, corr(ry, rp) AS spearman FROM ranked GROUP BY 1, 2)"
-_V = [t for t in _T if t.in_verdict]
-SEEN = f"""wide AS (SELECT as_of, ticker, {', '.join(f"max(gap) FILTER (WHERE target = '{t.key}') AS {t.key}_gap" for t in _T)} FROM fits GROUP BY 1, 2),
-seen0 AS (SELECT g.*, NOT coalesce(g.trailing_pe > 0, false) AND coalesce(g.return_on_equity < 0, false) AS loss, {', '.join(f'w.{t.key}_gap' for t in _T)} FROM given g LEFT JOIN wide w ON g.as_of = w.as_of AND g.ticker = w.ticker),
-seen1 AS (SELECT *, CASE WHEN NOT loss THEN list_filter([{', '.join(f'{t.key}_gap' for t in _V)}], lambda x: x IS NOT NULL) ELSE [] END AS gaps,
-  CASE WHEN loss THEN '' ELSE concat_ws('+', {', '.join(f"CASE WHEN {t.key}_gap IS NOT NULL THEN '{t.label}' END" for t in _V)}) END AS valuation_basis FROM seen0),
+
+
+def seen_sql(table: str, targets: list[tuple], loss: str) -> str:
+    gaps = [t[0] for t in targets]
+    return f"""wide AS (SELECT as_of, ticker, {', '.join(f"max(gap) FILTER (WHERE target = '{k}') AS {k}_gap" for k in gaps)} FROM fits GROUP BY 1, 2),
+seen0 AS (SELECT g.*, NOT coalesce(g.trailing_pe > 0, false) AND ({loss}) AS loss, {', '.join(f'w.{k}_gap' for k in gaps)} FROM {table} g LEFT JOIN wide w ON g.as_of = w.as_of AND g.ticker = w.ticker),
+seen1 AS (SELECT *, CASE WHEN NOT loss THEN list_filter([{', '.join(f'{t[0]}_gap' for t in _T)}], lambda x: x IS NOT NULL) ELSE [] END AS gaps,
+  CASE WHEN loss THEN '' ELSE concat_ws('+', {', '.join(f"CASE WHEN {t[0]}_gap IS NOT NULL THEN '{t[4]}' END" for t in _T)}) END AS valuation_basis FROM seen0),
 seen2 AS (SELECT *, list_avg(gaps) AS valuation_gap, len(gaps) AS n_gaps FROM seen1),
 seen AS (SELECT *, CASE WHEN n_gaps > 0 THEN len(list_filter(gaps, lambda x: sign(x) = sign(valuation_gap))) / n_gaps END AS gap_agreement FROM seen2)"""
+
+
+SEEN = seen_sql("given", _T, "coalesce(g.return_on_equity < 0, false)")
 BASE = [GIVEN, LONG, FITS]
-LABELS = f"labelled0 AS (SELECT *, {pct_max('(-valuation_gap)', 'as_of')} AS cheapness_rank FROM seen), labelled AS (SELECT *, CASE WHEN cheapness_rank >= 80 THEN '{cfg.LABEL_CHEAP}' WHEN cheapness_rank <= 20 THEN '{cfg.LABEL_RICH}' WHEN cheapness_rank IS NOT NULL THEN '{cfg.LABEL_MID}' WHEN loss THEN '{cfg.LABEL_LOSS}' ELSE '{cfg.LABEL_NONE}' END AS valuation_label FROM labelled0)"
+_CHEAP, _RICH, _MID, _NONE, _LOSS = "저평가", "고평가", "중립", "데이터 부족", "판단 보류(적자)"
+LABELS = f"labelled0 AS (SELECT *, {pct_max('(-valuation_gap)', 'as_of')} AS cheapness_rank FROM seen), labelled AS (SELECT *, CASE WHEN cheapness_rank >= 80 THEN '{_CHEAP}' WHEN cheapness_rank <= 20 THEN '{_RICH}' WHEN cheapness_rank IS NOT NULL THEN '{_MID}' WHEN loss THEN '{_LOSS}' ELSE '{_NONE}' END AS valuation_label FROM labelled0)"
 _tail = lambda c: f"CASE WHEN {c} > 0.8 THEN 'cheap' WHEN {c} <= 0.2 THEN 'rich' WHEN {c} IS NOT NULL THEN 'mid' END"
 RETURNS = f"""ends AS (SELECT ticker AS et, max(date) AS e FROM daily GROUP BY 1),
 rets AS (SELECT s.ticker, s.as_of, h.m AS horizon, (SELECT CASE WHEN max(e.e) >= s.as_of + h.d THEN ln(arg_max(p.close, p.date) / s.close) END FROM daily p JOIN ends e ON e.et = p.ticker WHERE p.ticker = s.ticker AND p.date > s.as_of AND p.date <= s.as_of + h.d) AS ret FROM snaps s, (VALUES (1, 30), (3, 91), (6, 182), (12, 365)) h(m, d)),
@@ -230,7 +285,65 @@ pairs AS (SELECT 'all' AS grp, * EXCLUDE (size_group) FROM pairs0 UNION ALL SELE
 pr AS (SELECT *, {avg_rank('signal', 'grp, horizon, as_of')} AS rs, {avg_rank('ret', 'grp, horizon, as_of')} AS rr, row_number() OVER (PARTITION BY grp, horizon, as_of ORDER BY signal, ticker) AS k, count(*) OVER (PARTITION BY grp, horizon, as_of) AS n FROM pairs),
 ics AS (SELECT grp, horizon, as_of, count(*) AS n, corr(rs, rr) AS ic, avg(ret) FILTER (WHERE b = 4) - avg(ret) FILTER (WHERE b = 0) AS spread FROM (SELECT *, CASE WHEN k = 1 THEN 0 ELSE ((k - 1) * 5 + n - 2) // (n - 1) - 1 END AS b FROM pr WHERE n >= 25) GROUP BY 1, 2, 3)"""
 _keep = ", ".join
+# Labels and flags of the baseline's verdict on the built panel.
+EXPECTED = """expected AS (SELECT *, CASE WHEN trailing_pe > 0 AND median_pe > 0 THEN pow(trailing_pe / median_pe, 0.1) - 1 END AS implied_excess_growth FROM (
+  SELECT *, median(CASE WHEN trailing_pe BETWEEN 1 AND 100 THEN trailing_pe END) OVER (PARTITION BY as_of) AS median_pe, median(earnings_cagr_3y) OVER (PARTITION BY as_of) AS earnings_cagr_3y_median FROM labelled))"""
+SCREEN = [
+    *BUILT, long_sql("built", [*_T, _NORM]), FITS, seen_sql("built", [*_T, _NORM], "coalesce(g.eps <= 0, false) OR coalesce(g.return_on_equity < 0, false) OR coalesce(g.eps_ttm <= 0, false)"), LABELS, EXPECTED,
+    """screened AS (
+  SELECT *, (1 + earnings_cagr_3y) / (1 + earnings_cagr_3y_median) - 1 AS realized_excess_growth, eps_one_off_period IS NOT NULL OR per_share_break_period IS NOT NULL AS broken,
+    coalesce(CASE WHEN price_to_book / price_to_book_reported > 0 THEN price_to_book / price_to_book_reported END, CASE WHEN price_to_sales / price_to_sales_reported > 0 THEN price_to_sales / price_to_sales_reported END,
+      CASE WHEN trailing_pe / trailing_pe_reported > 0 THEN trailing_pe / trailing_pe_reported END, CASE WHEN price_to_fcf / price_to_fcf_reported > 0 THEN price_to_fcf / price_to_fcf_reported END) AS moved,
+    lag(valuation_label) OVER t AS was_label, CASE WHEN price > 0 AND lag(price) OVER t > 0 THEN ln(price / lag(price) OVER t) END AS dp, CASE WHEN eps > 0 AND lag(eps) OVER t > 0 THEN ln(eps / lag(eps) OVER t) END AS de,
+    count(*) FILTER (WHERE valuation_label = '저평가') OVER (PARTITION BY ticker ORDER BY as_of ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS streak
+  FROM expected WINDOW t AS (PARTITION BY ticker ORDER BY as_of)
+)""",
+]
+_NOTES = "CASE WHEN broken THEN ' (일회성 손익 가능)' ELSE '' END"
+DETAIL = f"""detailed AS (SELECT *, CASE WHEN valuation_label NOT IN ('저평가', '고평가', '중립') THEN '' WHEN coalesce(earnings_turnaround_3y = 1, false) THEN '흑자 전환' || {_NOTES}
+  WHEN realized_excess_growth - implied_excess_growth IS NULL THEN '성장 이력 없음'
+  ELSE CASE WHEN abs(realized_excess_growth - implied_excess_growth) < 0.02 THEN '요구 성장 ≈ 과거 성장' WHEN realized_excess_growth > implied_excess_growth THEN '과거 성장 > 요구 성장' ELSE '요구 성장 > 과거 성장' END || {_NOTES} || CASE WHEN earnings_cagr_3y > 1 THEN ' (기저 효과 가능)' ELSE '' END END AS label_detail FROM screened),
+viewed AS (SELECT *, CASE WHEN label_detail <> '' THEN valuation_label || ' · ' || label_detail ELSE valuation_label END AS valuation_view FROM detailed)"""
+_pct1 = lambda c: f"format('{{:+.1f}}%', 100 * {c})"
+REASONS = f"""flags AS (
+  SELECT as_of, ticker, 'meme' AS flag, '최근 5거래일 ' || CASE WHEN price_spike_5d > 0 THEN '급등' ELSE '급락' END || ' (' || {_pct1('price_spike_5d')} || ') + 거래량 이상치(63일 평균 대비 ' || format('{{:.1f}}', volume_zscore_63d) || '표준편차) — 밸류에이션 판단 신뢰도 낮음' AS reason
+  FROM screened WHERE abs(price_spike_5d) > 0.15 AND volume_zscore_63d > 3
+  UNION ALL SELECT as_of, ticker, 'value_trap', '최근 4개 시점 연속 저평가 + 매출성장률은 섹터 하위 40% 이내 — 모델이 못 보는 이유로 계속 싼 것일 수 있음 (지속 할인·저성장 경고; 밸류트랩인지는 검증하지 않은 규칙)' FROM screened WHERE streak = 4 AND revenue_growth_yoy_pct <= 40
+  UNION ALL SELECT as_of, ticker, 'report_lag', '마지막 재무 기준일(' || coalesce(CAST(fundamentals_period AS VARCHAR), '?') || ') 이후 주가 ' || format('{{:+.0f}}%', 100 * (moved - 1)) || ' — 분사·인수합병·실적 충격이 아직 재무 지표에 반영되지 않았을 수 있음 (배수 괴리가 과장될 수 있으니 뉴스 먼저 확인)' FROM screened WHERE abs(ln(moved)) > 0.4
+  UNION ALL SELECT as_of, ticker, 'fundamental_break', concat_ws(' / ', CASE WHEN eps_one_off_period IS NOT NULL THEN CAST(eps_one_off_period AS VARCHAR) || ' 분기 EPS가 평소와 크게 다름(' || CASE WHEN eps_one_off_ratio > 0 THEN '전년 같은 분기의 ' || format('{{:.1f}}배', eps_one_off_ratio) ELSE '전년 같은 분기와 부호가 반대(적자)' END || ') — 일회성 손익 의심' END,
+    CASE WHEN per_share_break_period IS NOT NULL THEN CAST(per_share_break_period AS VARCHAR) || ' 분기 주당매출이 전년 대비 ' || format('{{:.1f}}배', per_share_break_ratio) || '로 급변 — 분사·인수합병·주식 수 기준 변경·데이터 오류 의심' END) || ' (최근 12개월 배수가 서로 다른 분기를 섞고 있어 괴리를 그대로 믿기 어려움)' FROM screened WHERE broken
+  UNION ALL SELECT as_of, ticker, 'single_view', valuation_basis || ' 한 가지 배수로만 판단 — 다른 배수는 범위 밖이거나 값이 없어 교차 확인이 안 됨 (신뢰도 낮음)' FROM screened WHERE valuation_label IN ('저평가', '고평가') AND n_gaps = 1
+)"""
+_show = lambda c: f"CASE WHEN {c} IS NULL THEN '데이터 부족' ELSE {_pct1(c)} END"
+FLIPS = f"""flips AS (
+  SELECT as_of, ticker, {_show('dp')} AS p, {_show('de')} AS e, CASE WHEN dp > 0.15 AND de < -0.15 THEN '복합형' WHEN dp > 0.15 THEN '주가 상승형' WHEN de < -0.15 THEN '실적 악화형' WHEN dp < -0.15 THEN '가격 급락형' ELSE '불분명' END AS transition_type
+  FROM screened WHERE was_label = '저평가' AND valuation_label = '고평가'
+), reasoned AS (SELECT *, CASE transition_type
+  WHEN '복합형' THEN '주가 ' || p || ' 상승과 EPS ' || e || ' 하락이 겹침 — 단순 재평가로 읽으면 안 됨' WHEN '주가 상승형' THEN '주가가 ' || p || ' 오르며 적정가를 넘어섬 (EPS ' || e || ')'
+  WHEN '실적 악화형' THEN 'EPS가 ' || e || ' 줄며 배수가 기계적으로 상승 (주가 ' || p || ') — 재평가보다 이익 훼손에 가까움'
+  WHEN '가격 급락형' THEN '주가가 ' || p || ' 떨어졌는데도 고평가로 전환 (EPS ' || e || ') — ROE·성장률 등 펀더멘털이 더 크게 나빠져 적정 배수가 내려갔을 가능성'
+  ELSE '주가(' || p || ')·EPS(' || e || ') 움직임으로는 설명되지 않음 — 다른 재무 지표 변화로 적정 배수가 바뀌었거나 시장 전체의 가격 결정이 달라진 영향' END AS reason FROM flips)"""
+LAST = "last_rows AS (SELECT * FROM viewed WHERE as_of = (SELECT max(as_of) FROM viewed))"
 ORACLE = {
+    "a03_expectations": with_(*BUILT, "labelled AS (SELECT * FROM built)", EXPECTED, body="SELECT as_of, ticker, round(median_pe, 9) AS median_pe, round(implied_excess_growth, 9) AS implied_excess_growth, round(earnings_cagr_3y_median, 9) AS earnings_cagr_3y_median FROM expected"),
+    "a04_label_detail": with_(*SCREEN, DETAIL, body="SELECT as_of, ticker, valuation_label, round(realized_excess_growth, 9) AS realized_excess_growth, label_detail, valuation_view FROM viewed"),
+    "a05_flags": with_(*SCREEN, REASONS, body="SELECT * FROM flags"),
+    "a10_transitions": with_(*SCREEN, FLIPS, body="SELECT as_of, ticker, transition_type, reason AS transition_reason FROM reasoned"),
+    "a12_report": with_(*SCREEN, DETAIL, LAST, body="SELECT ticker, as_of, sector, size_group, valuation_label, label_detail, valuation_view, round(cheapness_rank, 9) AS cheapness_rank, round(exp(valuation_gap) - 1, 9) AS valuation_gap_pct, round(exp(pe_gap) - 1, 9) AS pe_gap FROM last_rows"),
+    "a13_flag_lists": with_(
+        *SCREEN, DETAIL, LAST, REASONS, FLIPS, "marked AS (SELECT f.flag, l.ticker, l.valuation_label, f.reason, coalesce(abs(l.cheapness_rank - 50), -1) AS far FROM last_rows l JOIN (SELECT * FROM flags UNION ALL SELECT as_of, ticker, 'transition', reason FROM reasoned) f ON f.ticker = l.ticker AND f.as_of = l.as_of)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY far DESC, ticker) AS place, count(*) OVER (PARTITION BY flag) AS n FROM marked)",
+        body="SELECT flag, place, n, ticker, valuation_label, reason FROM placed WHERE place <= 15",
+    ),
+    "m26_ttm_reliability": with_(
+        *SCREEN, f"v AS (SELECT *, {avg_rank('valuation_gap', 'as_of')} AS r FROM screened WHERE valuation_gap IS NOT NULL)", "w AS (SELECT * FROM v WHERE pe_gap IS NOT NULL AND pe_norm_gap IS NOT NULL)",
+        f"x AS (SELECT as_of, {avg_rank('pe_gap', 'as_of')} AS a, {avg_rank('pe_norm_gap', 'as_of')} AS b FROM w)", "c AS (SELECT as_of, corr(a, b) AS c FROM x GROUP BY 1)",
+        body="""SELECT CASE WHEN r <= 0.2 THEN 'cheap' WHEN r > 0.8 THEN 'expensive' ELSE 'middle' END AS part, count(*) AS n, round(avg(CAST(broken AS INT)), 6) AS break_share, CAST(NULL AS DOUBLE) AS mean_abs_pe, CAST(NULL AS DOUBLE) AS mean_abs_pe_norm, CAST(NULL AS DOUBLE) AS rank_corr FROM v GROUP BY 1
+UNION ALL SELECT 'all', count(*), round(avg(CAST(broken AS INT)), 6), NULL, NULL, NULL FROM v HAVING count(*) > 0
+UNION ALL SELECT CASE WHEN broken THEN 'flagged' ELSE 'not flagged' END, count(*), NULL, round(avg(abs(pe_gap)), 6), round(avg(abs(pe_norm_gap)), 6), NULL FROM w GROUP BY 1
+UNION ALL SELECT 'correlation', count(CASE WHEN NOT isnan(c) THEN c END), NULL, NULL, NULL, round(avg(CASE WHEN NOT isnan(c) THEN c END), 6) FROM c""",
+    ),
+    "m27_agreement": with_(*BASE, SEEN, body="SELECT count(*) AS n, round(avg(gap_agreement), 9) AS mean_agreement, round(avg(CAST(gap_agreement = 1 AS INT)), 9) AS all_agree FROM seen WHERE valuation_gap IS NOT NULL AND n_gaps > 1"),
     "m02_rank_transform": with_(GIVEN, LONG, body="SELECT as_of, target, ticker, " + _keep(f"round({avg_rank(f, K)}, 9) AS {f}" for f in FEATURES) + " FROM elig"),
     "m03_winsor_transform": with_(
         GIVEN, LONG, "qs AS (SELECT as_of, target, " + _keep(f"quantile_cont({f}, 0.02) AS {f}_lo, quantile_cont({f}, 0.98) AS {f}_hi, count({f}) AS {f}_n" for f in FEATURES) + " FROM elig GROUP BY 1, 2)",
@@ -249,15 +362,12 @@ per AS (SELECT as_of, count(*) AS n, corr(r1, r2) AS rank_corr, avg(CAST(label <
         body=f"SELECT {SPLIT} AS split, round(avg(rank_corr), 6) AS rank_corr, round(avg(label_changed), 6) AS label_changed, round(avg(cheap_rich_flip), 6) AS cheap_rich_flip, count(*) AS n_pairs FROM per GROUP BY ALL",
     ),
     "m24_top_overlap": with_(*BASE, SEEN, f"t AS (SELECT as_of, coalesce({avg_rank('(-pe_gap)', 'as_of')} > 0.8, false) AS a, coalesce({avg_rank('(-pb_gap)', 'as_of')} > 0.8, false) AS b FROM seen), per AS (SELECT as_of, count(*) FILTER (WHERE a AND b) / count(*) FILTER (WHERE a OR b) AS j FROM t GROUP BY 1 HAVING count(*) FILTER (WHERE a OR b) > 0)", body="SELECT round(avg(j), 6) AS overlap, count(*) AS n_dates FROM per"),
-    "m25_error_spread": with_(*BASE, body=f"SELECT target, {SPLIT} AS split, round(median(exp(abs(gap)) - 1), 6) AS error_median, round(quantile_cont(exp(abs(gap)) - 1, 0.9), 6) AS error_p90, count(*) AS n FROM fits GROUP BY ALL"),
-    "m26_ttm_reliability": with_(*BASE, f"p AS (SELECT *, {avg_rank('gap', 'as_of')} AS r FROM fits WHERE target = 'pe')", body="SELECT CASE WHEN p.r <= 0.2 THEN 'cheap' WHEN p.r > 0.8 THEN 'rich' ELSE 'mid' END AS tail, count(*) AS n, round(avg(abs(p.gap)), 6) AS mean_abs_gap, round(avg(abs(b.gap)), 6) AS mean_abs_gap_normal, round(avg(CAST(coalesce(p.book_value < 0, false) AS INT)), 6) AS break_share FROM p LEFT JOIN (SELECT * FROM fits WHERE target = 'pb') b ON b.as_of = p.as_of AND b.ticker = p.ticker GROUP BY 1"),
+    "m25_error_spread": with_(*BASE, body=f"SELECT target, {SPLIT} AS split, round(quantile_disc(exp(abs(gap)) - 1, 0.5), 6) AS error_median, round(quantile_disc(exp(abs(gap)) - 1, 0.9), 6) AS error_p90, count(*) AS n FROM fits GROUP BY ALL"),
     "h01_ic_and_spread": with_(*BASE, SEEN, DAILY, CALENDAR, SNAPS, RETURNS, body="SELECT grp, horizon, as_of, n, round(ic, 6) AS ic, round(spread, 6) AS spread FROM ics"),
     "h05_false_discovery": with_(*BASE, SEEN, DAILY, CALENDAR, SNAPS, RETURNS, "t AS (SELECT horizon, as_of, round(abs(ic), 6) AS p FROM ics WHERE grp = 'all')", "u AS (SELECT a.horizon, a.as_of, a.p, least(1.0, min(b.p * b.m / b.k)) AS q FROM t a JOIN (SELECT p, max(k) AS k, max(m) AS m FROM (SELECT p, row_number() OVER (ORDER BY p) AS k, count(p) OVER () AS m FROM t WHERE p IS NOT NULL) GROUP BY p) b ON b.p >= a.p GROUP BY 1, 2, 3)", body="SELECT horizon, as_of, round(p, 9) AS p_value, round(q, 9) AS p_value_fdr, q <= 0.2 AS significant_after_fdr FROM u"),
     "a01_labels": with_(*BASE, SEEN, LABELS, body="SELECT as_of, ticker, round(cheapness_rank, 6) AS cheapness_rank, valuation_label FROM labelled"),
-    "a03_expectations": with_(GIVEN, "e AS (SELECT *, median(CASE WHEN trailing_pe BETWEEN 1 AND 100 THEN trailing_pe END) OVER (PARTITION BY as_of) AS mp FROM given)", body="SELECT as_of, ticker, round(mp, 6) AS median_pe, round(CASE WHEN trailing_pe > 0 AND mp > 0 THEN pow(trailing_pe / mp, 0.1) - 1 END, 6) AS implied_excess_growth FROM e"),
-    "a10_transitions": with_(*BASE, SEEN, LABELS, "w AS (SELECT *, lag(valuation_label) OVER (PARTITION BY ticker ORDER BY as_of) AS wl, lag(price) OVER (PARTITION BY ticker ORDER BY as_of) AS wp FROM labelled)", body=f"SELECT as_of, ticker, CASE WHEN price > 0 AND wp > 0 AND ln(price / wp) >= 0.15 THEN 'price_up' WHEN price > 0 AND wp > 0 AND ln(price / wp) <= -0.15 THEN 'price_down' ELSE 'unclear' END AS transition_type FROM w WHERE wl = '{cfg.LABEL_CHEAP}' AND valuation_label = '{cfg.LABEL_RICH}'"),
-    "a15_size_by_label": with_(*BASE, SEEN, LABELS, body=f"SELECT size_group, count(*) FILTER (WHERE valuation_label = '{cfg.LABEL_CHEAP}') AS cheap, count(*) FILTER (WHERE valuation_label = '{cfg.LABEL_MID}') AS mid, count(*) FILTER (WHERE valuation_label = '{cfg.LABEL_RICH}') AS rich FROM labelled GROUP BY 1"),
-    "u02_industry_groups": "SELECT ticker, CASE WHEN industry IS NOT NULL AND count(*) OVER (PARTITION BY industry) >= 4 THEN industry ELSE coalesce(sector, 'Unknown') || ' other' END AS industry FROM universe",
+    "a15_size_by_label": with_(*BASE, SEEN, LABELS, body=f"SELECT size_group, count(*) FILTER (WHERE valuation_label = '{_CHEAP}') AS cheap, count(*) FILTER (WHERE valuation_label = '{_MID}') AS mid, count(*) FILTER (WHERE valuation_label = '{_RICH}') AS rich FROM labelled GROUP BY 1"),
+    "u02_industry_groups": "SELECT ticker, CASE WHEN industry IS NOT NULL AND count(*) OVER (PARTITION BY industry) >= 4 THEN industry ELSE coalesce(sector, 'Unknown') || ' 기타' END AS industry FROM universe",
     "u04_size_counts": "SELECT sector, count(*) FILTER (WHERE size_group = 'large') AS large, count(*) FILTER (WHERE size_group = 'mid') AS mid, count(*) FILTER (WHERE size_group = 'small') AS small FROM universe GROUP BY 1",
     "c01_stale": with_(DAILY, body="SELECT u.ticker FROM universe u LEFT JOIN (SELECT ticker, max(date) AS d FROM daily GROUP BY 1) p USING (ticker) WHERE d IS NULL OR DATE '2024-06-28' - d > 3"),
     "c05_quality_report": with_(

@@ -121,11 +121,16 @@ def x01_technicals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(p.select("ticker", "as_of", *technicals.TECHNICALS))
 
 
-def b02_panel(spark: SparkSession, sf: str) -> DataFrame:
+def built_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The whole panel with percentiles and scores (B1 to B4), from the first to the last day of the prices."""
     return plan.scores(plan.add_percentiles(_panel(spark, sf)))
 
 
+def b02_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """`built_panel`, rounded."""
+    return rounded(built_panel(spark, sf), 9)
+
+
 def _given(spark: SparkSession, sf: str) -> DataFrame:
     """The given panel, one row per ticker and snapshot (the smallest panel_id), without infinities and filler codes."""
     p = read(spark, sf, "panel").where("ticker is not null and as_of is not null")

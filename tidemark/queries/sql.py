@@ -264,6 +264,56 @@ B05_SQL = "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(CASE WHEN
 B06_SQL = with_(DAILY, QUARTERS, T1, PERIOD_PRICE, body="""SELECT round(median(r), 6) AS median_ratio, round(avg(CASE WHEN abs(r - 1) <= 0.15 THEN 1.0 ELSE 0.0 END), 6) AS share_within_15pct FROM (
   SELECT p.period_price / t.eps_ttm / t.trailing_pe AS r FROM t1 t JOIN period_prices p USING (ticker, period) WHERE p.period_price > 0 AND t.eps_ttm > 0 AND t.trailing_pe > 0)""")
 
+# --- the built panel ------------------------------------------------------------------------------------------------------
+def unrounded(sql: str) -> str:
+    """The SQL without its round(x, digits): parts of the panel are compared exactly by its ranks."""
+    while (at := sql.find("round(")) >= 0:
+        depth, comma, end = 0, 0, at + 5
+        for end in range(at + 5, len(sql)):
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[end], 0)
+            if depth == 1 and sql[end] == ",":
+                comma = end
+            if not depth:
+                break
+        sql = sql[:at] + "(" + sql[at + 6 : comma] + ")" + sql[end + 1 :]
+    return sql
+
+
+_PRICED = [*_M, "ev_to_ebitda"]
+_PARTS = {
+    "known_q": J03_SQL, "trend_q": F01_SQL, "break_q": F22_SQL, "scaled_q": L04_SQL, "tech_q": X01_SQL, "paid_q": V01_SQL, "ahead_q": J08_SQL,
+    "lag_q": with_(QUARTERS, LAGGED, body="SELECT ticker, period, fiscal_year_end_assumed FROM known"),
+}
+_OWN = [f for f in FUNDAMENTAL_FIELDS if f not in _PRICED] + ["net_margin"]
+_AHEAD = [f"fwd_return_{m}m" for m in (1, 3, 6, 12)]
+BUILT = [
+    DAILY, QUARTERS, CALENDAR, SNAPS, QUOTED, *[f"{k} AS ({unrounded(v)})" for k, v in _PARTS.items()],
+    f"""built0 AS (
+  SELECT p.ticker, p.as_of, p.date, p.close, p.price, d.close_raw, d.volume, d.dividend, {', '.join(f't.{c}' for c in _T)}, k.fundamentals_period, k.known_date, k.is_fiscal_q4, k.fund_id,
+    q.available_date, {', '.join(f'q.{c}' for c in _OWN)}, {', '.join(f'f.{c}' for c in TREND_COLUMNS)}, b.eps_one_off_period, b.eps_one_off_ratio, b.per_share_break_period, b.per_share_break_ratio,
+    coalesce(g.fiscal_year_end_assumed, true) AS fiscal_year_end_assumed, l.period_price, {', '.join(f'l.{m}, l.{m}_reported' for m in _PRICED)}, l.log_book_value, l.log_revenue, l.normalized_pe,
+    v.dividend_yield, v.dividend_growth_3y, v.dividend_years_no_cut, {', '.join(f'a.{c}' for c in _AHEAD)},
+    coalesce(u.sector, 'Unknown') AS sector, coalesce(u.size_group, 'large') AS size_group, coalesce(u.industry, coalesce(u.sector, 'Unknown') || ' 기타') AS industry
+  FROM quoted p JOIN daily d ON d.ticker = p.ticker AND d.date = p.date
+  LEFT JOIN known_q k ON k.ticker = p.ticker AND k.as_of = p.as_of
+  LEFT JOIN quarters q ON q.ticker = p.ticker AND q.period = k.fundamentals_period LEFT JOIN trend_q f ON f.ticker = p.ticker AND f.period = k.fundamentals_period
+  LEFT JOIN break_q b ON b.ticker = p.ticker AND b.period = k.fundamentals_period LEFT JOIN lag_q g ON g.ticker = p.ticker AND g.period = k.fundamentals_period
+  LEFT JOIN scaled_q l ON l.ticker = p.ticker AND l.as_of = p.as_of LEFT JOIN tech_q t ON t.ticker = p.ticker AND t.as_of = p.as_of
+  LEFT JOIN paid_q v ON v.ticker = p.ticker AND v.as_of = p.as_of LEFT JOIN ahead_q a ON a.ticker = p.ticker AND a.as_of = p.as_of LEFT JOIN universe u ON u.ticker = p.ticker
+)""",
+    "built1 AS (SELECT *, " + ", ".join((f"100.0 - ({pct_max(k, 'as_of, sector')})" if low else pct_max(k, "as_of, sector")) + f" AS {k}_pct" for k, low in INDICATORS.items()) + " FROM built0)",
+    "built2 AS (SELECT *, " + ", ".join("list_avg(list_filter([" + ", ".join(f"{n}_pct" for n in names.split()) + f"], lambda x: x IS NOT NULL)) AS {score}" for score, names in {
+        "valuation_score": "trailing_pe price_to_book price_to_sales ev_to_ebitda price_to_fcf dividend_yield", "quality_score": "return_on_equity debt_to_equity operating_margin revenue_growth_yoy",
+        "momentum_score": "ma50_vs_ma200 pct_from_52w_high"}.items()) + " FROM built1)",
+    f"built AS MATERIALIZED (SELECT *, {pct_max('valuation_score', 'as_of, sector')} AS sector_valuation_rank FROM built2)",
+]
+_PLAIN_COLUMNS = "ticker as_of date fundamentals_period available_date fund_id eps_one_off_period per_share_break_period is_fiscal_q4 fiscal_year_end_assumed known_date sector size_group industry".split()
+_DOUBLES = [
+    "close", "price", "close_raw", "volume", "dividend", *_T, *_OWN, *TREND_COLUMNS, "eps_one_off_ratio", "per_share_break_ratio", "period_price", *[x for m in _PRICED for x in (m, f"{m}_reported")],
+    "log_book_value", "log_revenue", "normalized_pe", "dividend_yield", "dividend_growth_3y", "dividend_years_no_cut", *_AHEAD, *[f"{k}_pct" for k in INDICATORS], "valuation_score", "quality_score", "momentum_score", "sector_valuation_rank",
+]
+B02_SQL = with_(*BUILT, body="SELECT " + ", ".join([*_PLAIN_COLUMNS, *[r(c, 9) for c in _DOUBLES]]) + " FROM built")
+
 # --- data quality -----------------------------------------------------------------------------------------------------
 P3_SQL = """SELECT panel_id, fund_id FROM (
   SELECT p.panel_id, f.fund_id, row_number() OVER (PARTITION BY p.panel_id ORDER BY f.period DESC, f.available_date DESC, f.fund_id) AS rn
@@ -416,6 +466,6 @@ ORACLE = {
     "j06_price_at_period": with_(DAILY, QUARTERS, PERIOD_PRICE, body="SELECT ticker, period, period_price FROM period_prices"),
     "j08_forward_returns": J08_SQL, "f01_trends": F01_SQL, "f22_breaks": F22_SQL,
     "l01_reporting_lag": with_(QUARTERS, LAGGED, body="SELECT ticker, period, is_fiscal_q4, fiscal_year_end_assumed, known_date FROM known"),
-    "l04_rescaled": L04_SQL, "v01_dividends": V01_SQL, "x01_technicals": X01_SQL, "b03_percentiles": B03_SQL, "b05_missing": B05_SQL, "b06_eps_basis": B06_SQL,
+    "l04_rescaled": L04_SQL, "v01_dividends": V01_SQL, "x01_technicals": X01_SQL, "b02_panel": B02_SQL, "b03_percentiles": B03_SQL, "b05_missing": B05_SQL, "b06_eps_basis": B06_SQL,
     "p3_found": P3_SQL, "p3_attributes": p3_attributes_sql(), "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p4_masks": P4_MASKS_SQL, "p4_violations": P4_VIOLATIONS_SQL, "p4_drift": P4_DRIFT_SQL, "p5_found": P5_SQL, "p5_filled": p5_filled_sql(),
 }

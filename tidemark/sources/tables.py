@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,16 +29,39 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return nan_to_null(read(spark, sf_dir, name, *columns))
 
 
+_stored: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The table checkpointed to the shared folder of spark.checkpoint.dir; a folder of this machine only where none
-    is named and the session is a local one."""
+    is named and the session is a local one. `release` deletes what was stored; it runs at the end of the program as well."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint(eager=True)
+    if not _stored:
+        atexit.register(release)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _stored.append(file.get())
+    return out
+
+
+def release() -> int:
+    """Deletes the tables that `cut` has stored in this program, and says how many there were. Plans that read them cannot be
+    run after it."""
+    n, spark = 0, SparkSession.getActiveSession()
+    while _stored:
+        name = _stored.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            n += int(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        except Exception:  # noqa: BLE001  the session has gone: nothing can be deleted through it
+            continue
+    return n
 
 
 def usable_quotes(prices: DataFrame) -> DataFrame:
