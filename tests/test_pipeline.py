@@ -41,32 +41,40 @@ def test_growth_and_rolling_windows(spark):
     assert t.op_margin_volatility.isna().sum() == 7
 
 
-def test_durability(spark):
-    n = 24
-    eps = [1.10 ** (i / 4) for i in range(n)]
-    steady = trends.trends(quarters(spark, eps=eps, return_on_equity=[0.25] * n, gross_margin=[0.4] * n, fcf_margin=[0.18] * n, net_margin=[0.15] * n, sales_per_share=eps)).orderBy("period").toPandas().iloc[-1]
-    assert steady.eps_cagr_3y == pytest.approx(0.10) and steady.growth_consistency_3y == 1 and steady.cash_conversion_3y == pytest.approx(1.2)
-    bumpy = list(eps)
-    bumpy[-3] = -1.0
-    assert trends.trends(quarters(spark, eps=bumpy)).orderBy("period").toPandas().iloc[-1].loss_share_3y == pytest.approx(1 / 12)
-    turn = list(eps)
-    turn[8:12] = [-0.3] * 4
-    t = trends.trends(quarters(spark, eps=turn)).orderBy("period").toPandas().iloc[-1]
-    assert t.earnings_turnaround_3y == 1 and math.isnan(t.eps_cagr_3y)
-    bank = trends.trends(quarters(spark, eps=[None] * n, return_on_equity=[0.1 * 1.05 ** (i / 4) for i in range(n)], book_value=[1000.0] * n)).orderBy("period").toPandas().iloc[-1]
-    assert bank.earnings_cagr_3y == pytest.approx(0.05)
+def last_row(spark, **cols):
+    return trends.trends(quarters(spark, **cols)).orderBy("period").toPandas().iloc[-1]
+
+
+def test_multi_year_measures(spark):
+    n = 20
+    grow = [3 * 1.21 ** (i / 4) for i in range(n)]  # 21% a year
+    r = last_row(spark, eps=grow, sales_per_share=[40 - i for i in range(n)], fcf_margin=[0.06] * n, net_margin=[0.24] * n, gross_margin=[0.3 + 0.1 * (i % 2) for i in range(n)])
+    assert r.eps_cagr_3y == r.earnings_cagr_3y == pytest.approx(0.21) and r.cash_conversion_3y == pytest.approx(0.25)
+    assert r.growth_consistency_3y == 0 and r.loss_share_3y == 0 and r.earnings_turnaround_3y == 0  # sales fall every year
+    assert r.gross_margin_volatility_3y == pytest.approx(np.std([0.3, 0.4] * 6, ddof=1))
+    losses = [-2.0 if i in (9, 13, 14) else 2.0 for i in range(n)]
+    assert last_row(spark, eps=losses).loss_share_3y == pytest.approx(3 / 12)
+    # The year three years ago lost money: there is a turn and no growth rate. Without EPS, income comes from equity.
+    turn = last_row(spark, eps=[-1.0] * 8 + [0.5] * 12)
+    assert turn.earnings_turnaround_3y == 1 and math.isnan(turn.earnings_cagr_3y)
+    fund = last_row(spark, eps=[None] * n, return_on_equity=[0.08] * n, book_value=[70 * 1.331 ** (i / 12) for i in range(n)])
+    assert fund.earnings_cagr_3y == pytest.approx(0.1) and math.isnan(fund.eps_cagr_3y)
 
 
 def test_breaks(spark):
-    eps = [2.27, 2.60, 2.2281, 2.3601, 2.1602, 1.9624, 2.2234, 2.4497, 2.8569, 0.4619, 2.5721, 17.8343]
-    sps = [14.0, 14.6, 13.8669, 14.6393, 14.8723, 14.0027, 15.0714, 16.1523, 16.2930, 15.2803, 28.6435, 30.5053]
+    """Earnings that leave both their usual level and the year before are one-offs; sales per share that jump against the quarter
+    and the year before are breaks; both are dated, and forgotten after four quarters. A season is neither."""
+    p = quarter_ends(18)
+    eps, sps = [1.0 + 0.05 * i for i in range(18)], [20.0 + 0.2 * i for i in range(18)]
+    eps[11] = 9.0
+    sps[13:] = [x / 2.5 for x in sps[13:]]
     t = trends.trends(quarters(spark, eps=eps, sales_per_share=sps)).orderBy("period").toPandas()
-    p = quarter_ends(12)
-    assert t.eps_one_off_period.iloc[-1] == p[-1] and t.eps_one_off_ratio.iloc[-1] == pytest.approx(17.8343 / 2.4497)
-    assert t.per_share_break_period.iloc[-1] == t.per_share_break_period.iloc[-2] == p[-2]
-    assert t.per_share_break_ratio.iloc[-1] == pytest.approx(28.6435 / 15.0714) and t.per_share_break_period.iloc[-3] is None
-    seasonal = trends.trends(quarters(spark, eps=[0.3, 0.4, 0.2, 2.0] * 6, sales_per_share=[8 * 1.02 ** (i // 4) * (14 / 8 if i % 4 == 3 else 1) for i in range(24)])).toPandas()
-    assert seasonal.eps_one_off_period.isna().all() and seasonal.per_share_break_period.isna().all()
+    assert t.eps_one_off_period.tolist()[10:16] == [None, p[11], p[11], p[11], p[11], None]
+    assert t.eps_one_off_ratio[12] == pytest.approx(9.0 / 1.35)
+    assert t.per_share_break_period[12] is None and t.per_share_break_period[13] == t.per_share_break_period[16] == p[13]
+    assert t.per_share_break_ratio[14] == pytest.approx(sps[13] / sps[9])
+    yearly = trends.trends(quarters(spark, eps=[0.5, 4.0, 0.6, 0.4] * 5, sales_per_share=[9, 21, 10, 8] * 5)).toPandas()
+    assert yearly.eps_one_off_period.isna().all() and yearly.per_share_break_period.isna().all()
 
 
 def test_nearest_prior_ties_and_tolerance(spark):
@@ -127,22 +135,25 @@ def test_rescaling(spark):
     assert x.trailing_pe_reported == 20 and got.loc["y"].trailing_pe == 20 and got.loc["z"].ev_to_ebitda == 15
 
 
-def payer(amounts, start=D(2010, 2, 15), gap=91):
-    return [("x", start + dt.timedelta(days=gap * i), float(a)) for i, a in enumerate(amounts)]
-
-
 def test_dividends(spark):
-    pay = payer([0.5] * 20 + [0.3] * 16)
-    pay.append(("x", pay[29][1] + dt.timedelta(days=20), 2.0))
-    pay[35] = ("x", pay[35][1] + dt.timedelta(days=60), 0.3)
-    last = max(d for _, d, _ in pay)
-    daily = spark.createDataFrame(pay, "ticker string, date date, dividend double")
-    snaps = spark.createDataFrame([("x", last + dt.timedelta(days=5), 40.0), ("x", last + dt.timedelta(days=500), 40.0), ("q", last, 40.0), ("x", last + dt.timedelta(days=1), None)], "ticker string, as_of date, price double")
+    """A monthly payer that raises, cuts to two thirds and pays a special; a yearly payer; one that has stopped; one without."""
+    month = lambda k: D(2014 + k // 12, k % 12 + 1, 10)
+    paid = [("m", month(k), 0.12 if k < 40 else 0.08 if k < 100 else 0.1) for k in range(110)] + [("m", D(2020, 6, 20), 1.0)]
+    paid += [("y", D(2012 + k, 5, 5), 2.0 * 1.1**k) for k in range(11)] + [("s", D(2019, 1, 1), 3.0)]
+    daily = spark.createDataFrame(paid, "ticker string, date date, dividend double")
+    at = D(2022, 12, 31)
+    snaps = spark.createDataFrame([(k, at, 24.0) for k in "myso"] + [("m", D(2022, 12, 30), None)], "ticker string, as_of date, price double")
     got = {(r["ticker"], r["as_of"]): r for r in dividends.dividend_features(snaps, daily).collect()}
-    x = got["x", last + dt.timedelta(days=5)]
-    assert x["dividend_yield"] == pytest.approx(0.3 * 4 / 40) and x["dividend_growth_3y"] == pytest.approx(0)
-    assert x["dividend_years_no_cut"] == pytest.approx((last + dt.timedelta(days=5) - pay[20][1]).days / 365.25)
-    for k in (("x", last + dt.timedelta(days=500)), ("q", last), ("x", last + dt.timedelta(days=1))):
+    m, y = got["m", at], got["y", at]
+    assert m["dividend_yield"] == pytest.approx(12 * 0.1 / 24)
+    # Three years before, at the end of 2019, four payments of 0.08 had just come; the cut was in May 2017.
+    assert m["dividend_growth_3y"] == pytest.approx((0.1 / 0.08) ** (1 / 3) - 1)
+    assert m["dividend_years_no_cut"] == pytest.approx((at - month(40)).days / 365.25)
+    amounts = [2.0 * 1.1**k for k in range(11)]
+    assert y["dividend_yield"] == pytest.approx(amounts[-1] / 24)
+    assert y["dividend_growth_3y"] == pytest.approx((np.median(amounts[7:]) / np.median(amounts[4:8])) ** (1 / 3) - 1)
+    assert y["dividend_years_no_cut"] == pytest.approx((at - D(2012, 5, 5)).days / 365.25)
+    for k in (("s", at), ("o", at), ("m", D(2022, 12, 30))):
         assert (got[k]["dividend_yield"], got[k]["dividend_growth_3y"], got[k]["dividend_years_no_cut"]) == (0, None, 0)
 
 
