@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.lastknown import ROW, _spans, attributes_as_of, last_known
+from tidemark.operators.lastknown import ROW, _hot, attributes_as_of, change_history
 
 ROWS = "ticker string, period date, known timestamp_ntz, id bigint, a double, b double"
 EV = "e bigint, ticker string, at timestamp_ntz, a string"
@@ -67,12 +67,30 @@ def test_against_brute_force(spark):
 
 
 def test_a_key_with_most_rows_is_many_tasks(spark):
-    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, concat('k', id), 'hot') key", "id * 1000 t", "-id k", "cast(id as double) v0")
-    spans = {r["h"]: r["spans"] for r in _spans(rows, 500).collect()}
-    assert set(spans) == {"hot"} and spans["hot"] > 20
-    asked = rows.selectExpr("key", "t as asked_us")
-    got = last_known(rows, asked, ["t"], "t", ["v"], span_rows=500)
-    assert got.where("v <> asked_us / 1000 or v is null").count() == 0 and got.count() == 20_000
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, concat('k', id), 'hot') ticker", "id", "cast(id as double) a", "timestampadd(second, id, timestamp_ntz'2020-01-01') at")
+    history = change_history(rows, "ticker", "at", ["at"], "id", ["a"])
+    events = history.selectExpr("key", "t", "struct(t) e")
+    (hot,) = _hot(history, events, 500).collect()
+    assert hot["hk"] == "hot" and hot["spans"] > 20 and hot["parts"] == 1
+    got = attributes_as_of(rows.selectExpr("ticker", "at", "id e"), rows, event_key="ticker", event_time="at", row_key="ticker", known_at="at", latest_by=["at"], tie="id", attributes=["a"], span_rows=500)
+    assert got.where("a <> e or a is null").count() == 0 and got.count() == 20_000
+
+
+def test_spans_without_rows_carry_what_was_known(spark):
+    rows = [("x", D(2020, 1, 1), T(2020, 1, 1) + dt.timedelta(minutes=i), i, float(i), None) for i in range(40)] + [("x", D(2020, 1, 1), T(2021, 1, 1), 99, 99.0, None)]
+    ask = [(i, "x", T(2020, 2 + i, 1), "c") for i in range(10)] + [(10, "x", T(2022, 1, 1), "c"), (11, "x", T(2019, 1, 1), "c")]
+    got = match(spark, rows, ask, attributes=["a"], span_rows=5)  # nine spans, seven of them empty
+    assert [got[i]["a"] for i in range(12)] == [39.0] * 10 + [99.0, None]
+
+
+def test_many_events_at_one_instant_are_dealt_to_parts(spark):
+    rows = spark.createDataFrame([("x", D(2020, 3, 31), T(2020, 5, 1), i, float(i), None) for i in range(3)], ROWS)
+    events = spark.range(9000).selectExpr("id e", "'x' ticker", "timestamp_ntz'2020-06-01' at")
+    history = change_history(rows, "ticker", "known", ["period"], "id", ["a"])
+    (hot,) = _hot(history, events.selectExpr("ticker key", "1 t", "struct(e) e"), 1000).collect()
+    assert (hot["spans"], hot["parts"]) == (1, 9)
+    out = attributes_as_of(events, rows, event_key="ticker", event_time="at", row_key="ticker", known_at="known", latest_by=["period"], tie="id", attributes=["a"], span_rows=1000)
+    assert out.where("a = 0.0").select("e").distinct().count() == 9000 == out.count()
 
 
 def test_only_the_bounded_table_of_cut_keys_is_broadcast_by_hint(spark):
@@ -81,6 +99,7 @@ def test_only_the_bounded_table_of_cut_keys_is_broadcast_by_hint(spark):
     out = attributes_as_of(e, df, event_key="ticker", event_time="at", row_key="ticker", known_at="known", latest_by=["period"], tie="id", attributes=["a"])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan
-    # The one hint (on both sides of a union) is on the table of cut keys, of which there are no more than MOST_HOT.
-    assert plan.count("strategy=broadcast") <= 2
+    # Hints are on the table of split keys only (MOST_HOT rows at most), wherever it is joined.
+    hinted = [line for line in plan.splitlines() if "strategy=broadcast" in line]
+    assert hinted and all("hk#" in line or "#" in line and "key" in line for line in hinted)
     assert out.select(F.max("a")).first()[0] == 1.0

@@ -1,12 +1,13 @@
 """Attributes as they were known at a time: one change history per attribute, separate last-known matches, pivoted back.
 
 Plan. A row of the history stays one wide row with one order for all of its attributes; a missing value is no entry of its
-attribute's history. Rows and questions of a key meet in one exchange, where running maxima, one for each attribute, answer
-the questions, and the answers join the events: three exchanges in all. Everything stays in the JVM; no range join is made.
+attribute's history. History and events of a key meet in one exchange, each row with its own side only, and running maxima,
+one for each attribute, answer the events where they are. Everything stays in the JVM; no range join is made, and the
+answers are not joined back.
 
-Keys with very many rows are cut into spans of time, which are tasks of their own; a second running maximum over one row
-per span carries what earlier spans knew. Such keys are found by counting; their table has MOST_HOT rows at most, so that it
-may be broadcast.
+Keys with very many rows are many tasks: their history is cut into spans of time, and their events, if those are many, are
+dealt to parts that each get the history of the span. A second running maximum over one row per span carries what earlier
+spans knew. Such keys are found by counting; their table has MOST_HOT rows at most, so that it may be broadcast.
 """
 
 from __future__ import annotations
@@ -20,62 +21,74 @@ from tidemark.functions.columns import MICROS_PER_DAY, micros
 
 #: Name of the attribute that every row has; its source id says which row was the last known.
 ROW = "row"
-#: A key is cut from this many rows on, and how many keys (the largest) are cut.
+#: A key is split from this many rows or events on, and how many keys (the largest) are split.
 SPAN_ROWS, MOST_HOT = 1_000_000, 100_000
 
 
 def change_history(rows: DataFrame, key: str, known_at: str, latest_by: Sequence[str], tie: str, attributes: Sequence[str]) -> DataFrame:
-    """(key, t, o0.., k, v0..): a wide row per row with key, known_at, tie and all of `latest_by`.
+    """(key, t, h): a wide row per row with key, known_at, tie and all of `latest_by`; h has the order o0.., k and the values v0...
 
-    t is known_at in microseconds; the order (o0.., k) is by `latest_by` (dates or times, in turn), then the smallest `tie`;
-    a column of `latest_by` that is known_at itself has no place of its own. A missing value (NULL or NaN) of an attribute
-    makes no entry of its history, so attributes that are updated at different times keep apart.
+    t is known_at in microseconds; the order is by `latest_by` (dates or times, in turn), then the smallest `tie`; a column of
+    `latest_by` that is known_at itself has no place of its own. A missing value (NULL or NaN) of an attribute makes no entry
+    of its history, so attributes that are updated at different times keep apart.
     """
     order = [micros(c).alias(f"o{i}") for i, c in enumerate(latest_by) if c != known_at]
     value = [(F.lit(1.0) if a == ROW else F.col(f"`{a}`").cast("double")).alias(f"v{i}") for i, a in enumerate(attributes)]
     r = rows.select(F.col(key).alias("key"), micros(known_at).alias("t"), *order, (-F.col(tie)).alias("k"), *value)
-    names = [f"v{i}" for i in range(len(value))]
-    r = r.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
     for c in r.columns:
-        if c not in names:
+        if not c.startswith("v"):
             r = r.where(F.col(c).isNotNull())
+    values = [F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")).alias(f"v{i}") for i in range(len(value))]
+    r = r.select("key", "t", F.struct(*[c for c in r.columns if c[0] in "ok" and c != "key"], *values).alias("h"))
     # Of several attributes a row without any is harmless, and a filter on all of them makes Catalyst infer 2**n constraints.
-    return r.where(F.col(names[0]).isNotNull()) if len(names) == 1 else r
-
-
-def _spans(history: DataFrame, span_rows: int) -> DataFrame:
-    """(h, first, width, spans) of the keys that are cut into spans of time: the MOST_HOT largest of those with more than
-    `span_rows` rows. A key beyond them has less than 1 / MOST_HOT of all rows and stays whole."""
-    hot = history.groupBy(F.col("key").alias("h")).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
-    hot = hot.where(F.col("n") > span_rows).orderBy(F.desc("n"), "h").limit(MOST_HOT)
-    spans = F.ceil(F.col("n") / F.lit(span_rows)).cast("bigint")
-    return hot.select("h", "first", (F.floor((F.col("last") - F.col("first")) / spans) + 1).cast("bigint").alias("width"), spans.alias("spans"))
-
-
-def last_known(history: DataFrame, asked: DataFrame, latest_by: Sequence[str], known_at: str, attributes: Sequence[str], detail: bool = False, span_rows: int = SPAN_ROWS) -> DataFrame:
-    """(key, asked_us, <attribute>...): for each distinct (key, asked_us) the last entry of each attribute by the order of
-    `change_history` among those known at or before asked_us; NULL where there is none. An attribute is its value or, with
-    `detail`, a struct with value, known_us and k (less the tie)."""
-    ask = asked.where("key is not null and asked_us is not null").groupBy("key", F.col("asked_us").alias("t")).agg(F.lit(1).alias("kind"))
-    both = history.withColumn("kind", F.lit(0)).unionByName(ask, allowMissingColumns=True)
-    both = both.join(F.broadcast(_spans(history, span_rows)), F.col("key") == F.col("h"), "left")
-    span = F.floor((F.col("t") - F.col("first")) / F.col("width"))
-    both = both.withColumn("span", F.coalesce(F.greatest(F.lit(0), F.least(span, F.col("spans") - 1)), F.lit(0)).cast("bigint"))
-    both = both.withColumn("cut", F.col("spans").isNotNull()).drop("h", "first", "width", "spans")
-    rank = [F.col("t") if c == known_at else F.col(f"o{i}") for i, c in enumerate(latest_by)]
+    return r.where(F.col("h.v0").isNotNull()) if len(values) == 1 else r
+
+
+def _hot(history: DataFrame, events: DataFrame, span_rows: int) -> DataFrame:
+    """(hk, first, width, spans, parts): the MOST_HOT largest of the keys with more than `span_rows` rows or events. A key
+    beyond them has less than 1 / MOST_HOT of all rows and stays whole."""
+    t = F.when(F.col("kind") == 0, F.col("t"))
+    both = history.select("key", "t", F.lit(0).alias("kind")).unionByName(events.select("key", "t", F.lit(1).alias("kind")))
+    n = both.groupBy(F.col("key").alias("hk")).agg(F.count(t).alias("rows"), F.count("*").alias("all"), F.min(t).alias("first"), F.max(t).alias("last"))
+    n = n.withColumn("most", F.greatest("rows", F.col("all") - F.col("rows"))).where(F.col("most") > span_rows).orderBy(F.desc("most"), "hk").limit(MOST_HOT)
+    spans = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(span_rows))).cast("bigint")
+    parts = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("rows")) / (spans * span_rows))).cast("int")
+    return n.select("hk", "first", (F.floor((F.col("last") - F.col("first")) / spans) + 1).cast("bigint").alias("width"), spans.alias("spans"), parts.alias("parts"))
+
+
+def last_known(history: DataFrame, events: DataFrame, latest_by: Sequence[str], known_at: str, attributes: Sequence[str], span_rows: int = SPAN_ROWS) -> DataFrame:
+    """The columns of `events`.e and for each attribute a struct (value, known_us, k) of the last entry, by the order of
+    `change_history`, among those known at or before the event; NULL where there is none.
+
+    `events` has key, t (microseconds) and e, a struct of whatever is to come out again; those without key or t have no row.
+    """
+    asked = events.where("key is not null and t is not null")
+    hot = F.broadcast(_hot(history, asked, span_rows))
+    placed = lambda d: d.join(hot, F.col("key") == F.col("hk"), "left")
+    parts = F.coalesce("parts", F.lit(1))
+    one = placed(history).select("key", "t", "h", F.lit(0).alias("kind"), "first", "width", "spans", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    two = placed(asked).select("key", "t", "e", F.lit(1).alias("kind"), "first", "width", "spans", F.pmod(F.monotonically_increasing_id(), parts).cast("int").alias("part"))
+    both = one.unionByName(two, allowMissingColumns=True)
+    at = F.floor((F.col("t") - F.col("first")) / F.col("width"))
+    span = F.coalesce(F.greatest(F.lit(0), F.least(at, F.col("spans") - 1)), F.lit(0)).cast("int").alias("span")
+    rank = [F.col("t") if c == known_at else F.col(f"h.o{i}") for i, c in enumerate(latest_by)]
 
     def entry(i: int) -> Column:
-        return F.when(F.col(f"v{i}").isNotNull(), F.struct(*[x.alias(f"r{j}") for j, x in enumerate(rank)], "k", F.col(f"v{i}").alias("value"), F.col("t").alias("known_us")))
+        return F.when(F.col(f"h.v{i}").isNotNull(), F.struct(*[x.alias(f"r{j}") for j, x in enumerate(rank)], F.col("h.k").alias("k"), F.col(f"h.v{i}").alias("value"), F.col("t").alias("known_us")))
 
-    here = Window.partitionBy("key", "span").orderBy("t", "kind")
-    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
     names = [f"x{i}" for i in range(len(attributes))]
-    seen = both.select("key", "span", "t", "kind", "cut", F.lead("kind").over(here).isNull().alias("last"), *[F.max(entry(i)).over(so_far).alias(n) for i, n in enumerate(names)])
+    so_far = Window.partitionBy("key", "span", "part").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.select("key", span, "part", "t", "kind", "h", "e")
+    seen = both.select("key", "span", "kind", "e", *[F.max(entry(i)).over(so_far).alias(n) for i, n in enumerate(names)]).where("kind = 1")
+    # What the spans before knew, of the keys that have several: of most tables none.
+    cut = history.join(hot, (F.col("key") == F.col("hk")) & (F.col("spans") > 1)).select("key", span, "t", "h")
+    ends = cut.groupBy("key", "span").agg(*[F.max(entry(i)).alias(n) for i, n in enumerate(names)])
+    every = hot.where("spans > 1").select(F.col("hk").alias("key"), F.explode(F.sequence(F.lit(0), F.col("spans").cast("int") - 1)).alias("span"))
+    ends = every.join(ends, ["key", "span"], "left")
     before = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = seen.where("cut and last").select("key", "span", *[F.max(n).over(before).alias(f"was_{n}") for n in names])
-    got = seen.where("kind = 1").join(carried, ["key", "span"], "left")
-    best = [F.greatest(n, f"was_{n}") for n in names]
-    return got.select("key", F.col("t").alias("asked_us"), *[(b if detail else b["value"]).alias(a) for a, b in zip(attributes, best, strict=True)])
+    carried = ends.select("key", "span", *[F.max(n).over(before).alias(f"was_{n}") for n in names])
+    got = seen.join(carried, ["key", "span"], "left")
+    return got.select("e.*", *[F.greatest(n, f"was_{n}").alias(a) for n, a in zip(names, attributes, strict=True)])
 
 
 def attributes_as_of(
@@ -95,22 +108,21 @@ def attributes_as_of(
     result column are replaced by it.
     """
     history = change_history(rows, row_key, known_at, latest_by, tie, attributes)
-    e = events.withColumns({"__key": F.col(event_key), "__us": micros(event_time)})
-    detail = sources or ROW in attributes or max_age_days is not None
-    known = last_known(history, e.select(F.col("__key").alias("key"), F.col("__us").alias("asked_us")), latest_by, known_at, attributes, detail, span_rows)
-    known = known.withColumnsRenamed({"key": "__key", "asked_us": "__us"} | {a: f"__{a}" for a in attributes})
-    out = e.join(known, ["__key", "__us"], how)
+    e = events.select(F.col(event_key).alias("key"), micros(event_time).alias("t"), F.struct(*[F.col(f"`{c}`").alias(f"e{i}") for i, c in enumerate(events.columns)], micros(event_time).alias("us")).alias("e"))
+    known = last_known(history, e, latest_by, known_at, [f"a{i}" for i in range(len(attributes))], span_rows)
     new = {}
-    for a in attributes:
-        x = F.col(f"`__{a}`")
+    for i, a in enumerate(attributes):
+        x = F.col(f"a{i}")
         if max_age_days is not None:
-            x = F.when(F.col("__us") - x["known_us"] <= max_age_days * MICROS_PER_DAY, x)
+            x = F.when(F.col("us") - x["known_us"] <= max_age_days * MICROS_PER_DAY, x)
         if a != ROW:
-            new[a] = x["value"] if detail else x
+            new[a] = x["value"]
         if sources or a == ROW:
             new[f"{a}_from"] = -x["k"]
-    keep = [c for c in events.columns if c not in new]
-    out = out.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(k) for k, c in new.items()])
+    keep = [(i, c) for i, c in enumerate(events.columns) if c not in new]
+    out = known.select(*[F.col(f"e{i}").alias(c) for i, c in keep], *[c.alias(k) for k, c in new.items()])
     if how == "inner":
-        out = out.where(" or ".join(f"`{k}` is not null" for k in new))
-    return out
+        return out.where(" or ".join(f"`{k}` is not null" for k in new))
+    kinds = {f.name: f.dataType for f in out.schema}
+    alone = events.where(F.col(event_key).isNull() | F.col(event_time).isNull())
+    return out.unionByName(alone.select(*[F.col(f"`{c}`") for _, c in keep], *[F.lit(None).cast(kinds[k]).alias(k) for k in new]))

@@ -64,9 +64,8 @@ def forward_returns(snapshots: DataFrame, daily: DataFrame) -> DataFrame:
     history = change_history(closes, "ticker", "date", ["date"], "__tie", ["close"])
     wide = snapshots.select("ticker", "as_of", "close", F.explode(F.array(*[F.lit(d) for d in HORIZONS.values()])).alias("days"))
     wide = wide.dropDuplicates(["ticker", "as_of", "days"]).withColumn("target", F.date_add("as_of", F.col("days")))
-    asked = wide.select(F.col("ticker").alias("key"), micros("target").alias("asked_us"))
-    known = last_known(history, asked, ["date"], "date", ["close"], detail=True).withColumnsRenamed({"key": "__k", "close": "__x"})
-    wide = wide.join(known, (F.col("ticker") == F.col("__k")) & (micros("target") == F.col("asked_us")), "left")
+    asked = wide.select(F.col("ticker").alias("key"), micros("target").alias("t"), F.struct("ticker", "as_of", "close", "days", "target").alias("e"))
+    wide = last_known(history, asked, ["date"], "date", ["__x"])
     wide = wide.join(ends, F.col("ticker") == F.col("__t"), "left")
     ok = (F.col("__end") >= F.col("target")) & (F.col("__x.known_us") > micros("as_of"))
     value = F.when(ok, F.ln(F.col("__x.value") / F.col("close")))
