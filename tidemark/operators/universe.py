@@ -53,6 +53,25 @@ def duplicates(universe: DataFrame) -> DataFrame:
     return universe.groupBy("ticker").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def of_sector(universe: DataFrame, sector: str) -> DataFrame:
+    """(ticker) of a sector."""
+    return universe.where(F.col("sector") == sector).select("ticker").distinct()
+
+
+def first_page_wins(pages: list[DataFrame]) -> DataFrame:
+    """(ticker, sub_industry) of several pages (ticker, sub_industry); of a ticker on several the first page counts."""
+    every = None
+    for i, page in enumerate(pages):
+        page = page.where("ticker is not null and sub_industry is not null").select("ticker", "sub_industry", F.lit(i).alias("page"))
+        every = page if every is None else every.unionByName(page)
+    return every.groupBy("ticker").agg(F.min_by("sub_industry", "page").alias("sub_industry"))
+
+
+def read_members(spark: SparkSession, path: str) -> DataFrame:
+    """Index members frozen as CSV with a header: ticker, name, sector and whatever else is there, all text."""
+    return spark.read.csv(path, header=True)
+
+
 class _Tables(HTMLParser):
     """Rows of the cells' texts of every table of a page."""
 
@@ -79,6 +98,20 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
+def sub_industries(spark: SparkSession, page: str) -> DataFrame:
+    """(ticker, sub_industry) of the first table of a page that has a symbol and a sub-industry column; no rows without one."""
+    parser = _Tables()
+    parser.feed(page)
+    for table in parser.tables:
+        head = [h.lower() for h in (table[0] if table else [])]
+        symbol = next((i for i, h in enumerate(head) if h in ("symbol", "ticker", "ticker symbol")), None)
+        sub = next((i for i, h in enumerate(head) if "sub-industry" in h or "sub industry" in h), None)
+        if symbol is not None and sub is not None:
+            rows = {r[symbol].strip().upper(): r[sub].strip() for r in table[1:] if max(symbol, sub) < len(r)}  # the last row of a ticker
+            return spark.createDataFrame(list(rows.items()), "ticker string, sub_industry string")
+    return spark.createDataFrame([], "ticker string, sub_industry string")
+
+
 def constituents(spark: SparkSession, page: str) -> DataFrame:
     """(ticker, name, sector, sub_industry) of the first table of a page that has a symbol and a sector column.
 

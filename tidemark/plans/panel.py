@@ -115,8 +115,14 @@ def missing_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.unpivot([], columns, "column_name", "missing_share")
 
 
+def payer_share(panel: DataFrame) -> DataFrame:
+    """(as_of, payers): share of the rows of the last snapshot that pay dividends; no yield counts as none."""
+    last = panel.where(F.col("as_of") == panel.agg(F.max("as_of")).scalar())
+    return last.groupBy("as_of").agg(F.avg((F.coalesce(F.col("dividend_yield"), F.lit(0.0)) > 0).cast("double")).alias("payers"))
+
+
 def eps_basis(panel: DataFrame) -> DataFrame:
-    """(median_ratio, share_within_15pct): how price / eps_ttm compares with trailing_pe, over rows with both above 0."""
-    ratio = F.col("price") / F.col("eps_ttm") / F.col("trailing_pe")
-    r = panel.where("price > 0 and eps_ttm > 0 and trailing_pe > 0").select(ratio.alias("r"))
-    return r.agg(F.percentile("r", F.lit(0.5)).alias("median_ratio"), F.avg((F.abs(F.col("r") - 1) <= 0.15).cast("double")).alias("share_within_15pct"))
+    """(median_ratio, share_within_15pct): how price / eps_ttm compares with trailing_pe, over rows with both above 0. The median
+    has bounded state (percentile_approx, the lower one of two)."""
+    r = panel.where("eps_ttm > 0 and trailing_pe > 0").select((F.col("price") / F.col("eps_ttm") / F.col("trailing_pe")).alias("r")).where("r is not null")
+    return r.agg(F.percentile_approx("r", 0.5, 10_000).alias("median_ratio"), F.avg((F.abs(F.col("r") - 1) <= 0.15).cast("double")).alias("share_within_15pct"))

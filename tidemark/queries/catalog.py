@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.queries import model, pipeline, quality, sql
+from tidemark.queries import intake, model, pipeline, quality, sql
 
-QUERIES = {**quality.QUERIES, **pipeline.QUERIES, **model.QUERIES}
-ORACLE: dict[str, str] = {**sql.ORACLE, **model.ORACLE}
+QUERIES = {**quality.QUERIES, **pipeline.QUERIES, **model.QUERIES, **intake.QUERIES}
+ORACLE: dict[str, str] = {**sql.ORACLE, **model.ORACLE, **intake.ORACLE}
 FLAGSHIP = pipeline.b02_panel

@@ -150,11 +150,15 @@ def b05_missing(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(plan.missing_report(p, [c for c, k in p.dtypes if k == "double"]), 9)
 
 
+def b05_payers(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of dividend payers in the last snapshot of the given panel."""
+    p = read(spark, sf, "panel").where("as_of is not null").withColumn("dividend_yield", real_number("dividend_yield"))
+    return rounded(plan.payer_share(p), 9)
+
+
 def b06_eps_basis(spark: SparkSession, sf: str) -> DataFrame:
-    q = trends.trends(_quarters(spark, sf)).select("ticker", "period", "eps_ttm", "trailing_pe")
-    daily = by_day(read(spark, sf, "prices")).select("ticker", "date", F.col("close_raw").alias("price"), F.lit(0).alias("z"))
-    q = attributes_as_of(q, daily, event_key="ticker", event_time="period", row_key="ticker", known_at="date", latest_by=["date"], tie="z", attributes=["price"])
-    return rounded(plan.eps_basis(q))
+    """Price over earnings of four quarters against the reported P/E, on the built panel."""
+    return rounded(plan.eps_basis(_panel(spark, sf)))
 
 
-QUERIES = {f.__name__: f for f in (s02_quarters, s08_daily_rows, j01_calendar, j02_prior_reading, j03_known_quarter, j04_price_at_snapshot, j06_price_at_period, j08_forward_returns, f01_trends, f22_breaks, l01_reporting_lag, l04_rescaled, v01_dividends, x01_technicals, b02_panel, b03_percentiles, b05_missing, b06_eps_basis)}
+QUERIES = {f.__name__: f for f in (s02_quarters, s08_daily_rows, j01_calendar, j02_prior_reading, j03_known_quarter, j04_price_at_snapshot, j06_price_at_period, j08_forward_returns, f01_trends, f22_breaks, l01_reporting_lag, l04_rescaled, v01_dividends, x01_technicals, b02_panel, b03_percentiles, b05_missing, b05_payers, b06_eps_basis)}

@@ -261,9 +261,7 @@ B03_SQL = with_(
     body="SELECT ticker, as_of, " + ", ".join(r(f"{k}_pct") for k in _HAVE) + f", {r('valuation_score')}, {r('quality_score')}, momentum_score, {r(pct_max('valuation_score', 'as_of, sector'), name='sector_valuation_rank')} FROM sc",
 )
 B05_SQL = "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(CASE WHEN {c} IS NULL OR isnan({c}) THEN 1.0 ELSE 0.0 END), 9) AS missing_share FROM panel" for c in _NUM)
-B06_SQL = with_(DAILY, QUARTERS, T1, PERIOD_PRICE, body="""SELECT round(median(r), 6) AS median_ratio, round(avg(CASE WHEN abs(r - 1) <= 0.15 THEN 1.0 ELSE 0.0 END), 6) AS share_within_15pct FROM (
-  SELECT p.period_price / t.eps_ttm / t.trailing_pe AS r FROM t1 t JOIN period_prices p USING (ticker, period) WHERE p.period_price > 0 AND t.eps_ttm > 0 AND t.trailing_pe > 0)""")
-
+B05_PAYERS_SQL = f"SELECT as_of, round(avg(CASE WHEN {REAL.format('dividend_yield')} > 0 THEN 1.0 ELSE 0.0 END), 9) AS payers FROM panel WHERE as_of = (SELECT max(as_of) FROM panel) GROUP BY 1"
 # --- the built panel ------------------------------------------------------------------------------------------------------
 def unrounded(sql: str) -> str:
     """The SQL without its round(x, digits): parts of the panel are compared exactly by its ranks."""
@@ -312,6 +310,8 @@ _DOUBLES = [
     "close", "price", "close_raw", "volume", "dividend", *_T, *_OWN, *TREND_COLUMNS, "eps_one_off_ratio", "per_share_break_ratio", "period_price", *[x for m in _PRICED for x in (m, f"{m}_reported")],
     "log_book_value", "log_revenue", "normalized_pe", "dividend_yield", "dividend_growth_3y", "dividend_years_no_cut", *_AHEAD, *[f"{k}_pct" for k in INDICATORS], "valuation_score", "quality_score", "momentum_score", "sector_valuation_rank",
 ]
+B06_SQL = with_(*BUILT, body="""SELECT round(quantile_disc(r, 0.5), 6) AS median_ratio, round(avg(CASE WHEN abs(r - 1) <= 0.15 THEN 1.0 ELSE 0.0 END), 6) AS share_within_15pct
+FROM (SELECT price / eps_ttm / trailing_pe AS r FROM built WHERE eps_ttm > 0 AND trailing_pe > 0) WHERE r IS NOT NULL""")
 B02_SQL = with_(*BUILT, body="SELECT " + ", ".join([*_PLAIN_COLUMNS, *[r(c, 9) for c in _DOUBLES]]) + " FROM built")
 
 # --- data quality -----------------------------------------------------------------------------------------------------
@@ -466,6 +466,6 @@ ORACLE = {
     "j06_price_at_period": with_(DAILY, QUARTERS, PERIOD_PRICE, body="SELECT ticker, period, period_price FROM period_prices"),
     "j08_forward_returns": J08_SQL, "f01_trends": F01_SQL, "f22_breaks": F22_SQL,
     "l01_reporting_lag": with_(QUARTERS, LAGGED, body="SELECT ticker, period, is_fiscal_q4, fiscal_year_end_assumed, known_date FROM known"),
-    "l04_rescaled": L04_SQL, "v01_dividends": V01_SQL, "x01_technicals": X01_SQL, "b02_panel": B02_SQL, "b03_percentiles": B03_SQL, "b05_missing": B05_SQL, "b06_eps_basis": B06_SQL,
+    "l04_rescaled": L04_SQL, "v01_dividends": V01_SQL, "x01_technicals": X01_SQL, "b02_panel": B02_SQL, "b03_percentiles": B03_SQL, "b05_missing": B05_SQL, "b05_payers": B05_PAYERS_SQL, "b06_eps_basis": B06_SQL,
     "p3_found": P3_SQL, "p3_attributes": p3_attributes_sql(), "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p4_masks": P4_MASKS_SQL, "p4_violations": P4_VIOLATIONS_SQL, "p4_drift": P4_DRIFT_SQL, "p5_found": P5_SQL, "p5_filled": p5_filled_sql(),
 }

@@ -93,11 +93,38 @@ def write_prices(prices: DataFrame, path: str, buckets: int = 256) -> None:
     p.repartition(buckets, "bucket").sortWithinPartitions("ticker", "date").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def price_symbols(tickers: DataFrame) -> DataFrame:
+    """(ticker, symbol): class shares have a dash instead of a dot where prices are fetched."""
+    return tickers.select("ticker", F.replace("ticker", F.lit("."), F.lit("-")).alias("symbol"))
+
+
+def raw_prices(fetched: DataFrame) -> DataFrame:
+    """(ticker, date, close, close_raw, volume, dividend) of fetched rows, typed and with dividends of 0 where there are none; an
+    empty fetch has the same schema. Times lose their zone."""
+    have = set(fetched.columns)
+    pick = lambda c, kind, otherwise=None: (F.coalesce(F.col(c).cast(kind), F.lit(otherwise)) if c in have else F.lit(otherwise).cast(kind)).alias(c)
+    return fetched.select(pick("ticker", "string"), F.to_date("date").alias("date"), pick("close", "double"), (F.col("close_raw") if "close_raw" in have else F.col("close")).cast("double").alias("close_raw"), pick("volume", "double"), pick("dividend", "double", 0.0))
+
+
+def collect(cached: DataFrame, tickers: DataFrame, fetch: Callable[[DataFrame], DataFrame], today: str, required: list[str], refresh: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(history, failed): a collection, cache first. `fetch` gets the (ticker) table of those whose cache is stale, lacking a
+    column or absent (all with `refresh`) and returns their rows; what it returns replaces the cache unless it is truncated.
+
+    failed has the tickers without any row afterwards; a ticker that could not be fetched keeps its old rows.
+    """
+    ask = tickers.select("ticker").distinct() if refresh else stale_tickers(cached, tickers, today, required)
+    history = merged_history(cached, fetch(ask))
+    return history, tickers.select("ticker").distinct().join(history.select("ticker").distinct(), "ticker", "left_anti")
+
+
 def write_report(report: DataFrame, path: str, most: int = 100_000) -> int:
-    """One CSV file with a byte order mark, for spreadsheets; reports have a row per ticker. Returns the rows written."""
+    """One CSV file with a byte order mark, for spreadsheets; reports have a row per ticker. "{date}" in the path becomes the
+    snapshot's date. Returns the rows written."""
     rows = report.limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"a report may have {most} rows; write it with Spark instead")
+    if "{date}" in path:
+        path = path.replace("{date}", str(rows["as_of"].iloc[0]) if len(rows) and "as_of" in rows else "none")
     Path(path).write_text(rows.to_csv(index=False), encoding="utf-8-sig")
     return len(rows)
 
