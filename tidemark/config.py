@@ -29,6 +29,14 @@ TARGETS = [
 ]
 BASE_FEATURES = ("return_on_equity", "operating_margin", "revenue_growth_yoy", "debt_to_equity", "payout_ratio_ttm", "volatility_63d", "gross_margin")
 CATEGORICAL = ("industry",)
+#: Features that are tried one by one and together, and what a set has to gain on train and on val to be taken.
+CANDIDATES = (
+    "log_revenue", "log_book_value", "op_margin_avg_3y", "roe_avg_3y", "roic", "fcf_margin", "net_debt_to_capital", "asset_turnover", "revenue_cagr_3y",
+    "op_margin_volatility", "dividend_growth_3y", "dividend_years_no_cut", "eps_cagr_3y", "growth_consistency_3y", "eps_volatility_3y", "roe_volatility_3y",
+    "gross_margin_volatility_3y", "loss_share_3y", "cash_conversion_3y", "roe_spike", "eps_spike", "revenue_growth_accel", "revenue_growth_ttm",
+    "revenue_growth_ttm_accel", "op_margin_change_1y", "gross_margin_change_1y", "current_ratio", "sga_to_sales", "industry",
+)
+MIN_GAIN = 0.01
 PENALTIES = (0.01, 0.1, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 FOLDS, MIN_ROWS, WINSOR = 5, 50, 0.02
 TRAIN_END, VAL_END = date(2019, 12, 31), date(2023, 12, 31)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import config as cfg
 from tidemark.operators.windows import percent_rank_average
+from tidemark.plans import fairvalue
 from tidemark.plans.fairvalue import KEYS, split_of
 
 
@@ -14,10 +18,11 @@ def _ranked(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     return df.withColumns({f"__r_{c}": percent_rank_average(F.col(c), keys) for c in columns})
 
 
-def cross_sections(fits: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+def cross_sections(fits: DataFrame, baseline: DataFrame | None = None, coefs: DataFrame | None = None) -> DataFrame:
     """(as_of, target, n, r2, mae, spearman): per cross-section; r2 is NULL where y does not vary.
 
-    With `baseline`, fits of the same rows by the sector median, its r2 and mae stand beside as r2_baseline, mae_baseline.
+    With `baseline`, fits of the same rows by the sector median, its r2 and mae stand beside as r2_baseline, mae_baseline; with
+    `coefs` (`fairvalue.coefficients`) the penalty and the map of coefficients of the fit on all rows.
     """
     d = _ranked(fits, KEYS, "y", "pred")
     sse, e = F.sum(F.pow(F.col("y") - F.col("pred"), 2)), F.abs(F.col("y") - F.col("pred"))
@@ -27,6 +32,8 @@ def cross_sections(fits: DataFrame, baseline: DataFrame | None = None) -> DataFr
     )
     if baseline is not None:
         out = out.join(cross_sections(baseline).select(*KEYS, F.col("r2").alias("r2_baseline"), F.col("mae").alias("mae_baseline")), KEYS, "left")
+    if coefs is not None:
+        out = out.join(coefs.select(*KEYS, "penalty", "coef"), KEYS, "left")
     return out
 
 
@@ -150,3 +157,16 @@ def adopted(compared: DataFrame, bar: float = 0.01) -> DataFrame:
     d = compared.groupBy("set_name", "target").agg(of("train"), of("val"))
     sign = F.when(F.col("set_name").startswith("-"), -1.0).otherwise(1.0)
     return d.withColumn("meets_bar", F.coalesce((F.least(F.col("train") * sign, F.col("val") * sign) >= bar) & F.col("train").isNotNull() & F.col("val").isNotNull(), F.lit(False)))
+
+
+def feature_sets(panel: DataFrame, min_rows: int, candidates: Sequence[str] = cfg.CANDIDATES, drop_check: bool = False) -> dict[str, DataFrame]:
+    """Fits by set name: the features in use ('current'), with each candidate that the panel has ('+name') and all of them
+    ('+all'), the other transform ('winsor'), the sector median, and with `drop_check` without each feature in use ('-name')."""
+    one = lambda **k: fairvalue.fit(panel, min_rows=min_rows, contributions=False, **k)
+    more = lambda *names: {t.key: list(dict.fromkeys([*cfg.features_of(t), *names])) for t in cfg.TARGETS}
+    here = [c for c in candidates if c in panel.columns]
+    sets = {"current": one(), **{f"+{c}": one(features=more(c)) for c in here}}
+    if drop_check:
+        sets |= {f"-{f}": one(drop=(f,)) for f in dict.fromkeys(f for t in cfg.TARGETS for f in cfg.features_of(t) if f in panel.columns)}
+    base = fairvalue.sector_baseline(fairvalue.eligible(panel, min_rows=min_rows))
+    return sets | {"+all": one(features=more(*here)), "winsor": one(transform="winsor"), "sector_median": base.withColumn("gap", F.col("y") - F.col("pred"))}

@@ -37,7 +37,7 @@ def loss_flag(df: DataFrame) -> Column:
     return no_pe & some
 
 
-def eligible(panel: DataFrame, targets: Sequence[cfg.Target] = cfg.TARGETS, min_rows: int = cfg.MIN_ROWS) -> DataFrame:
+def eligible(panel: DataFrame, targets: Sequence[cfg.Target] = cfg.TARGETS, min_rows: int = cfg.MIN_ROWS, features: Sequence[str] | None = None) -> DataFrame:
     """One row per (as_of, target, ticker) whose multiple is within the target's bounds and sector is not excluded, of
     cross-sections with at least `min_rows` of them; y is the log of the multiple. Targets whose column the panel lacks
     are skipped."""
@@ -48,7 +48,7 @@ def eligible(panel: DataFrame, targets: Sequence[cfg.Target] = cfg.TARGETS, min_
             if t.without:
                 ok = ok & ~F.coalesce(F.col("sector").isin(*t.without), F.lit(False))
             rows.append(F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(t.key).alias("target"), F.ln(t.column).alias("y"))))
-    used = dict.fromkeys(f for t in targets for f in cfg.features_of(t) if f in panel.columns)
+    used = dict.fromkeys(f for f in (features if features is not None else [f for t in targets for f in cfg.features_of(t)]) if f in panel.columns)
     keep = ["as_of", "ticker", *[c for c in ("sector", "industry", "size_group") if c in panel.columns and c not in used], *used]
     long = panel.select(*keep, F.inline(F.array_compact(F.array(*rows))))
     n = F.count(F.lit(1)).over(Window.partitionBy(*KEYS))
@@ -93,7 +93,7 @@ def winsor_transform(long: DataFrame, features: Sequence[str], q: float = cfg.WI
     return long.withColumns(out)
 
 
-def design(g: pd.DataFrame, features: Sequence[str], transform: str) -> tuple[np.ndarray, list[str], list[str]]:
+def design(g: pd.DataFrame, features: Sequence[str], transform: str, sectors: bool = True) -> tuple[np.ndarray, list[str], list[str]]:
     """Matrix of a cross-section, the name of each column and the driver that it belongs to.
 
     Numbers are ranked or clipped, then filled by the median (0 if all are missing) with a column that marks the filled;
@@ -122,7 +122,7 @@ def design(g: pd.DataFrame, features: Sequence[str], transform: str) -> tuple[np
             cols.append((~ok).astype(float))
             names.append(f"{f}_na")
             drivers.append(f)
-    for level in sorted(g["sector"].dropna().unique()):
+    for level in sorted(g["sector"].dropna().unique()) if sectors else ():
         cols.append((g["sector"] == level).to_numpy(float))
         names.append(f"sector_{level}")
         drivers.append("sector")
@@ -137,18 +137,21 @@ def _standardised(train: np.ndarray, x: np.ndarray) -> np.ndarray:
 def fit(
     panel: DataFrame, targets: Sequence[cfg.Target] = cfg.TARGETS, *, min_rows: int = cfg.MIN_ROWS, transform: str = "rank",
     features: dict[str, Sequence[str]] | None = None, drop: tuple[str, ...] = (), contributions: bool = True,
+    penalties: Sequence[float] = cfg.PENALTIES, sectors: bool = True,
 ) -> DataFrame:
     """(as_of, target, ticker, sector, size_group, fold, y, pred, gap, fair, contrib): out-of-fold fair multiples.
 
     gap = y - pred, fair = exp(pred), contrib maps each driver to its part of pred. `features` names other features per
-    target key; features the panel lacks are skipped. Rows that are not eligible have no row here.
+    target key; features the panel lacks are skipped. Of `penalties` the one with the smallest leave-one-out error is taken;
+    without `sectors` these have no columns of their own. Rows that are not eligible have no row here.
     """
     chosen = {t.key: list((features or {}).get(t.key) or cfg.features_of(t, drop)) for t in targets}
-    long = ensure_columns(eligible(panel, targets, min_rows), {"size_group": "string"}).withColumn("fold", fold_of())
+    used = dict.fromkeys(f for t in targets for f in chosen[t.key])
+    long = ensure_columns(eligible(panel, targets, min_rows, tuple(used)), {"size_group": "string"}).withColumn("fold", fold_of())
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ticker", ignore_index=True)
-        x, _, drivers = design(g, chosen[g["target"].iloc[0]], transform)
+        x, _, drivers = design(g, chosen[g["target"].iloc[0]], transform, sectors)
         y, fold = g["y"].to_numpy(float), g["fold"].to_numpy()
         pred = np.full(len(g), np.nan)
         parts: list[dict | None] = [None] * len(g)
@@ -156,7 +159,7 @@ def fit(
         member = np.array([[d == o for o in order] for d in drivers], dtype=float).reshape(len(drivers), len(order))
         for k in np.unique(fold):
             train, held = fold != k, fold == k
-            coef, intercept, _ = ridge_loo(_standardised(x[train], x[train]), y[train], cfg.PENALTIES)
+            coef, intercept, _ = ridge_loo(_standardised(x[train], x[train]), y[train], penalties)
             terms = _standardised(x[train], x[held]) * coef
             pred[held] = intercept + terms.sum(axis=1)
             if contributions:

@@ -63,6 +63,14 @@ def m03_winsor_transform(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("as_of", "target", "ticker", *FEATURES), 7)
 
 
+def m08_ridge_of_two(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold ridge of two ranked features with one penalty, and the part of each (M2, M7 to M11), which SQL can solve."""
+    g = _given(spark, sf).where("return_on_equity is not null and debt_to_equity is not null")
+    fits = fairvalue.fit(g, min_rows=MIN_ROWS, features={t.key: FEATURES[::2] for t in cfg.TARGETS}, penalties=(10.0,), sectors=False)
+    part = lambda f: F.element_at("contrib", f).alias(f"of_{f}")
+    return rounded(fits.select("as_of", "target", "ticker", F.col("fold").cast("bigint").alias("fold"), "pred", "gap", *[part(f) for f in FEATURES[::2]]), 8)
+
+
 def m10_fair_value(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold ridge with its parts."""
     return fairvalue.fit(_built(spark, sf), min_rows=MIN_ROWS)
@@ -78,6 +86,13 @@ def m13_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     return diagnostics.coefficient_summary(fairvalue.coefficients(_built(spark, sf), min_rows=MIN_ROWS))
 
 
+def m15_diagnostics_of_the_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    """M14 on the ridge: its measures beside the baseline's, the penalty and the number of coefficients."""
+    g = _built(spark, sf)
+    sections = diagnostics.cross_sections(fairvalue.fit(g, min_rows=MIN_ROWS, contributions=False), _baseline(g), fairvalue.coefficients(g, min_rows=MIN_ROWS))
+    return rounded(sections.withColumn("coef", F.size("coef")), 6)
+
+
 def m14_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(diagnostics.cross_sections(_fits(spark, sf)))
 
@@ -88,11 +103,8 @@ def m16_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m17_compare_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean r2 of the ranked, the clipped and the featureless model and the baseline."""
-    g = _built(spark, sf)
-    one = lambda **k: fairvalue.fit(g, min_rows=MIN_ROWS, contributions=False, **k)
-    none = {t.key: ["volatility_63d"] for t in cfg.TARGETS}
-    return diagnostics.compare_sets({"rank": one(), "winsor": one(transform="winsor"), "volatility only": one(features=none), "sector median": _baseline(g)}, "sector median")
+    """Mean r2 of the features in use, with two candidates, clipped instead of ranked, and of the sector median."""
+    return diagnostics.compare_sets(diagnostics.feature_sets(_built(spark, sf), MIN_ROWS, ["roic", "revenue_growth_ttm"]), "current")
 
 
 def m19_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +151,12 @@ def h01_ic_and_spread(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(p.select("grp", "horizon", "as_of", "n", "ic", "spread"))
 
 
+def h02_mean_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Means over dates of rank correlation and spread with their robust t (H3, H4), on the baseline's gaps."""
+    t = hypothesis.tests(hypothesis.per_date(hypothesis.long_returns(_with_returns(spark, sf), by="size_group")))
+    return rounded(t.select("grp", "split", "horizon", "test", F.col("n_dates").cast("bigint").alias("n_dates"), "mean", "t_stat"))
+
+
 def h03_gap_return_test(spark: SparkSession, sf: str) -> DataFrame:
     """The whole test table (H1 to H7) of the ridge's gaps; the built panel has the returns."""
     p = _built(spark, sf)
@@ -230,7 +248,7 @@ def c05_quality_report(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.quality_report(p, by_quarter(_fundamentals(spark, sf)), read(spark, sf, "universe", "ticker"))
 
 
-QUERIES = {f.__name__: f for f in (m02_rank_transform, m03_winsor_transform, m10_fair_value, m12_sector_baseline, m13_coefficients, m14_diagnostics, m16_verdict, m17_compare_sets, m19_summary, m21_r2_by_group, m23_stability, m24_top_overlap, m25_error_spread, m26_ttm_reliability, m27_agreement, h01_ic_and_spread, h03_gap_return_test, h05_false_discovery, a01_labels, a03_expectations, a04_label_detail, a05_flags, a10_transitions, a11_explanations, a12_report, a13_flag_lists, a14_screened, a15_size_by_label, u02_industry_groups, u04_size_counts, c01_stale, c05_quality_report)}
+QUERIES = {f.__name__: f for f in (m02_rank_transform, m03_winsor_transform, m08_ridge_of_two, m10_fair_value, m12_sector_baseline, m13_coefficients, m14_diagnostics, m15_diagnostics_of_the_ridge, m16_verdict, m17_compare_sets, m19_summary, m21_r2_by_group, m23_stability, m24_top_overlap, m25_error_spread, m26_ttm_reliability, m27_agreement, h01_ic_and_spread, h02_mean_tests, h03_gap_return_test, h05_false_discovery, a01_labels, a03_expectations, a04_label_detail, a05_flags, a10_transitions, a11_explanations, a12_report, a13_flag_lists, a14_screened, a15_size_by_label, u02_industry_groups, u04_size_counts, c01_stale, c05_quality_report)}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------------
 # Targets as the SQL knows them: key, column, bounds, label; price to sales and the two below it leave financials out.
@@ -349,6 +367,26 @@ UNION ALL SELECT 'correlation', count(CASE WHEN NOT isnan(c) THEN c END), NULL,
         GIVEN, LONG, "qs AS (SELECT as_of, target, " + _keep(f"quantile_cont({f}, 0.02) AS {f}_lo, quantile_cont({f}, 0.98) AS {f}_hi, count({f}) AS {f}_n" for f in FEATURES) + " FROM elig GROUP BY 1, 2)",
         body="SELECT e.as_of, e.target, e.ticker, " + _keep(f"round(CASE WHEN {f} IS NULL THEN NULL WHEN {f}_n >= 3 THEN least(greatest({f}, {f}_lo), {f}_hi) ELSE {f} END, 7) AS {f}" for f in FEATURES) + " FROM elig e JOIN qs ON qs.as_of = e.as_of AND qs.target = e.target",
     ),
+    "m08_ridge_of_two": with_(
+        GIVEN.replace("given AS (", "given AS (SELECT * FROM (", 1) + " WHERE return_on_equity IS NOT NULL AND debt_to_equity IS NOT NULL)", LONG,
+        "folded AS (SELECT *, (dense_rank() OVER (PARTITION BY as_of, target ORDER BY ticker DESC) - 1) % 5 AS fold FROM elig)",
+        f"x AS (SELECT as_of, target, ticker, fold, y, {avg_rank('return_on_equity', K)} AS a, {avg_rank('debt_to_equity', K)} AS b FROM folded)",
+        "t AS (SELECT x.as_of, x.target, k.k AS held, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS ba FROM x, (VALUES (0), (1), (2), (3), (4)) k(k) WHERE x.fold <> k.k GROUP BY 1, 2, 3)",
+        # Normal equations of the standardised features: (n + 10) on the diagonal, n * correlation beside it.
+        "s AS (SELECT *, n * ab / (sa * sb) AS r, n * ay / sa AS u, n * ba / sb AS v, (n + 10.0) AS d FROM t)",
+        "w AS (SELECT *, (d * u - r * v) / (d * d - r * r) AS wa, (d * v - r * u) / (d * d - r * r) AS wb FROM s)",
+        "p AS (SELECT x.*, w.my, (a - ma) / sa * wa AS pa, (b - mb) / sb * wb AS pb FROM x JOIN w ON w.as_of = x.as_of AND w.target = x.target AND w.held = x.fold)",
+        body="SELECT as_of, target, ticker, fold, round(my + pa + pb, 8) AS pred, round(y - (my + pa + pb), 8) AS gap, round(pa, 8) AS of_return_on_equity, round(pb, 8) AS of_debt_to_equity FROM p",
+    ),
+    "h02_mean_tests": with_(
+        *BASE, SEEN, DAILY, CALENDAR, SNAPS, RETURNS,
+        f"l AS (SELECT grp, {SPLIT} AS split, horizon, t.test, as_of, CASE t.test WHEN 'ic' THEN ic ELSE spread END AS v FROM ics, (VALUES ('ic'), ('spread')) t(test))",
+        "e AS (SELECT *, v - avg(v) OVER w AS e, row_number() OVER (PARTITION BY grp, split, horizon, test ORDER BY as_of) AS i, greatest(0, ceil(horizon / 3.0) - 1) AS lags FROM l WHERE v IS NOT NULL WINDOW w AS (PARTITION BY grp, split, horizon, test))",
+        "c AS (SELECT a.grp, a.split, a.horizon, a.test, sum(2 * (1 - (a.i - b.i) / (a.lags + 1)) * a.e * b.e) AS c FROM e a JOIN e b ON a.grp = b.grp AND a.split = b.split AND a.horizon = b.horizon AND a.test = b.test AND a.i - b.i BETWEEN 1 AND a.lags GROUP BY 1, 2, 3, 4)",
+        "g AS (SELECT grp, split, horizon, test, count(*) AS n, avg(v) AS m, sum(e * e) AS s, max(lags) AS lags FROM e GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4)",
+        "q AS (SELECT g.*, CASE WHEN lags = 0 THEN s / (n - 1) / n ELSE (s + coalesce(c, 0)) / (n * n) END AS var FROM g LEFT JOIN c ON c.grp = g.grp AND c.split = g.split AND c.horizon = g.horizon AND c.test = g.test)",
+        body="SELECT grp, split, horizon, test, n AS n_dates, round(m, 6) AS mean, round(CASE WHEN var > 0 THEN m / sqrt(var) END, 6) AS t_stat FROM q",
+    ),
     "m12_sector_baseline": with_(*BASE, body="SELECT as_of, target, ticker, fold, round(y, 9) AS y, round(pred, 9) AS pred FROM fits"),
     "m14_diagnostics": with_(*BASE, RANKED, SECTIONS, body="SELECT as_of, target, n, round(r2, 6) AS r2, round(mae, 6) AS mae, round(spearman, 6) AS spearman FROM sections"),
     "m16_verdict": with_(*BASE, SEEN, body="SELECT as_of, ticker, loss, round(valuation_gap, 9) AS valuation_gap, n_gaps, round(gap_agreement, 9) AS gap_agreement, valuation_basis FROM seen"),
