@@ -60,14 +60,14 @@ def last_known(history: DataFrame, events: DataFrame, latest_by: Sequence[str],
     """The columns of `events`.e and for each attribute a struct (value, known_us, k) of the last entry, by the order of
     `change_history`, among those known at or before the event; NULL where there is none.
 
-    `events` has key, t (microseconds) and e, a struct of whatever is to come out again; those without key or t have no row.
+    `events` has key, t (microseconds) and e, a struct of whatever is to come out again; those without key or t are answered
+    by NULLs (t sorts before all times, and events without key are dealt to parts like those of a large one).
     """
-    asked = events.where("key is not null and t is not null")
-    hot = F.broadcast(_hot(history, asked, span_rows))
+    hot = F.broadcast(_hot(history, events.where("key is not null and t is not null"), span_rows))
     placed = lambda d: d.join(hot, F.col("key") == F.col("hk"), "left")
-    parts = F.coalesce("parts", F.lit(1))
+    parts = F.coalesce("parts", F.when(F.col("key").isNull(), 4096).otherwise(1))
     one = placed(history).select("key", "t", "h", F.lit(0).alias("kind"), "first", "width", "spans", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    two = placed(asked).select("key", "t", "e", F.lit(1).alias("kind"), "first", "width", "spans", F.pmod(F.monotonically_increasing_id(), parts).cast("int").alias("part"))
+    two = placed(events).select("key", "t", "e", F.lit(1).alias("kind"), "first", "width", "spans", F.pmod(F.monotonically_increasing_id(), parts).cast("int").alias("part"))
     both = one.unionByName(two, allowMissingColumns=True)
     at = F.floor((F.col("t") - F.col("first")) / F.col("width"))
     span = F.coalesce(F.greatest(F.lit(0), F.least(at, F.col("spans") - 1)), F.lit(0)).cast("int").alias("span")
@@ -77,7 +77,7 @@ def last_known(history: DataFrame, events: DataFrame, latest_by: Sequence[str],
         return F.when(F.col(f"h.v{i}").isNotNull(), F.struct(*[x.alias(f"r{j}") for j, x in enumerate(rank)], F.col("h.k").alias("k"), F.col(f"h.v{i}").alias("value"), F.col("t").alias("known_us")))
 
     names = [f"x{i}" for i in range(len(attributes))]
-    so_far = Window.partitionBy("key", "span", "part").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("key", "span", "part").orderBy(F.asc_nulls_first("t"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     both = both.select("key", span, "part", "t", "kind", "h", "e")
     seen = both.select("key", "span", "kind", "e", *[F.max(entry(i)).over(so_far).alias(n) for i, n in enumerate(names)]).where("kind = 1")
     # What the spans before knew, of the keys that have several: of most tables none.
@@ -121,8 +121,4 @@ def attributes_as_of(
             new[f"{a}_from"] = -x["k"]
     keep = [(i, c) for i, c in enumerate(events.columns) if c not in new]
     out = known.select(*[F.col(f"e{i}").alias(c) for i, c in keep], *[c.alias(k) for k, c in new.items()])
-    if how == "inner":
-        return out.where(" or ".join(f"`{k}` is not null" for k in new))
-    kinds = {f.name: f.dataType for f in out.schema}
-    alone = events.where(F.col(event_key).isNull() | F.col(event_time).isNull())
-    return out.unionByName(alone.select(*[F.col(f"`{c}`") for _, c in keep], *[F.lit(None).cast(kinds[k]).alias(k) for k in new]))
+    return out.where(" or ".join(f"`{k}` is not null" for k in new)) if how == "inner" else out

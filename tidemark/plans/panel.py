@@ -80,17 +80,18 @@ def raw_panel(
 ) -> DataFrame:
     """The panel without percentiles; start and today are the first and last day of usable prices unless given.
 
-    The daily rows feed four branches and the quarters two, so both are written once to the checkpoint folder instead of
-    being computed from the raw tables for each.
+    The daily rows feed four branches, the quarters and the snapshots two each, so all three are written once to the checkpoint
+    folder instead of being computed from the raw tables for each.
     """
     daily = cut(by_day(prices))
     low, high = span_of(daily)
-    start, today = start or low, today or high
     quarters = cut(known_quarters(fundamentals, year_ends, daily))
-    p = with_fundamentals(snapshots_of(daily, start, today), quarters)
+    snaps = cut(snapshots_of(daily, start or low, today or high))
+    p = with_fundamentals(snaps, quarters)
     p = with_universe(p, universe).withColumn("fiscal_year_end_assumed", F.coalesce("fiscal_year_end_assumed", F.lit(True)))
-    p = reporting.sized(reporting.rescaled(p))
-    return technicals.forward_returns(dividends.dividend_features(p, daily), daily)
+    p = dividends.dividend_features(reporting.sized(reporting.rescaled(p)), daily)
+    ahead = technicals.forward_returns(snaps.select("ticker", "as_of", "close"), daily).drop("close")
+    return p.join(ahead, ["ticker", "as_of"], "left")
 
 
 def add_percentiles(panel: DataFrame, by: tuple[str, str] = ("as_of", "sector")) -> DataFrame:
