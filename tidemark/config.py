@@ -37,6 +37,16 @@ CANDIDATES = (
     "revenue_growth_ttm_accel", "op_margin_change_1y", "gross_margin_change_1y", "current_ratio", "sga_to_sales", "industry",
 )
 MIN_GAIN = 0.01
+#: Names of the drivers in the report.
+DRIVER_LABELS = {
+    "return_on_equity": "ROE", "operating_margin": "영업이익률", "revenue_growth_yoy": "매출성장률", "debt_to_equity": "부채비율", "payout_ratio_ttm": "배당성향",
+    "volatility_63d": "변동성", "roic": "ROIC", "gross_margin": "매출총이익률", "fcf_margin": "FCF이익률", "net_debt_to_capital": "순부채비율", "current_ratio": "유동비율",
+    "asset_turnover": "자산회전율", "sga_to_sales": "판관비율", "revenue_cagr_3y": "3년 매출성장률", "op_margin_volatility": "이익률 변동성", "dividend_growth_3y": "3년 배당성장률",
+    "dividend_years_no_cut": "배당 무삭감 연수", "op_margin_avg_3y": "3년 평균 영업이익률", "log_revenue": "매출 규모", "log_book_value": "자본 규모", "roe_avg_3y": "3년 평균 ROE",
+    "eps_cagr_3y": "3년 EPS 성장률", "growth_consistency_3y": "성장 꾸준함", "eps_volatility_3y": "이익 변동성", "roe_volatility_3y": "ROE 변동성",
+    "gross_margin_volatility_3y": "매출총이익률 변동성", "loss_share_3y": "적자 분기 비율", "cash_conversion_3y": "이익의 현금 전환율", "roe_spike": "ROE의 평소 대비 급등",
+    "eps_spike": "이익의 평소 대비 급등", "sector": "섹터", "industry": "세부 업종",
+}
 PENALTIES = (0.01, 0.1, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 FOLDS, MIN_ROWS, WINSOR = 5, 50, 0.02
 TRAIN_END, VAL_END = date(2019, 12, 31), date(2023, 12, 31)

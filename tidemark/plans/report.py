@@ -9,6 +9,21 @@ from tidemark import config as cfg
 from tidemark.plans.labels import BASE_EFFECT_NOTE, ONE_OFF_NOTE
 
 MIN_EFFECT = 0.05
+# The texts of the report, in the order in which they appear in it.
+NEEDS_THE_SAME = "앞으로 10년간 중간 종목과 비슷하게 성장하면 현재 PER이 설명됨"
+NEEDS_GROWTH, NEEDS_MORE, NEEDS_LESS, NEEDS_END = "앞으로 10년간 이익이 중간 종목보다 매년 약 ", " 더", " 덜", " 늘어야 현재 PER이 설명됨"
+PAST_GROWTH, PAST_MEDIAN = "최근 3년 이익 성장률 연 ", ", 중간 종목 "
+PAST_TURN, PAST_UNKNOWN = "3년 전 적자에서 흑자로 전환해 성장률로 표시할 수 없음", "최근 3년 이익 성장률 계산 불가(적자 또는 3년 미만 이력)"
+EXPECTATION, EXPECTATION_END = "주가에 반영된 기대: ", "; 10년 뒤 중간 종목 수준 PER, 같은 할인율 가정)"
+RAISED, LOWERED, NO_DRIVER = "높인 요인 ", "낮춘 요인 ", "평균적인 종목과 비슷"
+NO_VALUE, DENOMINATOR = "(값 없음)", "(분모 효과)"
+NOT_IN_VERDICT, OF_A_LOSS = " [참고용, 종합 판단 제외]", " [적자라 참고용]"
+MULTIPLE, FAIR = " %.1f배 (적정 %.1f배, ", " — 적정 "
+GROWTH_BEYOND = ": 중간 종목 대비 최근 3년 실제 초과 성장 %+.1f%% vs 가격에 반영된 초과 성장 %+.1f%%"
+HELD_OFF = "최근 12개월 적자 — 일회성 손상인지 구조적 부진인지 재무 지표만으로 구분할 수 없어 판단을 보류함 (위 배수 괴리는 참고용)"
+IS_CHEAP, IS_DEAR = "싸다", "비싸다"
+VIEWS_AGREE = "종합: %d개 관점 중 %d개가 '%s' 쪽 (평균 괴리 "
+ONE_VIEW, ONE_VIEW_GAP, ONE_VIEW_END = "종합: ", " 한 가지 관점으로만 판단 (괴리 ", ") — 다른 배수로 교차 확인할 수 없음"
 
 
 def report_at(screened: DataFrame, columns: list[str], as_of: str | None = None) -> DataFrame:
@@ -52,7 +67,7 @@ def drivers_text(contrib: Column, denominators: Column | None = None, missing: C
     def show(e: Column) -> Column:
         pct = F.bround(F.expm1(e["value"]) * 100, 0).cast("int")
         size = F.concat(F.when(pct >= 0, " +").otherwise(" "), pct.cast("string"), F.lit("%"))
-        return F.concat(F.coalesce(F.try_element_at(names, e["key"]), e["key"]), marked(missing, e, "(값 없음)"), size, marked(denominators, e, "(분모 효과)"))
+        return F.concat(F.coalesce(F.try_element_at(names, e["key"]), e["key"]), marked(missing, e, NO_VALUE), size, marked(denominators, e, DENOMINATOR))
 
     def side(sign: int, title: str) -> Column:
         one = F.filter(strong, lambda e: e["value"] * sign > 0)
@@ -60,18 +75,18 @@ def drivers_text(contrib: Column, denominators: Column | None = None, missing: C
         text = F.concat_ws(", ", F.transform(F.slice(ranked, 1, 2), show))
         return F.when(F.size(one) > 0, F.concat(F.lit(title), text))
 
-    return F.coalesce(F.nullif(F.concat_ws(" / ", side(1, "높인 요인 "), side(-1, "낮춘 요인 ")), F.lit("")), F.lit("평균적인 종목과 비슷"))
+    return F.coalesce(F.nullif(F.concat_ws(" / ", side(1, RAISED), side(-1, LOWERED)), F.lit("")), F.lit(NO_DRIVER))
 
 
 def expectation_text(df: DataFrame) -> Column:
     """What the price assumes of the years ahead, next to what was delivered; '' without a multiple."""
     excess, growth, median = F.col("implied_excess_growth"), F.col("earnings_cagr_3y"), F.col("earnings_cagr_3y_median")
     pct = lambda c, form: F.format_string(form, F.bround(c * 100, 0).cast("int"))
-    need = F.when(F.abs(excess) < 0.005, "앞으로 10년간 중간 종목과 비슷하게 성장하면 현재 PER이 설명됨").otherwise(
-        F.concat(F.lit("앞으로 10년간 이익이 중간 종목보다 매년 약 "), pct(F.abs(excess), "%d%%"), F.when(excess > 0, " 더").otherwise(" 덜"), F.lit(" 늘어야 현재 PER이 설명됨")))
-    past = F.when(growth.isNotNull() & median.isNotNull(), F.concat(F.lit("최근 3년 이익 성장률 연 "), pct(growth, "%+d%%"), F.lit(", 중간 종목 "), pct(median, "%+d%%")))
-    past = past.when(F.col("earnings_turnaround_3y") == 1, "3년 전 적자에서 흑자로 전환해 성장률로 표시할 수 없음").otherwise("최근 3년 이익 성장률 계산 불가(적자 또는 3년 미만 이력)")
-    return F.when(excess.isNull(), "").otherwise(F.concat(F.lit("주가에 반영된 기대: "), need, F.lit(" ("), past, F.lit("; 10년 뒤 중간 종목 수준 PER, 같은 할인율 가정)")))
+    need = F.when(F.abs(excess) < 0.005, NEEDS_THE_SAME).otherwise(
+        F.concat(F.lit(NEEDS_GROWTH), pct(F.abs(excess), "%d%%"), F.when(excess > 0, NEEDS_MORE).otherwise(NEEDS_LESS), F.lit(NEEDS_END)))
+    past = F.when(growth.isNotNull() & median.isNotNull(), F.concat(F.lit(PAST_GROWTH), pct(growth, "%+d%%"), F.lit(PAST_MEDIAN), pct(median, "%+d%%")))
+    past = past.when(F.col("earnings_turnaround_3y") == 1, PAST_TURN).otherwise(PAST_UNKNOWN)
+    return F.when(excess.isNull(), "").otherwise(F.concat(F.lit(EXPECTATION), need, F.lit(" ("), past, F.lit(EXPECTATION_END)))
 
 
 # Drivers that move a multiple through its own arithmetic.
@@ -93,25 +108,25 @@ def explained(report: DataFrame, fits: DataFrame, labels: dict[str, str] | None
     lacking = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in used]))
     rows = report.select("ticker", "as_of", lacking.alias("lacking"))
     long = fits.select("ticker", "as_of", "target", "contrib").join(rows, ["ticker", "as_of"])
-    text = long.select("ticker", "as_of", F.struct("target", drivers_text(F.col("contrib"), drivers, F.col("lacking"), labels).alias("t")).alias("x"))
+    text = long.select("ticker", "as_of", F.struct("target", drivers_text(F.col("contrib"), drivers, F.col("lacking"), labels or cfg.DRIVER_LABELS).alias("t")).alias("x"))
     texts = text.groupBy("ticker", "as_of").agg(F.map_from_entries(F.collect_list("x")).alias("texts"))  # a target each
     r = report.join(texts, ["ticker", "as_of"], "left")
     pct = lambda c: F.format_string("%+d%%", F.bround(F.expm1(c) * 100, 0).cast("int"))
     loss = F.coalesce(F.col("loss"), F.lit(False))
 
     def line(t: cfg.Target) -> Column:
-        note = F.lit(" [참고용, 종합 판단 제외]") if not t.in_verdict else F.when(loss, " [적자라 참고용]").otherwise("")
+        note = F.lit(NOT_IN_VERDICT) if not t.in_verdict else F.when(loss, OF_A_LOSS).otherwise("")
         particle = "를" if t.label.endswith(("EBITDA", "FCF")) else "을"
-        head = F.format_string(f"{t.label} %.1f배 (적정 %.1f배, ", F.col(t.column), F.col(f"fair_{t.key}"))
-        return F.when(F.col(f"{t.key}_gap").isNotNull(), F.concat(head, pct(F.col(f"{t.key}_gap")), F.lit(")"), note, F.lit(f" — 적정 {t.label}{particle} "), F.coalesce(F.try_element_at("texts", F.lit(t.key)), F.lit(""))))
+        head = F.format_string(t.label + MULTIPLE, F.col(t.column), F.col(f"fair_{t.key}"))
+        return F.when(F.col(f"{t.key}_gap").isNotNull(), F.concat(head, pct(F.col(f"{t.key}_gap")), F.lit(")"), note, F.lit(f"{FAIR}{t.label}{particle} "), F.coalesce(F.try_element_at("texts", F.lit(t.key)), F.lit(""))))
 
-    growth = F.format_string(": 중간 종목 대비 최근 3년 실제 초과 성장 %+.1f%% vs 가격에 반영된 초과 성장 %+.1f%%", F.col("realized_excess_growth") * 100, F.col("implied_excess_growth") * 100)
+    growth = F.format_string(GROWTH_BEYOND, F.col("realized_excess_growth") * 100, F.col("implied_excess_growth") * 100)
     view = F.when(F.col("label_detail") != "", F.concat(F.lit("→ "), F.col("valuation_view"), F.coalesce(F.when(F.col("realized_excess_growth").isNotNull() & F.col("implied_excess_growth").isNotNull(), growth), F.lit(""))))
     n, agree = F.col("n_gaps"), F.round(F.col("gap_agreement") * F.col("n_gaps"), 0).cast("int")
-    side = F.when(F.col("valuation_gap") < 0, "싸다").otherwise("비싸다")
-    whole = F.when(loss, "최근 12개월 적자 — 일회성 손상인지 구조적 부진인지 재무 지표만으로 구분할 수 없어 판단을 보류함 (위 배수 괴리는 참고용)")
-    whole = whole.when(n > 1, F.concat(F.format_string("종합: %d개 관점 중 %d개가 '%s' 쪽 (평균 괴리 ", n, agree, side), pct(F.col("valuation_gap")), F.lit(")")))
-    whole = whole.when(n == 1, F.concat(F.lit("종합: "), F.col("valuation_basis"), F.lit(" 한 가지 관점으로만 판단 (괴리 "), pct(F.col("valuation_gap")), F.lit(") — 다른 배수로 교차 확인할 수 없음")))
+    side = F.when(F.col("valuation_gap") < 0, IS_CHEAP).otherwise(IS_DEAR)
+    whole = F.when(loss, HELD_OFF)
+    whole = whole.when(n > 1, F.concat(F.format_string(VIEWS_AGREE, n, agree, side), pct(F.col("valuation_gap")), F.lit(")")))
+    whole = whole.when(n == 1, F.concat(F.lit(ONE_VIEW), F.col("valuation_basis"), F.lit(ONE_VIEW_GAP), pct(F.col("valuation_gap")), F.lit(ONE_VIEW_END)))
     lines = [line(t) for t in cfg.TARGETS if t.column in report.columns and f"{t.key}_gap" in report.columns]
     return r.select("ticker", "as_of", F.concat_ws("\n", *lines, F.nullif(expectation_text(r), F.lit("")), view, whole).alias("explanation"))
 
