@@ -84,3 +84,58 @@ def test_stream_of_quotes(spark, tmp_path):
     assert {(r["ticker"], r["close"]) for r in spark.read.parquet(str(last)).collect()} == {("a", 6.0), ("c", 7.0)}
     batch = snapshots.daily_bars(spark.read.schema(snapshots.QUOTE_SCHEMA).parquet(src).where("close > 0 and not isnan(close) and ticker is not null").dropDuplicates(["price_id"]))
     assert {(r["ticker"], r["day"], r["close"], r["n"]) for r in batch.collect()} == {("a", D(2024, 1, 1), 6.0, 3), ("c", D(2024, 1, 2), 7.0, 1)}
+
+
+def test_collection_is_cache_first(spark):
+    S = "ticker string, date date, close double"
+    day = lambda m, d: dt.date(2024, m, d)
+    cached = spark.createDataFrame([("fresh", day(6, 27), 1.0), ("old", day(1, 2), 2.0), ("lost", day(1, 3), 3.0)], S)
+    tickers = spark.createDataFrame([("fresh",), ("old",), ("lost",), ("new",), ("gone",)], "ticker string")
+    asked = []
+
+    def fetch(ask):
+        asked.extend(r["ticker"] for r in ask.collect())
+        return spark.createDataFrame([("old", day(6, 28), 20.0), ("old", day(1, 2), 19.0), ("new", day(6, 28), 5.0)], S)
+
+    history, failed = ingest.collect(cached, tickers, fetch, "2024-06-28", ["close"])
+    assert sorted(asked) == ["gone", "lost", "new", "old"]
+    got = {(r["ticker"], r["date"]): r["close"] for r in history.collect()}
+    assert got == {("fresh", day(6, 27)): 1.0, ("old", day(6, 28)): 20.0, ("old", day(1, 2)): 19.0, ("lost", day(1, 3)): 3.0, ("new", day(6, 28)): 5.0}
+    assert [r["ticker"] for r in failed.collect()] == ["gone"]
+
+
+def test_fetched_prices_have_one_schema(spark):
+    rows = spark.createDataFrame([("A.B", "2024-01-02", 5.0, 7)], "ticker string, date string, close double, volume long")
+    r = ingest.raw_prices(rows).first()
+    assert (r["date"], r["close_raw"], r["volume"], r["dividend"]) == (dt.date(2024, 1, 2), 5.0, 7.0, 0.0)
+    assert ingest.raw_prices(rows.limit(0)).dtypes == ingest.raw_prices(rows).dtypes
+    assert ingest.price_symbols(rows).first()["symbol"] == "A-B"
+
+
+def test_report_file_is_named_by_its_date(spark, tmp_path):
+    df = spark.createDataFrame([("a", dt.date(2024, 4, 1))], "ticker string, as_of date")
+    ingest.write_report(df, str(tmp_path / "r_{date}.csv"))
+    assert (tmp_path / "r_2024-04-01.csv").read_bytes().startswith(b"\xef\xbb\xbf")
+
+
+def test_stored_tables_are_deleted(spark):
+    import os
+
+    from tidemark.sources import tables
+
+    before = list(tables._stored)
+    tables._stored.clear()
+    assert tables.cut(spark.range(5)).count() == 5
+    (name,) = tables._stored
+    assert os.path.exists(name.removeprefix("file:")) and tables.release() == 1 and not os.path.exists(name.removeprefix("file:"))
+    tables._stored.extend(before)
+
+
+def test_frozen_members_and_pages(spark, tmp_path):
+    from tidemark.operators import universe
+
+    (tmp_path / "m.csv").write_text("ticker,name,sector\nA,Alpha,Energy\n")
+    assert universe.read_members(spark, str(tmp_path / "m.csv")).first().asDict() == {"ticker": "A", "name": "Alpha", "sector": "Energy"}
+    page = "<table><tr><th>Symbol</th><th>GICS Sub-Industry</th></tr><tr><td>a</td><td>{}</td></tr></table>"
+    one, two = (universe.sub_industries(spark, page.format(x)) for x in ("Oil", "Gas"))
+    assert universe.first_page_wins([one, two]).first()["sub_industry"] == "Oil" and universe.sub_industries(spark, "<p>").count() == 0
